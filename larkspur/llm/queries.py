@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, chat, decontaminate, quality
+from larkspur.llm import bpe, chat, decontaminate, quality, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(turns.unionByName(chat.control_conversation(spark)))
@@ -29,4 +33,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op4_bpe_encoding, op7_benchmark_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_chat_formatting, op4_bpe_encoding, op7_benchmark_decontamination, op10_quality_rules)}
