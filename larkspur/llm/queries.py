@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, chat, decontaminate, quality, simhash, token_files
+from larkspur.llm import bpe, chat, decontaminate, html_text, quality, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(_table(spark, sf_dir, "pages"))
+
+
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -37,4 +45,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_chat_formatting, op4_bpe_encoding, op7_benchmark_decontamination, op9_simhash_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_chat_formatting, op4_bpe_encoding, op5_html_extraction, op6_warc_archive, op7_benchmark_decontamination, op9_simhash_dedup, op10_quality_rules)}
