@@ -180,7 +180,7 @@ def coded_blocks(docs: DataFrame, limit: int) -> DataFrame:
 def joined(strings: pa.Array, sizes: np.ndarray, separator: str = " ") -> pa.Array:
     """Runs of strings, sizes[i] of them in the i-th, each joined to one."""
     offsets = np.concatenate(([0], np.cumsum(sizes)))
-    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), strings), separator)
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), strings), pa.scalar(separator, strings.type))
 
 
 class BlockIds:

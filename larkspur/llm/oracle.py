@@ -56,4 +56,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s
 """
 
-SQL = {"op3_chat_formatting": OP3, "op7_benchmark_decontamination": OP7, "op10_quality_rules": OP10}
+OP2 = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM x),
+r AS (SELECT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS p FROM r),
+n AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+SQL = {"op2_substring_dedup": OP2, "op3_chat_formatting": OP3, "op7_benchmark_decontamination": OP7, "op10_quality_rules": OP10}

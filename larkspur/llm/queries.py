@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, chat, decontaminate, html_text, quality, simhash, token_files, warc
+from larkspur.llm import bpe, chat, decontaminate, html_text, quality, recompression, simhash, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(turns.unionByName(chat.control_conversation(spark)))
@@ -45,4 +49,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_chat_formatting, op4_bpe_encoding, op5_html_extraction, op6_warc_archive, op7_benchmark_decontamination, op9_simhash_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_substring_dedup, op3_chat_formatting, op4_bpe_encoding, op5_html_extraction, op6_warc_archive, op7_benchmark_decontamination, op9_simhash_dedup, op10_quality_rules)}
