@@ -37,9 +37,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def deal(docs: DataFrame, key: str, text: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """block, key, text: documents in blocks of about block_bytes, and the number of blocks."""
-    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"))
+def deal(docs: DataFrame, key: str, text: str, block_bytes: int, carried: list[str] | None = None) -> tuple[DataFrame, int]:
+    """block, key, text: documents in blocks of about block_bytes, and the number of blocks. The carried columns go
+    along as c0, c1, ..."""
+    more = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(carried or [])]
+    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"), *more)
     blocks = max(1, -(-text_bytes(rows) // block_bytes))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(blocks, 1 << 20))
     return rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).repartition(parts, "block"), blocks

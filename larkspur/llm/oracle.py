@@ -69,4 +69,21 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n.n, 0)::BIGIN
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op2_substring_dedup": OP2, "op3_chat_formatting": OP3, "op7_benchmark_decontamination": OP7, "op10_quality_rules": OP10}
+OP8 = r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+b AS (SELECT doc_id, x, unnest(generate_series(0, len(x) // 2 - 1)) AS i FROM d WHERE len(x) > 0),
+g AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 100)) AS h FROM b WHERE i <= len(x) // 2 - 50),
+m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, i FROM g JOIN m USING (h) WHERE doc_id > least),
+f AS (SELECT b.doc_id, b.i, substr(b.x, 2 * b.i + 1, 2) AS c,
+    coalesce(max(CASE WHEN r.i IS NOT NULL THEN b.i END) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone
+  FROM b LEFT JOIN r ON r.doc_id = b.doc_id AND r.i = b.i),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM f),
+a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+    coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+SQL = {"op8_suffix_array_dedup": OP8, "op2_substring_dedup": OP2, "op3_chat_formatting": OP3, "op7_benchmark_decontamination": OP7, "op10_quality_rules": OP10}
