@@ -25,7 +25,7 @@ def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Offsets, a code for every word, and the distinct words that the codes stand for."""
     offsets, words = split_words(texts)
     coded = words.dictionary_encode()
-    return offsets, coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    return offsets, coded.indices.to_numpy(), coded.dictionary
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int):

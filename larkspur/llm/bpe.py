@@ -105,6 +105,19 @@ class WordEncoder:
         return pa.array([vocabulary.get(i, "") for i in range(max(vocabulary, default=-1) + 1)], pa.string())
 
 
+#: What keeps a text as it is: control strings, which are matched before lower case, and combining marks, which NFC joins before it.
+AS_IT_IS = r"<\||[\x{0300}-\x{036F}]"
+#: A letter followed by punctuation at a word's end; the tokenizer splits there too.
+ENDED = r"([A-Za-z])([.,;:!?]+)(\s)"
+
+
+def simplified(texts: pa.Array) -> pa.Array:
+    """Texts with the same tokens and fewer distinct words: in lower case, the punctuation after words set apart."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    plain = pc.ascii_lower(pc.replace_substring_regex(texts, ENDED, r"\1 \2\3"))  # lower case last: it needs an array of its own
+    return pc.if_else(pc.match_substring_regex(texts, AS_IT_IS), texts, plain)
+
+
 def source_of(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
@@ -114,7 +127,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[i
     n, task = 0, TaskContext.get().partitionId()
     for batch in batches:
         for part in pieces(batch, "text", limit):
-            offsets, places, words = coded_words(part.column("text"))
+            offsets, places, words = coded_words(simplified(part.column("text")))
             sum32 = zlib.crc32(words.cast(pa.large_binary()).buffers()[2] or b"") if len(words) else 0
             yield sum32 << 31 | (task & 0xFFFFF) << 11 | n & 0x7FF, part, offsets, places, words
             n += 1
@@ -160,21 +173,45 @@ def gathered_ids(docs: DataFrame, source: str, limit: int) -> DataFrame:
 
 
 def coded_blocks(docs: DataFrame, limit: int) -> DataFrame:
-    """block, keys, offsets, places: each block's documents as places of their words, packed."""
+    """block, keys, offsets, n, control, data, order: each block's documents as places of their words, packed.
+
+    0 stands for a word's first occurrence in the block, as places are given in that order; the words that come again
+    are numbered from 1 by falling frequency, and order has their places.
+    """
 
     def coded(batches):
         for block, part, offsets, places, words in blocks_of(batches, limit):
-            # Frequent words get small numbers for the packing; the order goes along.
-            order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
-            rank = np.empty(len(order), dtype=np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            control, data = codec.pack(rank[places]) if len(places) else (b"", b"")
+            count = np.bincount(places, minlength=len(words))
+            again = np.flatnonzero(count > 1)
+            order = again[np.argsort(-count[again], kind="stable")].astype(np.uint32)
+            rank = np.zeros(len(words), dtype=np.uint32)
+            rank[order] = np.arange(1, len(order) + 1, dtype=np.uint32)
+            numbers = rank[places]
+            numbers[first_places(places)] = 0
+            control, data = codec.pack(numbers) if len(places) else (b"", b"")
             yield pa.RecordBatch.from_pydict(
-                {"block": [block], "keys": [part.column("key").to_pylist()], "offsets": [offsets.astype(np.int64).tobytes()], "control": [control], "data": [data], "order": [order.astype(np.uint32).tobytes()]},
-                schema=pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("offsets", "control", "data", "order"))]),
+                {"block": [block], "keys": [part.column("key").to_pylist()], "offsets": [offsets.astype(np.int64).tobytes()], "n": [len(words)], "control": [control], "data": [data], "order": [order.tobytes()]},
+                schema=pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.int64())), ("offsets", pa.binary()), ("n", pa.int32()), *((c, pa.binary()) for c in ("control", "data", "order"))]),
             )
 
-    return docs.mapInArrow(coded, "block long, keys array<long>, offsets binary, control binary, data binary, order binary")
+    return docs.mapInArrow(coded, "block long, keys array<long>, offsets binary, n int, control binary, data binary, order binary")
+
+
+def first_places(places: np.ndarray) -> np.ndarray:
+    """Where each new place, which is the largest so far, stands."""
+    if not len(places):
+        return np.zeros(0, dtype=np.int64)
+    most = np.maximum.accumulate(places)
+    return np.flatnonzero(np.concatenate(([True], most[1:] > most[:-1])))
+
+
+def uncoded(row: dict) -> np.ndarray:
+    """The places that coded_blocks packed."""
+    order = np.frombuffer(row["order"], dtype=np.uint32)
+    numbers = codec.unpack(row["control"], row["data"], int(np.frombuffer(row["offsets"], dtype=np.int64)[-1]))
+    places = np.concatenate((np.zeros(1, dtype=np.uint32), order))[numbers]
+    places[numbers == 0] = np.arange(row["n"], dtype=np.uint32)
+    return places
 
 
 def joined(strings: pa.Array, sizes: np.ndarray, separator: str = " ") -> pa.Array:
@@ -218,10 +255,8 @@ def encode(docs: DataFrame, tokenizer: str, finish, schema: str, key: str = "doc
     def end(blocks: pa.Table, words: pa.Table) -> pa.Table:
         out = []
         for row in blocks.to_pylist():
-            order = np.frombuffer(row["order"], dtype=np.uint32)
             offsets = np.frombuffer(row["offsets"], dtype=np.int64)
-            places = order[codec.unpack(row["control"], row["data"], int(offsets[-1]))] if len(order) else np.zeros(0, np.uint32)
-            out.append(finish(row["keys"], offsets, places, BlockIds(words, len(order)), WordEncoder.of(shared.value)))
+            out.append(finish(row["keys"], offsets, uncoded(row), BlockIds(words, row["n"]), WordEncoder.of(shared.value)))
         return pa.concat_tables(out) if out else empty
 
     fields = docs.sparkSession.createDataFrame([], schema)
