@@ -71,11 +71,11 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 OP8 = r"""
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-b AS (SELECT doc_id, x, unnest(generate_series(0, len(x) // 2 - 1)) AS i FROM d WHERE len(x) > 0),
-g AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 100)) AS h FROM b WHERE i <= len(x) // 2 - 50),
-m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
-r AS (SELECT doc_id, i FROM g JOIN m USING (h) WHERE doc_id > least),
-f AS (SELECT b.doc_id, b.i, substr(b.x, 2 * b.i + 1, 2) AS c,
+b AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS c, CASE WHEN i <= len(x) // 2 - 50 THEN md5_number(substr(x, 2 * i + 1, 100)) END AS h
+  FROM (SELECT doc_id, x, unnest(generate_series(0, len(x) // 2 - 1)) AS i FROM d WHERE len(x) > 0)),
+m AS (SELECT h, min(doc_id) AS least FROM b WHERE h IS NOT NULL GROUP BY h HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT b.doc_id, b.i FROM b JOIN m USING (h) WHERE b.doc_id > least),
+f AS (SELECT b.doc_id, b.i, c,
     coalesce(max(CASE WHEN r.i IS NOT NULL THEN b.i END) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), -1) >= 0 AS gone
   FROM b LEFT JOIN r ON r.doc_id = b.doc_id AND r.i = b.i),
 e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM f),
