@@ -39,32 +39,38 @@ def _passes(line: str) -> str:
     )
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: body with name bound to value. Where the optimizer copies an expression, value is still computed once in it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _repeat_words() -> str:
+    """SQL: words in windows of three words that occur twice or more; from the array _lk_words."""
+    # Windows are compared by the 64-bit hash of their three words, within one text only.
+    windows = (
+        "sort_array(CASE WHEN size(w) >= 3 THEN transform(sequence(0, size(w) - 3),"
+        " i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS i)) ELSE array() END)"
+    )
+    # Places of the windows whose neighbour in that order is equal.
+    twice = (
+        "sort_array(filter(transform(s, (x, j) -> CASE WHEN (j > 0 AND s[j - 1].h = x.h)"
+        " OR (j < size(s) - 1 AND s[j + 1].h = x.h) THEN x.i END), p -> p IS NOT NULL))"
+    )
+    words = "aggregate(transform(t, (p, j) -> CASE WHEN j < size(t) - 1 THEN least(3, t[j + 1] - p) ELSE 3 END), 0L, (a, x) -> a + x)"
+    return _let("w", "_lk_words", _let("s", windows, _let("t", twice, words)))
+
+
 def _steps(min_words: int, max_repeat: int, min_kept: int) -> list[dict[str, str]]:
     """SQL for the working columns; each dict is one projection that uses the one before."""
     return [
+        {"_lk_lines": f"filter(split(coalesce(_lk_text, ''), r'\n'), l -> l rlike r'{HAS_WORD}')"},
         {
-            "_lk_lines": f"filter(split(coalesce(_lk_text, ''), r'\n'), l -> l rlike r'{HAS_WORD}')",
-            "_lk_n": "size(_lk_words)",
-        },
-        {
-            # Windows are compared by the 64-bit hash of their three words, within one text only.
-            "_lk_windows": "sort_array(CASE WHEN _lk_n >= 3 THEN transform(sequence(0, _lk_n - 3),"
-            " i -> struct(xxhash64(_lk_words[i], _lk_words[i + 1], _lk_words[i + 2]) AS h, i AS i)) ELSE array() END)",
-            "_lk_kept_chars": f"length(regexp_replace(array_join(filter(_lk_lines, l -> {_passes('l')}), ''), r'{SPACE}', ''))",
-        },
-        {
-            # Places of the windows whose neighbour in the order is equal.
-            "_lk_twice": "sort_array(transform(filter(transform(_lk_windows, (x, j) -> CASE WHEN"
-            " (j > 0 AND _lk_windows[j - 1].h = x.h) OR (j < size(_lk_windows) - 1 AND _lk_windows[j + 1].h = x.h)"
-            " THEN x.i END), p -> p IS NOT NULL), p -> p))",
-        },
-        {
-            "n_words": "CAST(_lk_n AS BIGINT)",
+            "n_words": "CAST(size(_lk_words) AS BIGINT)",
             "word_chars": "CAST(length(array_join(_lk_words, '')) AS BIGINT)",
             "n_symbols": "CAST(length(regexp_replace(coalesce(_lk_text, ''), '[^#*$%&|<>]+', '')) AS BIGINT)",
             "n_dup_lines": "CAST(size(_lk_lines) - size(array_distinct(_lk_lines)) AS BIGINT)",
-            "n_repeat_words": "aggregate(transform(_lk_twice, (p, j) -> CASE WHEN j < size(_lk_twice) - 1"
-            " THEN least(3, _lk_twice[j + 1] - p) ELSE 3 END), 0L, (a, x) -> a + x)",
+            "n_repeat_words": _repeat_words(),
+            "_lk_kept_chars": f"length(regexp_replace(array_join(filter(_lk_lines, l -> {_passes('l')}), ''), r'{SPACE}', ''))",
         },
         {"base_failed": f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words"},
         {"kept": f"NOT base_failed AND 100 * _lk_kept_chars >= {min_kept} * word_chars"},
