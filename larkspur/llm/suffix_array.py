@@ -39,6 +39,8 @@ from larkspur.llm.dealt import among, covered, mixed
 WINDOW, GRAM = 50, 20
 #: Bytes kept of an anchor's hash in the first round, and different contexts up to which an anchor is gathered.
 NAME_BYTES, HOT = 6, 2000
+#: Bytes of text in a block, about: a block takes some 25 times as much while its anchors are found.
+BLOCK_BYTES = 4 << 20
 NO_ID = np.int64((1 << 63) - 1)
 #: A number for every byte, by a fixed rule.
 TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * dealt.ODD)
@@ -203,7 +205,7 @@ def _least_id(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return names[first], ids[first], first
 
 
-def removals(docs: DataFrame, finish, schema: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = dealt.BLOCK_BYTES, hot: int = HOT, carried: list[str] | None = None) -> DataFrame:
+def removals(docs: DataFrame, finish, schema: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot: int = HOT, carried: list[str] | None = None) -> DataFrame:
     """What finish(Block, removed) yields for every block, as an Arrow table of schema; removed: a flag per byte."""
     blocks, n = dealt.deal(docs, key, text, block_bytes, carried)
 
