@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,3 +49,123 @@ def costs(runs: DataFrame) -> DataFrame:
         )
         .orderBy(F.col("cost_per_success").asc_nulls_last(), "task_type", "start_model")
     )
+
+
+def models(runs: DataFrame) -> DataFrame:
+    """Runs solved without escalation, success rate and cost by model."""
+    won = F.col("status") == "succeeded"
+    return (
+        runs.where(F.col("status").isin("succeeded", "failed"))
+        .groupBy("start_model")
+        .agg(
+            F.count("*").alias("runs"), count_if(won & (F.col("escalations") == 0)).alias("solved"), ratio(count_if(won), F.count("*"), 3).alias("success_rate"),
+            F.sum("cost_usd").cast("double").alias("cost"),
+        )
+        .orderBy(F.col("solved").desc_nulls_last(), "start_model")
+    )
+
+
+def agents(runs: DataFrame, names: DataFrame) -> DataFrame:
+    """Runs, sum and mean of cost by agent; names is a small table of agent_id and agent, checked by Spark's own threshold."""
+    return runs.join(names, "agent_id").groupBy("agent").agg(
+        F.count("*").alias("runs"), F.sum("cost_usd").cast("double").alias("cost"), ratio(F.sum("cost_usd"), F.count("*")).alias("avg_cost")
+    )
+
+
+def skills(runs: DataFrame) -> DataFrame:
+    """Calls and cost by skill; a run lists its skills as a JSON array, and runs without skills drop out."""
+    listed = runs.withColumn("skill", F.explode(F.from_json("skills", "array<string>")))
+    return listed.groupBy("skill").agg(F.count("*").alias("calls"), F.sum("cost_usd").cast("double").alias("cost"))
+
+
+def loops(runs: DataFrame) -> DataFrame:
+    """Repairs and iterations by task type; "-" where there is none."""
+    return runs.groupBy(F.coalesce("task_type", F.lit("-")).alias("task_type")).agg(
+        ratio(F.sum("repairs"), F.count("repairs")).alias("avg_repairs"), F.max("repairs").alias("max_repairs"),
+        count_if(F.col("repairs") >= 3).alias("runs_3_repairs"), ratio(F.sum("iterations"), F.count("iterations")).alias("avg_iterations"),
+    )
+
+
+def routes(runs: DataFrame) -> DataFrame:
+    """Runs and cost by task type, model, status and agent."""
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in ("task_type", "start_model", "status", "agent_id")]
+    return runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.sum("cost_usd").cast("double").alias("cost"))
+
+
+def escalations(runs: DataFrame, days: int = 60) -> DataFrame:
+    """Per day of the last `days` before the newest run: runs, escalated runs, their rate, and the models they left."""
+    newest = runs.agg(F.max("started_at").alias("newest"))
+    recent = runs.crossJoin(F.broadcast(newest)).where(F.col("started_at") > F.col("newest") - F.make_interval(days=F.lit(days)))
+    up = F.col("escalations") > 0
+    left = F.sort_array(F.collect_set(F.when(up, F.col("start_model"))))
+    return recent.groupBy(F.to_date("started_at").alias("day")).agg(
+        F.count("*").alias("runs"), count_if(up).alias("escalated"), ratio(count_if(up), F.count("*"), 3).alias("rate"),
+        F.array_join(F.when(F.size(left) > 0, left), ",").alias("from_models"),
+    )
+
+
+def spend(runs: DataFrame) -> DataFrame:
+    """Cost by day, model and task type."""
+    return runs.groupBy(F.date_trunc("day", "started_at").cast("date").alias("day"), "start_model", "task_type").agg(F.sum("cost_usd").cast("double").alias("cost"))
+
+
+def learned_stats(runs: DataFrame, days: int = 90) -> DataFrame:
+    """What each model has shown in the last `days`: runs, solved without escalation, cost per success (0 without one)."""
+    newest = runs.agg(F.max("started_at").alias("newest"))
+    recent = runs.crossJoin(F.broadcast(newest)).where(F.col("started_at") > F.col("newest") - F.make_interval(days=F.lit(days)))
+    won = F.col("status") == "succeeded"
+    return recent.where(F.col("status").isin("succeeded", "failed")).groupBy("task_type", "start_model").agg(
+        F.count("*").alias("runs"), count_if(won & (F.col("escalations") == 0)).alias("solved"),
+        F.coalesce(ratio(F.sum("cost_usd"), count_if(won)), F.lit(0.0)).alias("cost_per_success"),
+    )
+
+
+def best_models(stats: DataFrame, least_runs: int = 5, least_rate: float = 0.3) -> DataFrame:
+    """Per task type the cheapest model that is proven; ties by success, then by name."""
+    rate = F.col("solved") / F.col("runs")
+    order = Window.partitionBy("task_type").orderBy("cost_per_success", rate.desc(), "start_model")
+    proven = stats.where((F.col("runs") >= least_runs) & (rate >= least_rate))
+    return proven.withColumn("place", F.row_number().over(order)).where("place = 1").select("task_type", "start_model", "cost_per_success")
+
+
+def local_day(ts: Column, zone: str, unit: str = "day") -> Column:
+    """The start of ts's day or month in a time zone, as an instant."""
+    return F.to_utc_timestamp(F.date_trunc(unit, F.from_utc_timestamp(ts, zone)), zone)
+
+
+def budget_states(runs: DataFrame, limits: DataFrame, zone: str = "America/Sao_Paulo", warn: float = 0.8) -> DataFrame:
+    """Spend of the newest run's day and month against limits (period, limit_usd; below 0: none).
+
+    Spend is summed per local day first, so what is joined by `>=` to the limits is a row for each day.
+    """
+    days = runs.groupBy(local_day(F.col("started_at"), zone).alias("day")).agg(F.sum("cost_usd").alias("cost"))
+    newest = runs.agg(F.max("started_at").alias("now"))
+    since = limits.crossJoin(F.broadcast(newest)).withColumn("since", F.when(F.col("period") == "day", local_day(F.col("now"), zone)).otherwise(local_day(F.col("now"), zone, "month")))
+    spent = since.join(days, F.col("day") >= F.col("since"), "left").groupBy("period", "limit_usd").agg(F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("spent"))
+    used = F.try_divide(F.col("spent"), F.col("limit_usd"))
+    state = F.when(F.col("limit_usd") < 0, "unlimited").when(used.isNull() | (used >= 1), "exhausted").when(used >= warn, "warn").otherwise("ok")
+    return spent.select("period", "limit_usd", F.round("spent", 2).alias("spent"), state.alias("state"))
+
+
+def monthly_active(events: DataFrame) -> DataFrame:
+    """Distinct users per month with the growth on the month before in percent."""
+    months = events.groupBy(F.date_trunc("month", "ts").cast("date").alias("month")).agg(F.count_distinct("user_id").alias("users"))
+    before = F.lag("users").over(Window.orderBy("month"))  # a row for each month: small at any size
+    return months.select("month", "users", F.round(100.0 * (F.col("users") - before) / before, 1).alias("growth_pct"))
+
+
+def session_runs(runs: DataFrame) -> DataFrame:
+    """First close wins, a failure sticks: per agent and day the state that its runs leave, in order of time."""
+    day = F.to_date("started_at").alias("day")
+    rows = F.struct("started_at", "run_id", "status")
+    return runs.groupBy("agent_id", day).agg(
+        F.max(F.col("status") == "failed").alias("any_failed"), F.min(rows).alias("first"), F.max(F.when(F.col("status") != "cancelled", rows)).alias("last"), F.count("*").alias("n")
+    ).select("agent_id", "day", "n", F.when(F.col("any_failed"), "failed").otherwise(F.col("first.status")).alias("final_status"), F.col("last.run_id").alias("last_run"))
+
+
+def failure_streaks(runs: DataFrame) -> DataFrame:
+    """The longest run of failures per agent, in order of time; anything else resets it."""
+    order = Window.partitionBy("agent_id").orderBy("started_at", "run_id")
+    block = F.sum((F.col("status") != "failed").cast("long")).over(order)
+    streaks = runs.withColumn("block", block).where("status = 'failed'").groupBy("agent_id", "block").agg(F.count("*").alias("n"))
+    return streaks.groupBy("agent_id").agg(F.max("n").alias("longest"), F.count("*").alias("streaks"))

@@ -1,16 +1,29 @@
-"""All queries of the library but those of the training-data subpackage, with DuckDB SQL."""
+"""All queries of the library but those of the training-data subpackage, with DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from larkspur.plans import ledger_reports as ledger
+import importlib
+
+from pyspark.sql import DataFrame, SparkSession
 
 QUERIES = {}
 SQL = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dates_as_text(df: DataFrame) -> DataFrame:
+    """Dates read alike in every engine once they are text."""
+    return df.withColumns({c: df[c].cast("string") for c, t in df.dtypes if t == "date"})
+
+
 def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under a name."""
+
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, sf_dir: dates_as_text(f(spark, sf_dir))
         if sql:
             SQL[name] = sql
         return f
@@ -18,17 +31,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query(
-    "rpt_costs",
-    f"""
-WITH r AS ({ledger.RUNS_SQL})
-SELECT task_type, start_model, count(*) AS runs, count(*) FILTER (WHERE status = 'succeeded') AS succeeded,
-  count(*) FILTER (WHERE status = 'succeeded' AND escalations = 0) AS solved_without_escalation,
-  round(count(*) FILTER (WHERE status = 'succeeded')::DOUBLE / count(*), 6) AS success_rate, sum(cost_usd)::DOUBLE AS total_cost,
-  round(sum(cost_usd)::DOUBLE / nullif(count(*) FILTER (WHERE status = 'succeeded'), 0), 6) AS cost_per_success,
-  round(avg(iterations), 6) AS avg_iterations, round(avg(repairs), 6) AS avg_repairs, round(avg(escalations), 6) AS avg_escalations
-FROM r WHERE status IN ('succeeded', 'failed') AND task_type IS NOT NULL GROUP BY task_type, start_model
-""",
-)
-def rpt_costs(spark, sf_dir):
-    return ledger.costs(ledger.runs(spark, sf_dir))
+for _family in ("ledger_queries", "relational_queries"):
+    importlib.import_module(f"larkspur.plans.{_family}")
