@@ -76,7 +76,7 @@ def chunks(text: str | None, limit: int = MAX_TOKENS, overlap: int = OVERLAP, le
                     same += 1
                 out[-1] = [path[:same], out[-1][1] + "\n\n" + chunk]
                 continue
-            tail = " ".join(out[-1][1].split()[-overlap // 2 :]) if i and overlap else ""
+            tail = " ".join(out[-1][1].split()[-overlap // 2 :]) if i and overlap and not out[-1][1].endswith("```") else ""
             if tail and tokens(tail) <= overlap and tokens(tail + "\n\n" + chunk) <= limit:
                 chunk = tail + "\n\n" + chunk
             out.append([path, chunk])

@@ -9,13 +9,13 @@ from larkspur.operators import finance
 from larkspur.plans.registry import query, table
 
 #: Signed amounts: closed orders come in, the others go out.
-AMOUNT = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice")).cast("decimal(18,2)")
-ROWS = "r AS (SELECT o_orderpriority AS category, o_orderdate::DATE AS day, CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END AS DECIMAL(18,2)) AS amount FROM orders)"
+AMOUNT = "CAST(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END AS DECIMAL(18,2))"
+ROWS = "r AS (SELECT o_orderpriority AS category, o_orderdate::DATE AS day, " + AMOUNT + " AS amount FROM orders)"
 TOTALS = """count(amount) AS count, sum(amount)::DOUBLE AS total, coalesce(sum(amount) FILTER (WHERE amount > 0), 0)::DOUBLE AS inflow, coalesce(sum(amount) FILTER (WHERE amount <= 0), 0)::DOUBLE AS outflow"""
 
 
 def _rows(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("category"), F.to_date("o_orderdate").alias("day"), AMOUNT.alias("amount"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("category"), F.to_date("o_orderdate").alias("day"), F.expr(AMOUNT).alias("amount"))
 
 
 PROFILED = ["o_orderstatus", "o_orderpriority", "o_custkey"]

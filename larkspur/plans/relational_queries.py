@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import joins
 from larkspur.plans.registry import query, table
 
-NET = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+NET = "l_extendedprice * (1 - l_discount)"
 
 
 @query("top_products", """
@@ -16,7 +16,7 @@ SELECT p_partkey, p_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS r
 WHERE o_orderstatus = 'F' GROUP BY ALL ORDER BY revenue DESC, p_partkey LIMIT 10""")
 def top_products(spark, sf_dir):
     closed = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
-    sold = table(spark, sf_dir, "lineitem").join(closed, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_partkey").agg(F.round(F.sum(NET), 2).alias("revenue"))
+    sold = table(spark, sf_dir, "lineitem").join(closed, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_partkey").agg(F.round(F.sum(F.expr(NET)), 2).alias("revenue"))
     # The names are joined to the totals, a row for each part, not to every line.
     named = sold.join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     return named.select("p_partkey", "p_name", "revenue").orderBy(F.desc("revenue"), "p_partkey").limit(10)
@@ -30,10 +30,10 @@ def top_customers(spark, sf_dir):
     return named.select("c_custkey", "c_name", "spent", "orders").orderBy(F.desc("spent"), "c_custkey").limit(20)
 
 
-@query("reconcile_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("reconcile_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def reconcile_anti(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return joins.unmatched(customers, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return joins.unmatched(customers, table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("reconcile_two_keys", """
