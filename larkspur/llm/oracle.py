@@ -86,4 +86,14 @@ SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGIN
 FROM d LEFT JOIN a USING (doc_id)
 """
 
-SQL = {"op8_suffix_array_dedup": OP8, "op2_substring_dedup": OP2, "op3_chat_formatting": OP3, "op7_benchmark_decontamination": OP7, "op10_quality_rules": OP10}
+OP6 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, octet_length(encode(t))::BIGINT AS n, sha1(encode(t)) AS h, min(page_id) OVER (PARTITION BY t) AS first FROM p),
+b AS (SELECT *, list_transform(range(0, 20), lambda k: ('0x' || substr(h, (2 * k + 1)::INT, 2))::INT) || [0] AS x FROM d)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((((x[1 + (5 * i) // 8] * 256 + x[2 + (5 * i) // 8]) >> (11 - (5 * i) % 8)::INT)) % 32))::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM b
+"""
+
+SQL = {"op6_warc_archive": OP6, "op8_suffix_array_dedup": OP8, "op2_substring_dedup": OP2, "op3_chat_formatting": OP3, "op7_benchmark_decontamination": OP7, "op10_quality_rules": OP10}
