@@ -89,7 +89,8 @@ class Block:
         place = anchor[first]
         # A context's hash tells the anchor's place in it as well.
         context = mixed(hashes.of(first, last - first + window) ^ mixed((place - first + 1).astype(np.uint64)))
-        return [place + a, first + a, last + a, doc[first], grams[place], context]
+        # Anchors have small hashes, being least ones: mixed again, their names spread over all buckets.
+        return [place + a, first + a, last + a, doc[first], mixed(grams[place] + dealt.ODD), context]
 
     def windows(self, starts: np.ndarray) -> np.ndarray:
         """Hashes of the windows that start at ascending places."""
