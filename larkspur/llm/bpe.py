@@ -127,7 +127,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[i
     n, task = 0, TaskContext.get().partitionId()
     for batch in batches:
         for part in pieces(batch, "text", limit):
-            offsets, places, words = coded_words(simplified(part.column("text")))
+            offsets, places, words = coded_words(part.column("text"), simplified)
             sum32 = zlib.crc32(words.cast(pa.large_binary()).buffers()[2] or b"") if len(words) else 0
             yield sum32 << 31 | (task & 0xFFFFF) << 11 | n & 0x7FF, part, offsets, places, words
             n += 1
