@@ -44,8 +44,8 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _repeat_words() -> str:
-    """SQL: words in windows of three words that occur twice or more; from the array _lk_words."""
+def _repeat_words(words: str = "_lk_words") -> str:
+    """SQL: words in windows of three words that occur twice or more."""
     # Windows are compared by the 64-bit hash of their three words, within one text only.
     windows = (
         "sort_array(CASE WHEN size(w) >= 3 THEN transform(sequence(0, size(w) - 3),"
@@ -56,8 +56,8 @@ def _repeat_words() -> str:
         "sort_array(filter(transform(s, (x, j) -> CASE WHEN (j > 0 AND s[j - 1].h = x.h)"
         " OR (j < size(s) - 1 AND s[j + 1].h = x.h) THEN x.i END), p -> p IS NOT NULL))"
     )
-    words = "aggregate(transform(t, (p, j) -> CASE WHEN j < size(t) - 1 THEN least(3, t[j + 1] - p) ELSE 3 END), 0L, (a, x) -> a + x)"
-    return _let("w", "_lk_words", _let("s", windows, _let("t", twice, words)))
+    covered = "aggregate(transform(t, (p, j) -> CASE WHEN j < size(t) - 1 THEN least(3, t[j + 1] - p) ELSE 3 END), 0L, (a, x) -> a + x)"
+    return _let("w", words, _let("s", windows, _let("t", twice, covered)))
 
 
 def _steps(min_words: int, max_repeat: int, min_kept: int) -> list[dict[str, str]]:
@@ -70,13 +70,29 @@ def _steps(min_words: int, max_repeat: int, min_kept: int) -> list[dict[str, str
             "n_symbols": "CAST(length(regexp_replace(coalesce(_lk_text, ''), '[^#*$%&|<>]+', '')) AS BIGINT)",
             "n_dup_lines": "CAST(size(_lk_lines) - size(array_distinct(_lk_lines)) AS BIGINT)",
             "n_repeat_words": _repeat_words(),
-            "_lk_kept_chars": f"length(regexp_replace(array_join(filter(_lk_lines, l -> {_passes('l')}), ''), r'{SPACE}', ''))",
+            "_lk_kept_chars": _kept_chars("_lk_lines"),
         },
         {"base_failed": f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words"},
         {"kept": f"NOT base_failed AND 100 * _lk_kept_chars >= {min_kept} * word_chars"},
     ]
 
 
+def _kept_chars(lines: str) -> str:
+    """SQL: characters of words in the lines that pass."""
+    return f"length(regexp_replace(array_join(filter({lines}, l -> {_passes('l')}), ''), r'{SPACE}', ''))"
+
+
+def _kept(text: str, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, min_kept_percent: int = MIN_KEPT_PERCENT) -> str:
+    """SQL: the verdict as one expression. As a filter it is moved next to the scan, so its words are bound in it."""
+    words = f"array_remove(split(coalesce({text}, ''), r'{SPACE}'), '')"
+    lines = f"split({text}, r'\\n')"
+    verdict = (
+        f"size(v) >= {min_words} AND 100 * {_kept_chars(lines)} >= {min_kept_percent} * length(array_join(v, ''))"
+        f" AND 100 * {_repeat_words('v')} <= {max_repeat_percent} * size(v)"
+    )
+    return _let("v", words, f"({verdict})")
+
+
 def judge(
     docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
     min_kept_percent: int = MIN_KEPT_PERCENT,
@@ -101,7 +117,7 @@ def clean_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"_lk_c{i}") for i, c in enumerate(names)])
     at = names.index(text)
-    out = judge(inner, f"_lk_c{at}", **rules).where("kept")
+    out = inner.where(_kept(f"_lk_c{at}", **rules))
     lines = F.expr(f"filter(split(_lk_c{at}, r'\n'), l -> NOT l rlike r'{HAS_WORD}' OR {_passes('l')})")
     out = out.withColumn("_lk_new", F.array_join(lines, "\n"))
     new = {text: F.col("_lk_new"), n_chars: F.length("_lk_new").cast("long")}
