@@ -87,3 +87,17 @@ def widths(lines: DataFrame, delimiters: tuple[str, ...] = (",", ";", "\t", "|")
     counted = [lines.select(F.lit(d).alias("delimiter"), (F.length("line") - F.length(F.replace("line", F.lit(d), F.lit(""))) + 1).alias("width")) for d in delimiters]
     sizes = reduce(DataFrame.unionByName, counted).groupBy("delimiter", "width").agg(F.count("*").alias("lines"))
     return sizes.where("width > 1").groupBy("delimiter").agg(F.max(F.struct("lines", "width")).alias("best")).select("delimiter", "best.lines", "best.width")
+
+
+def outstanding(part: Column, amount: Column) -> Column:
+    """What is still to pay of an instalment written as 3/12: the parts after it; null where it isn't written so."""
+    number, total = (F.regexp_extract(part, r"^\s*([0-9]+)\s*/\s*([0-9]+)\s*$", i).try_cast("int") for i in (1, 2))
+    return F.when(total > number, total - number).when(total <= number, 0) * amount
+
+
+def income_shares(rows: DataFrame, kind: str, amount: str, income: str) -> DataFrame:
+    """Per kind of spending: its sum and its percentage of all rows of the kind `income`; null without income."""
+    sums = rows.groupBy(F.col(kind).alias("kind")).agg(F.sum(amount).alias("total"))
+    earned = sums.agg(F.sum(F.when(F.col("kind") == income, F.col("total"))).alias("_earned"))
+    spent = sums.where(F.col("kind") != income).crossJoin(F.broadcast(earned))  # one row
+    return spent.select("kind", F.col("total").cast("double").alias("total"), F.round(F.try_divide(F.col("total").cast("double"), F.col("_earned").cast("double")) * 100, 1).alias("pct"))
