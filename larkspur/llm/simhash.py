@@ -11,14 +11,15 @@ variant holds at most 65 fingerprints. Stars are found by grouped minima, combin
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; null ids never become a component's
 id unless all ids of a component are null; repeated and tied rows are kept, each with its component; an empty table
-gives an empty result; extra columns are ignored by `components`, and pass through `one_of_each`.
+gives an empty result; extra columns are ignored by `components`, and pass through `one_of_each`. Components that share
+a smallest id, or have none, stay apart in `one_of_each`: each keeps a row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.shared import written
@@ -45,15 +46,17 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and fp (the fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", marks: tuple[Column, ...] = ()) -> DataFrame:
+    """key, fp (the fingerprint as a signed long) and the marks (longs, as m0, m1, ...) of every row."""
+    passed = ["key", *[f"m{i}" for i in range(len(marks))]]
 
     def made(batches):
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found)], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], pa.array(found)], names=[*passed, "fp"])
 
-    return docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text")).mapInArrow(made, "key long, fp long")
+    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), *[m.alias(c) for m, c in zip(marks, passed[1:], strict=True)])
+    return rows.mapInArrow(made, ", ".join(f"{c} long" for c in [*passed, "fp"]))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -91,13 +94,17 @@ def components(pairs: DataFrame, tag: str = "components") -> DataFrame:
     return edges.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node")
 
 
+def rooted(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """distinct (one row for each fp) with root, the smallest fingerprint that is reachable; a written table."""
+    roots = components(links(distinct.select("fp"), radius))
+    of_fp = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+    return written(of_fp, "roots")
+
+
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """key, fp and component (the smallest key reachable) of every row."""
     rows = written(fingerprints(docs, key, text), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("key").alias("least"))
-    roots = components(links(distinct.select("fp"), radius))
-    of_fp = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_fp = written(of_fp, "roots")
+    of_fp = rooted(rows.groupBy("fp").agg(F.min("key").alias("least")), radius)
     ids = of_fp.groupBy("root").agg(F.min("least").alias("component"))
     named = of_fp.join(ids, "root").select("fp", "component")
     return rows.join(named, "fp").select("key", "fp", "component")
@@ -109,11 +116,21 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that of the smallest key; of rows with equal keys, any one that has it."""
+    """docs with one row of each component: of the smallest key (null last), then of the smallest hash of key and text.
+
+    A component is told by its root, not by its id, so those of equal or null ids don't merge. Rows are found again by
+    128 bits of hashes of key and text; of rows that have both in common, any one stays.
+    """
     names = docs.columns
-    found = components_of(docs, key, text, radius)
-    kept = found.groupBy("component").agg(F.min("key").alias("_lk_key")).select("_lk_key")
     inner = docs.select(*[F.col(f"`{c}`").alias(f"_lk_c{i}") for i, c in enumerate(names)])
-    own = f"_lk_c{names.index(key)}"
-    rows = inner.join(kept.distinct(), inner[own].cast("long").eqNullSafe(kept["_lk_key"]), "left_semi").dropDuplicates([own])
-    return rows.toDF(*names)
+    own, body = f"_lk_c{names.index(key)}", f"_lk_c{names.index(text)}"
+    id_ = F.col(own).cast("long")
+    told = (F.coalesce(id_, F.lit(0)), id_.isNull(), F.col(body))
+    marks = (F.xxhash64(*told), F.xxhash64(F.lit(1), *told))
+    rows = written(fingerprints(inner, own, body, marks), "fingerprints")
+    least = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "m0", "m1")).alias("least")
+    of_root = rooted(rows.groupBy("fp").agg(least), radius).groupBy("root").agg(F.min("least").alias("least"))
+    kept = of_root.select(F.col("least.m0").alias("_lk_m0"), F.col("least.m1").alias("_lk_m1"))
+    marked = inner.withColumns({"_lk_m0": marks[0], "_lk_m1": marks[1]})
+    left = marked.join(kept, ["_lk_m0", "_lk_m1"], "left_semi").dropDuplicates(["_lk_m0", "_lk_m1"])
+    return left.drop("_lk_m0", "_lk_m1").toDF(*names)

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -63,3 +64,16 @@ def test_one_of_each(spark):
     assert kept.columns == docs.columns
     expected = {c for _, _, c in brute([r[:2] for r in rows])}
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted(expected, key=str)
+
+
+def test_one_of_each_keeps_every_component(spark):
+    rng = random.Random(3)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    texts = [prose() for _ in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(None, texts[0]), (None, texts[6]), (4, texts[6]), (8, texts[6])]  # unrelated, repeated, with an id
+    rows += [(5, t) for t in texts[7:10]] + [(5, texts[7]), (6, texts[8])]  # tied smallest ids
+    rows += [(2, texts[10]), (5, texts[10]), (3, texts[11]), (2, texts[11])]  # ids of other components' survivors
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = [(None, t) for t in texts[:6]] + [(4, texts[6])] + [(5, t) for t in texts[7:10]] + [(2, texts[10]), (2, texts[11])]
+    assert len({brute_fingerprint(t) for t in texts}) == 12
+    assert sorted(map(tuple, simhash.one_of_each(docs).collect()), key=str) == sorted(expected, key=str)
