@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 MAX_TOKENS, OVERLAP, LEAST = 500, 50, 100
 HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*$")
@@ -105,16 +109,85 @@ def filled(sizes: Column, budget: int) -> Column:
     return F.aggregate(sizes, state, step, lambda s: s["taken"])
 
 
-def fill_budget(rows: DataFrame, key: str, order: list[str], size: str, budget: int, most: int = 10_000) -> DataFrame:
-    """rows that a budget per key takes, greedily in order.
+def held(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the folder that driver and executors share (spark.checkpoint.dir, a new local one where it is unset)."""
+    spark = df.sparkSession
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="larkspur-")
+    path = f"{there.rstrip('/')}/fill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-    The candidates of one key are gathered; most is what a context may look at, the rows beyond it in that order.
+
+def _taken(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The rows of blocks (key, _lk_b) that the block's budget _lk_left takes, in order; one batch is held at a time."""
+
+    def fold(batches):
+        now, left = (), 0
+        for batch in batches:
+            found = []
+            own = zip(*[batch.column(c).to_pylist() for c in (key, "_lk_b", "_lk_left", "_lk_n")], strict=True)
+            for i, (k, b, start, n) in enumerate(own):
+                if not (now and b == now[1] and (k == now[0] or (k != k and now[0] != now[0]))):  # NaN is one key
+                    now, left = (k, b), start
+                if n <= left:
+                    left -= n
+                    found.append(i)
+            yield batch.take(pa.array(found, pa.int32()))
+
+    return rows.repartition(key, "_lk_b").sortWithinPartitions(key, "_lk_b", *order, "_lk_n").mapInArrow(fold, rows.schema)
+
+
+def fill_budget(rows: DataFrame, key: str, order: list[str], size: str, budget: int, block: int = 100_000) -> DataFrame:
+    """rows that a budget per key takes, greedily in order: each that still fits is taken, one that doesn't is skipped.
+
+    Every row is looked at. Rows are dealt by range of key and order into blocks of about `block` rows. A key of one
+    block is folded at once. Of a key with more, the budget is carried from block to block: one whose sum fits is taken
+    whole, one whose least size doesn't fit is passed over, others are folded, a round for each in which one is met; in
+    ascending order that is one block a key. Keys of several blocks are fewer than blocks, so the driver holds blocks.
+
+    Defined cases: a null size is never taken and uses nothing; size 0 is always taken if the budget isn't negative;
+    a negative size gives budget back; null keys are one key; rows tied in order are taken by size, then any.
     """
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    ranked = rows.withColumn("_n", place).where(F.col("_n") <= most)
-    lists = ranked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_n", *[c for c in rows.columns if c != key]))).alias("_r"))
-    taken = lists.withColumn("_t", filled(F.transform("_r", lambda r: r[size].cast("long")), budget))
-    return taken.select(key, F.inline(F.transform(F.filter(F.arrays_zip("_r", "_t"), lambda x: x["_t"]), lambda x: x["_r"]))).drop("_n")
+    others = [c for c in rows.columns if c != key]
+    n = F.col("_lk_n")
+    free = (n == 0) & F.lit(budget >= 0)
+    sized = rows.withColumn("_lk_n", F.col(size).cast("long")).where(n.isNotNull())
+    some = sized.where(~free)
+    seen = some.agg(F.min("_lk_n").alias("least"), F.count("*").alias("all"), F.count_if(n <= budget).alias("fit")).first()
+    plain = seen["least"] is None or seen["least"] >= 0
+    if plain:
+        some = some.where(n <= budget)
+    count = max(1, -(-seen["fit" if plain else "all"] // block))
+    dealt = held(some.repartitionByRange(count, key, *order, "_lk_n").withColumn("_lk_b", F.spark_partition_id()))
+
+    sums = dealt.groupBy(key, "_lk_b").agg(F.sum("_lk_n").alias("total"), F.min("_lk_n").alias("least"))
+    spans = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_lk_b", "total", "least"))).alias("blocks")).where(F.size("blocks") > 1).collect()
+    schema = StructType([StructField("_lk_k", rows.schema[key].dataType), StructField("_lk_c", IntegerType()), StructField("_lk_i", IntegerType()), StructField("_lk_left", LongType())])
+
+    def begun(at: list[tuple], how: str) -> DataFrame:
+        """dealt with the budgets that blocks begin with, at: (key, block, place of the key, budget)."""
+        starts = F.broadcast(rows.sparkSession.createDataFrame(at, schema))
+        found = dealt.join(starts, F.col(f"`{key}`").eqNullSafe(F.col("_lk_k")) & (F.col("_lk_b") == F.col("_lk_c")), how)
+        found = found.withColumn("_lk_left", F.coalesce("_lk_left", F.lit(budget).cast("long"))).drop("_lk_k", "_lk_c")
+        return found.where(n <= F.col("_lk_left")) if plain else found
+
+    left, place, starts = [budget] * len(spans), [0] * len(spans), []
+    while True:
+        stuck = []
+        for i, span in enumerate(spans):
+            for b in span["blocks"][place[i] :]:
+                starts.append((span[key], b["_lk_b"], i, left[i]))
+                place[i] += 1
+                if b["least"] >= 0 and b["total"] <= left[i]:
+                    left[i] -= b["total"]
+                elif b["least"] <= left[i]:
+                    stuck.append(starts[-1])
+                    break
+        if not stuck:
+            break
+        for r in _taken(begun(stuck, "inner"), key, order).groupBy("_lk_i").agg(F.sum("_lk_n").alias("used")).collect():
+            left[r["_lk_i"]] -= r["used"]
+    return _taken(begun(starts, "left"), key, order).select(key, *others).unionByName(sized.where(free).select(key, *others))
 
 
 def map_reduce(rows: DataFrame, key: str, order: str, text: str, reduce_texts, group: int = 8) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import io
 import math
+import random
 import wave
 import zipfile
 from decimal import Decimal
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import decisions, numbers, texts
 from larkspur.operators import chunking, finance, joins, retrieval
 from larkspur.plans import ledger_reports
+from larkspur.plans.registry import QUERIES
 from larkspur.sources import delimited, notes, transcripts
 from larkspur.streaming import ledger_stream
 
@@ -117,6 +119,39 @@ def test_fill_and_reduce(spark):
     assert out == {"k": ",".join(f"t{i}" for i in range(20)), "one": "x"}
 
 
+def greedy(rows, budget):
+    """(key, place, size) rows taken, by a plain fold in order."""
+    left, out = {}, []
+    for k, i, n in sorted(rows, key=lambda r: r[1]):
+        if n is not None and n <= left.get(k, budget):
+            left[k] = left.get(k, budget) - n
+            out.append((k, i, n))
+    return sorted(out, key=str)
+
+
+def test_fill_looks_at_every_row(spark):
+    rng = random.Random(5)
+    mixed = [("hot", i, rng.choice([None, 0, 7, 90, 400, 5000])) for i in range(11_000)] + [("hot", 11_000, 0), ("hot", 11_001, 3)]
+    nulls = [("nulls", i, None) for i in range(10_500)] + [("nulls", 10_500, 4), ("nulls", 10_501, 0)]
+    late = [("late", i, 1000 - i // 11) for i in range(10_900)] + [(None, i, 30) for i in range(50)] + [(f"k{i % 40}", i, i % 300) for i in range(900)]
+    gives = [("gives", i, rng.choice([-5, 20, 60])) for i in range(300)]
+    for rows, blocks in ((mixed + nulls + late, (100_000, 3000)), (mixed[:1200] + gives, (250,))):
+        df = spark.createDataFrame(rows, "k string, i int, n int")
+        for block in blocks:
+            found = chunking.fill_budget(df, "k", ["i"], "n", 1000, block)
+            assert found.columns == ["k", "i", "n"]
+            assert sorted(map(tuple, found.collect()), key=str) == greedy(rows, 1000)
+    assert chunking.fill_budget(df.where("false"), "k", ["i"], "n", 1000).collect() == []
+
+
+def test_context_fill(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("source", "doc_id", "text").collect()
+    sizes = sorted((-(-len(r.text) // 4), r.doc_id, r.source) for r in docs if r.text is not None)
+    expected = greedy([(s, (n, i), n) for n, i, s in sizes], 5000)
+    found = QUERIES["context_fill"](spark, sf).collect()
+    assert sorted(((r.source, (r.n_tokens, r.doc_id), r.n_tokens) for r in found), key=str) == expected
+
+
 def test_upserts(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k long, name string, d string")
     new = spark.createDataFrame([(2, "B", None), (3, "c", "z")], "k long, name string, d string")
