@@ -74,8 +74,30 @@ def context_fill(spark, sf_dir):
     return chunking.fill_budget(rows, "source", ["n_tokens", "doc_id"], "n_tokens", 5000)
 
 
+SENTENCE, BLANK = r"(?<=[.!?])[ \t\r\n]+", r"[ \t\r\n]+"
+
+
+def _longest(sentences):
+    """The longest of an array of texts; of those as long, the least."""
+    return F.array_min(F.transform(sentences, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s"))))["s"]
+
+
+def _noted(text):
+    """A whole text as a summary: turns, words, characters and sum of CRC-32, then its longest sentence on a line of its own."""
+    t = F.coalesce(text, F.lit(""))
+    words = F.size(F.array_remove(F.split(t, BLANK), ""))
+    return F.concat_ws("\n", F.concat_ws(" ", F.lit("1"), words, F.length(t), F.crc32(t.cast("binary"))), _longest(F.split(t, SENTENCE)))
+
+
+def _merged(summaries):
+    """One summary of several, of the same form; in any grouping and order the same."""
+    split = F.transform(summaries, lambda s: F.split(s, "\n", 2))
+    total = lambda i: F.aggregate(split, F.lit(0).cast("long"), lambda a, s: a + F.split(s[0], " ")[i].cast("long"))
+    return F.concat_ws("\n", F.concat_ws(" ", *[total(i) for i in range(4)]), _longest(F.transform(split, lambda s: s[1])))
+
+
 @query("summarize")
 def summarize(spark, sf_dir):
-    """A map-reduce with a stand-in for the model: the first 60 characters of each text, joined and cut again."""
-    first = lambda ts: F.substring(F.array_join(F.transform(ts, lambda t: F.substring(F.coalesce(t, F.lit("")), 1, 60)), " / "), 1, 400)
-    return chunking.map_reduce(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", first)
+    """A map-reduce with a stand-in for the model: counts, check sum and longest sentence of whole conversations."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", _noted(F.col("text")).alias("text"))
+    return chunking.map_reduce(turns, "conv_id", "turn", "text", _merged)

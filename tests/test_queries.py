@@ -1,6 +1,8 @@
 """The registered queries against their SQL, and the plans that scale depends on."""
 
 import math
+import re
+import zlib
 
 import duckdb
 import pytest
@@ -60,3 +62,22 @@ def test_interval_join_is_an_equality(spark, sf):
 def test_registry_reads_any_folder(spark, sf):
     assert table(spark, sf, "nation").count() == 25
     assert set(SQL) <= set(QUERIES) and registry.QUERIES is QUERIES
+
+
+def summary(texts):
+    """What summarize says of a conversation, by a plain fold of its whole texts."""
+    texts = [t or "" for t in texts]
+    words = sum(len([w for w in re.split("[ \t\r\n]+", t) if w]) for t in texts)
+    longest = min((s for t in texts for s in re.split("(?<=[.!?])[ \t\r\n]+", t)), key=lambda s: (-len(s), s))
+    return f"{len(texts)} {words} {sum(map(len, texts))} {sum(zlib.crc32(t.encode()) for t in texts)}\n{longest}"
+
+
+def test_summaries_are_of_whole_conversations(spark, sf, tmp_path):
+    rows = [(1, i, f"Turn {i}. " + "word " * i + "end") for i in range(150)] + [(2, 0, "a\nb.  c? \u00e9\u00e9"), (3, 0, None), (3, 1, ""), (None, 0, "x"), (None, 1, "y" * 900 + ". z")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for folder in (sf, str(tmp_path)):
+        expected = {}
+        for r in spark.read.parquet(f"{folder}/conversations.parquet").collect():
+            expected.setdefault(r.conv_id, []).append(r.text)
+        found = {r.conv_id: r.text for r in QUERIES["summarize"](spark, folder).collect()}
+        assert found == {k: summary(ts) for k, ts in expected.items()}
