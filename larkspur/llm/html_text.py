@@ -1,17 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into blocks of text, each under the path of block elements from the root to it (inline elements
-are part of their block). Per path, the text length and the punctuation are summed and divided by the path's blocks;
-both ratios are laid along the page in block order, smoothed, fused by their product, and paths whose mean reaches the
-threshold, a part of the standard deviation, are content paths. The content paths' common container, or the article
-element above it, is the main part: every block in it is taken, but for what is marked as menu, header, footer,
-sidebar, notice, advert, form, comment or hidden.
+are part of their block). Per path, the text length outside links and the punctuation are summed and divided by the
+path's blocks; both ratios are laid along the page in block order, smoothed, fused by their product, and paths whose
+mean reaches the threshold are content paths. The content node is the deepest element that holds most of the text on
+content paths, or the article or main element around it. It is taken whole, but for paths under the threshold that
+are also named like something else (a menu, an advert) and for what is marked as such outright.
+
+Navigation, headers, footers, asides, forms, scripts, styles and hidden elements are no text by their elements or
+roles. A token of a class or id that is such a name as a whole ("ad", "cookie-notice") marks an element unless that is a
+heading; a part of a class ("ad-slot", "social-policy") is a hint, which lowers the path's ratios and counts only where
+they stay under the threshold. An article or main element raises them.
 
 Pages are worked on one by one inside Arrow batches: no shuffle, so a hot host or a very long page moves nothing.
 
 Defined cases: null or empty html gives an empty text; a tag cut off at the end is markup and is left out, a character
-reference cut off stays as it is; null ids and urls and repeated rows pass through; an empty table gives an empty
-result; extra columns are ignored.
+reference cut off stays as it is; a script or style that isn't closed goes to the page's end, other elements end with
+what is around them; of elements that hold equally much the deepest and first is taken; null ids and urls and repeated
+rows pass through; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,146 +25,209 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # The elements of HTML by what they do to text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|title|select"
-NOT_CONTENT = frozenset("nav header footer aside form head menu dialog button fieldset".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object output picture q ruby rt rp s samp small span strike strong sub sup time tt u var"
+    " math mfrac mi mn mo mover mrow ms msqrt msub msubsup msup mtext munder semantics".split()
+)
+#: Void elements that a text runs on around.
+VOID = frozenset("area base col embed img input link meta param source track wbr".split())
+#: Elements inside a text whose own text isn't shown as such.
+UNSEEN = frozenset("audio button canvas datalist meter progress select svg template video".split())
+NOT_CONTENT = frozenset("nav header footer aside form head menu dialog fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {  # an open element of the key is closed by the start of one of these
     "p": frozenset("address article aside blockquote details div dl fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",)),
     "tr": frozenset(("tr", "tbody", "tfoot")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")),
 }
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|banner|ads?|adverts?|advertisement|sponsor(?:ed)?|promo|cookies?|consent|notice|alert"
-    r"|newsletter|subscribe|signup|popup|modal|overlay|comments?|respond|reply|replies|disqus|share|sharing|social|related|recommend(?:ed|ations)?|widget|toolbar|pagination|pager|login|search)(?:$|[\s_-])",
-    re.I,
+# Names of what surrounds an article.
+NAMES = (
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead banner ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent"
+    " notice alert newsletter subscribe signup popup modal overlay comment comments respond reply replies disqus share sharing social related recommended recommendations"
+    " widget toolbar pagination pager login search"
 )
+MARKED = frozenset(NAMES.split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
+ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>]){ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<text>noscript|textarea|iframe|title)(?=[\s/>]){ATTRIBUTES}>.*?</(?P=text)\s*>"
+    rf"|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>{ATTRIBUTES})(?:>|\Z)|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
-#: Weights of a block's neighbours in the smoothing, and the part of the standard deviation that is the threshold.
+#: Weights of a block's neighbours in the smoothing.
 KERNEL = np.array([0.06, 0.24, 0.40, 0.24, 0.06])
-THRESHOLD = 0.5
-
-
-def _marked(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's name in a path, and whether it is marked as something else than content."""
-    if not attributes.strip():
-        return tag, tag in NOT_CONTENT
+#: The least score of a content path, in standard deviations and as a part of the best path's.
+THRESHOLD, LEAST_PART = 0.5, 0.2
+#: The part of the text on content paths that the content node holds.
+MOST = 0.7
+#: What the ratios of paths in an article or main element, and of hinted ones, are multiplied by.
+ARTICLE, HINT = 4.0, 0.25
+
+
+class Block(NamedTuple):
+    path: tuple[str, ...]
+    nodes: tuple[int, ...]  # the elements around it, from the root
+    text: str
+    links: int  # characters in links
+    hinted: bool  # an element around it has a name that hints at something else than content
+
+
+def _judged(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The element's name in a path, whether it is no content, and whether its class or id hints at that."""
+    if not attributes.strip(" /"):
+        return tag, tag in NOT_CONTENT, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    names = f"{found.get('class', '')} {found.get('id', '')}".strip()
+    classes, ids = (found.get(c, "").lower().split() for c in ("class", "id"))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
-    other = tag not in ("body", "html", "article", "main") and MARKED.search(names)
-    label = re.sub(r"\d+", "", names.split()[0]) if names else ""
-    return f"{tag}.{label}" if label else tag, bool(tag in NOT_CONTENT or found.get("role", "").lower() in ROLES or hidden or other)
+    named = tag not in HEADINGS and tag not in ("body", "html", "article", "main")
+    outright = named and any(MARKED.issuperset(re.split("[-_]", t)) for t in (*classes, *ids))
+    hinted = named and any(not MARKED.isdisjoint(re.split("[-_]", t)) for t in classes)
+    label = re.sub(r"\d+", "", (classes or ids or [""])[0])
+    return f"{tag}.{label}" if label else tag, bool(tag in NOT_CONTENT or found.get("role", "").lower() in ROLES or hidden or outright), hinted
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """Path and text of every block that isn't marked, in page order."""
-    out: list[tuple[tuple[str, ...], str]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, name in the path, marked itself or within a marked one
+def blocks(page: str) -> list[Block]:
+    """Every block that isn't marked, in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, name in the path, number, no content and hinted (itself or around it)
     text: list[str] = []
+    links, in_link, nodes, at = 0, False, 0, 0
+    unseen: list[str] = []  # an inline element that isn't shown, and those of its kind inside it
+
+    def say(piece: str) -> None:
+        nonlocal links
+        text.append(piece)
+        links += len(piece) if in_link else 0
 
     def flush() -> None:
+        nonlocal links
         if text:
             words = entities.unescape("".join(text)).split()
-            if words and not (stack and stack[-1][2]):
-                out.append((tuple(name for _, name, _ in stack), " ".join(words)))
+            if words and not (stack and stack[-1][3]):
+                out.append(Block(tuple(s[1] for s in stack), tuple(s[2] for s in stack), " ".join(words), links, bool(stack and stack[-1][4])))
             text.clear()
+        links = 0
 
-    at, inline_marked = 0, []
     for m in TOKEN.finditer(page):
-        if m.start() > at and not inline_marked:
-            text.append(page[at : m.start()])
+        if m.start() > at and not unseen:
+            say(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
-        if not tag:
+        if not tag or tag in VOID:
             continue
-        if tag in ("br", "wbr"):
-            if tag == "br":
-                text.append(" ")
+        ends, empty = bool(m["end"]), m["attr"].endswith("/")
+        if unseen and tag == unseen[0]:
+            if ends:
+                unseen.pop()
+            elif not empty:
+                unseen.append(tag)
+        elif unseen and unseen[0] in UNSEEN and not (ends and any(s[0] == tag for s in stack)):
+            continue  # inside it only its end counts, or the end of what is around it
+        elif tag == "br":
+            text.append(" ")
+        elif tag in UNSEEN:
+            if not ends and not empty and not unseen:
+                unseen.append(tag)
         elif tag in INLINE:  # a marked inline element hides its own text only
-            if inline_marked:
-                if tag == inline_marked[0]:
-                    inline_marked.append(tag) if not m["end"] else inline_marked.pop()
-            elif not m["end"] and m["attr"] and _marked(tag, m["attr"])[1]:
-                inline_marked.append(tag)
-        elif m["end"]:
-            inline_marked.clear()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flush()
-                    del stack[i:]
-                    break
-            else:
-                flush()
+            if unseen:
+                continue
+            if tag == "a":
+                in_link = not ends
+            if not ends and m["attr"] and _judged(tag, m["attr"])[1]:
+                unseen.append(tag)
         else:
-            inline_marked.clear()
+            unseen.clear()
+            in_link = False
             flush()
-            if tag == "hr" or tag in VOID:
+            if ends:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        del stack[i:]
+                        break
                 continue
             while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
-            name, marked = _marked(tag, m["attr"])
-            stack.append((tag, name, marked or bool(stack and stack[-1][2])))
-    if at < len(page) and not inline_marked:
-        text.append(page[at:])
+            if tag != "hr":
+                name, marked, hinted = _judged(tag, m["attr"])
+                nodes += 1
+                stack.append((tag, name, nodes, marked or bool(stack and stack[-1][3]), hinted or bool(stack and stack[-1][4])))
+    if at < len(page) and not unseen:
+        say(page[at:])
     flush()
     return out
 
 
-def content_paths(found: list[tuple[tuple[str, ...], str]]) -> set[tuple[str, ...]]:
-    """Paths whose smoothed and fused ratios reach the threshold; one at least if there is a block."""
+def _weight(b: Block) -> float:
+    return (ARTICLE if any(name.split(".")[0] in ("article", "main") for name in b.path) else 1.0) * (HINT if b.hinted else 1.0)
+
+
+def path_scores(found: list[Block]) -> tuple[dict[tuple[str, ...], float], float]:
+    """The mean of the smoothed and fused ratios of each path, and the deviation of the fused ratios along the page."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text in found:
-        length[path] += len(text)
-        marks[path] += len(PUNCTUATION.findall(text))
-        count[path] += 1
-    along = np.array([(length[p] / count[p], (1 + marks[p]) / count[p]) for p, _ in found])
+    for b in found:
+        length[b.path] += max(0, len(b.text) - b.links)
+        marks[b.path] += len(PUNCTUATION.findall(b.text))
+        count[b.path] += 1
+    along = np.array([(length[b.path] / count[b.path], (1 + marks[b.path]) / count[b.path]) for b in found])
     half = len(KERNEL) // 2
     padded = np.pad(along, ((half, half), (0, 0)), mode="edge")
     smooth = np.stack([np.convolve(padded[:, k], KERNEL, mode="valid") for k in (0, 1)], axis=1)
-    fused = smooth.prod(axis=1)
+    fused = smooth.prod(axis=1) * np.array([_weight(b) for b in found])
     by_path = defaultdict(list)
-    for (path, _), score in zip(found, fused, strict=True):
-        by_path[path].append(score)
-    means = {p: float(np.mean(s)) for p, s in by_path.items()}
-    most = max(means.values())
-    least = min(most, max(THRESHOLD * float(fused.std()), 0.2 * most))
-    return {p for p, s in means.items() if s >= least}
+    for b, score in zip(found, fused, strict=True):
+        by_path[b.path].append(score)
+    return {p: float(np.mean(s)) for p, s in by_path.items()}, float(fused.std())
+
+
+def content_paths(found: list[Block], threshold: float = THRESHOLD) -> set[tuple[str, ...]]:
+    """Paths whose score reaches the threshold; one at least if there is a block."""
+    scores, deviation = path_scores(found)
+    most = max(scores.values())
+    least = min(most, max(threshold * deviation, LEAST_PART / THRESHOLD * threshold * most))
+    return {p for p, s in scores.items() if s >= least}
+
+
+def content_node(found: list[Block], paths: set[tuple[str, ...]]) -> int:
+    """The number of the content node, the deepest that holds most of the text on content paths; 0 is the page."""
+    held: dict[int, float] = defaultdict(float)
+    depth: dict[int, int] = {0: 0}
+    around: dict[int, tuple[tuple[str, ...], tuple[int, ...]]] = {}
+    for b in found:
+        weight = _weight(b)
+        for i, node in enumerate((0, *b.nodes)):
+            depth[node] = i
+            around[node] = (b.path[:i], b.nodes[:i])
+            if b.path in paths:
+                held[node] += len(b.text) * weight
+    fit = [n for n, h in held.items() if h >= MOST * held[0]]
+    node = max(fit, key=lambda n: (depth[n], -n))
+    for name, outer in zip(*around[node], strict=True):
+        if name.split(".")[0] in ("article", "main"):  # the outermost article holds the innermost's headings too
+            return outer
+    outer = around[node][1]
+    if node and all(b.nodes[-1] == node for b in found if node in b.nodes):  # the node is a block itself: what is around it
+        return outer[-1] if outer else 0
+    return node
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     """The main text, blocks joined by newlines; empty if there is none."""
     found = blocks(page or "")
     if not found:
         return ""
-    chosen = sorted(content_paths(found))
-    first, last = chosen[0], chosen[-1]
-    n = 0
-    while n < min(len(first), len(last)) and first[n] == last[n]:
-        n += 1
-    if n == len(first) or n == len(last):
-        n -= 1  # the container of a block's own element
-    container = first[: max(n, 0)]
-    for i, name in enumerate(container):
-        if name.split(".")[0] in ("article", "main"):  # the outermost article holds the innermost's headings too
-            container = container[: i + 1]
-            break
-    size = len(container)
-    return "\n".join(text for path, text in found if path[:size] == container)
+    paths = content_paths(found, threshold)
+    node = content_node(found, paths)
+    return "\n".join(b.text for b in found if (not node or node in b.nodes) and (b.path in paths or not b.hinted))
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

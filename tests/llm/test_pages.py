@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import random
+from html.parser import HTMLParser
 
 import pytest
 
@@ -66,14 +68,88 @@ HEAD = "<html><head><title>T</title><script>var a='</p>';</script></head><body><
         (HEAD + "<article><p>Cut here &am", "Cut here &am"), (HEAD + "<article><p>Cut <b", "Cut"), ("<nav>only</nav>", ""), ("<article><p>a < b and c > d</article>", "a < b and c > d"),
         (HEAD + "<article><p>Tell <span class=ad>buy now</span>it.</p><!-- <p>no</p> --></article><div class=cookie-notice>We use cookies, many, many.</div>", "Tell it."),
         ("<article>loose <p>inner</p> tail</article>", "loose\ninner\ntail"),
+        ("<p>Before</p><svg/><p>After</p>", "Before\nAfter"), ("<p>One <img src=x> two <button>Go</button>three <input>.</p>", "One two three ."),
+        ("<article><section id='social-policy'><p>Text, here.</p></section><h2 id='search'>Find</h2><p>More <math><mi>x</mi></math>, <svg><g><path/><text>no</text></g></svg>end.</p></article>", "Text, here.\nFind\nMore x, end."),
+        ("<article><p>Open <svg><path d=''> gone</p><p>Next, <select><option>a</select>text.</p></article>", "Open\nNext, text."),
+        ("<article><p>One<title>two</p><p>three</p></article>", "One\ntwo\nthree"), ("<article><p>One</p><script>two</p><p>three</p></article>", "One"),
     ],
 )
 def test_main_text(page, text):
     assert main_text(page) == text
 
 
-def test_extracted(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumnRenamed("url", "url")
-    rows = html_text.extracted(pages).collect()
-    assert len(rows) == pages.count() and all(r.n_chars == len(r.text) and r.text for r in rows)
-    assert html_text.extracted(spark.createDataFrame(PAGES, SCHEMA)).count() == len(PAGES)
+class Article(HTMLParser):
+    """The text of the article element, read by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.out, self.now = 0, [], []
+
+    def cut(self):
+        if "".join(self.now).split():
+            self.out.append(" ".join("".join(self.now).split()))
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.depth += 1
+        elif tag == "br":
+            self.now.append(" ")
+        elif tag not in ("b", "i", "a", "em", "span"):
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "span"):
+            self.cut()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.now.append(data)
+
+
+def test_whole_table(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    expected = {}
+    for r in pages.collect():
+        reader = Article()
+        reader.feed(r.html)
+        reader.close()
+        reader.cut()
+        expected[r.page_id] = (r.url, "\n".join(reader.out), len("\n".join(reader.out)))
+    assert {r.page_id: tuple(r)[1:] for r in html_text.extracted(pages).collect()} == expected
+
+
+def bare_page(rng):
+    """A page without article, main, class or id, and its main text."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(9, 25))) + ", " + word() + "."
+    body = [" ".join(sentence() for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(3, 8))]
+    body.insert(0, word())
+    links = "".join(f"<div><a href=/{i}>{word()} {word()} {word()}</a></div>" for i in range(rng.randint(150, 200)))
+    side = "".join(f"<span><b>{word()} {word()}</b></span><hr>" for _ in range(rng.randint(20, 40)))
+    main = f"<h1>{body[0]}</h1>" + "".join(f"<p>{p}" for p in body[1:])
+    return f"<html><body><div>{links}</div><table><tr><td><div>{main}</div><td>{side}</table><div>{word()}</div></body></html>", "\n".join(body)
+
+
+def test_articles_without_names():
+    rng = random.Random(4)
+    pages = [bare_page(rng) for _ in range(50)]
+    assert [main_text(p) for p, _ in pages] == [t for _, t in pages]
+    assert all(main_text(p, threshold=0) != t for p, t in pages)  # the threshold on paths is what finds it
+
+
+def test_names_are_hints():
+    text = "A long sentence, with words. Another one, with more words, and an end. And a third, to be sure."
+    page = f"<body><div><div class='ad-slot'><b>Buy</b></div><div class='social-policy'><p>{text}</p><p>{text}</p></div></div></body>"
+    assert main_text(page) == f"{text}\n{text}"
+    assert main_text(f"<article><p>{text}</p><div class='x comments'><p>{text}</p></div><div class='ad-slot'>Buy</div></article>") == text
+
+
+def test_extracted(spark):
+    pages = spark.createDataFrame(PAGES, SCHEMA)
+    rows = html_text.extracted(pages.withColumnsRenamed({"url": "text", "page_id": "n_chars"}).selectExpr("*", "text AS url", "1 AS page_id"), key="n_chars", url="text").collect()
+    assert sorted((str(r.page_id), str(r.url), r.text) for r in rows) == sorted((str(k), str(u), main_text(h)) for k, u, h in PAGES)
+    assert html_text.extracted(pages.where("false")).collect() == []
+    long = spark.createDataFrame([(1, "u", "<article>" + "<p>many words, here.</p>" * 100_000)], SCHEMA)
+    assert html_text.extracted(long).first().text.count("\n") == 99_999
