@@ -2,25 +2,27 @@
 
 A string of WINDOW bytes belongs to one anchor: the place in it whose GRAM bytes have the least hash, the leftmost of
 equals. Equal strings have their anchor at the same place, so only anchors have to be sorted as suffixes, a sparse
-suffix array that still sees every repeat of WINDOW bytes. Three rounds of Spark over blocks of documents:
-
-1. The hashes of the blocks' anchors meet in buckets; a block learns which of its anchors occur elsewhere.
-2. For each shared anchor, blocks send the bytes that its strings span (its context), once for each different context
-   with the smallest id that has it. A bucket sorts the contexts of an anchor as suffixes from the anchor on, with the
-   array of common prefixes; a stack scan over that array gives the tree of common-prefix intervals, and the same scan
-   over each interval's suffixes, ordered by what stands to the left, tests the diversity of their left extensions:
-   every interval of both is a maximal repeat with all its occurrences, not just neighbours. Each context gets the
-   smallest id that has it and the widest repeat that it shares with a smaller id.
-3. The blocks mark the bytes: a document above a context's smallest id loses all its strings there, the document with
-   that id what it shares with still smaller ones.
-
-Copies of a context are one entry per block, whatever the group's size. An anchor with more than HOT different contexts
-(a common passage's edge) isn't gathered: its strings of WINDOW bytes are dealt one by one, by their hashes, so that a
-string that many have is one entry per block again.
+suffix array that still sees every repeat of WINDOW bytes. The bytes that an anchor's strings span are its context.
+
+1. Blocks of documents are written as a table with their anchors' places.
+2. The hashes of the blocks' anchors meet in buckets; a block learns which of its anchors occur elsewhere.
+3. For each shared anchor, a block sends each different context once, with the smallest id that has it. A bucket sorts
+   all its contexts as suffixes from the anchor on, with the array of common prefixes; a stack scan over that array
+   gives the tree of common-prefix intervals, and the same scan over each interval's suffixes, ordered by what stands to
+   their left, tests the diversity of their left extensions: every interval of both is a maximal repeat with all its
+   occurrences, not just neighbours; contexts that are equal are one leaf of the tree with several occurrences. Every
+   context gets the smallest id that has it and the widest repeat that it shares with a smaller id.
+4. The blocks mark the bytes: a document above a context's smallest id loses all its strings there, the document with
+   that id what it shares with still smaller ones. `repeat_groups` lists the repeats themselves, by all occurrences.
+
+Copies of a context are one entry of a block, whatever the group's size. Of an anchor that has more than HOT entries
+(the edge of a passage that very many documents have) every string of WINDOW bytes is sent as a context of its own,
+dealt by its hash, so that no bucket grows with an anchor; the tree takes these as it takes the others.
 
 Defined cases: null and empty texts have no bytes; documents of equal ids don't take from each other; a null id is
-larger than any other; matches don't cross documents; extra columns are ignored by `digests` and pass through
-`deduplicated`, which cuts at characters: bytes of a character that is only partly covered stay.
+larger than any other; matches don't cross documents; extra columns are ignored by `digests` and `repeat_groups` and
+pass through `deduplicated`, whatever their names, which cuts at characters: bytes of a character that is only partly
+covered stay; repeated rows are rows like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,16 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 
 from larkspur.llm import dealt
-from larkspur.llm.dealt import among, covered, mixed
+from larkspur.llm.dealt import Kind, among, covered, cut, mixed
+from larkspur.llm.shared import release
 
 WINDOW, GRAM = 50, 20
-#: Bytes kept of an anchor's hash in the first round, and different contexts up to which an anchor is gathered.
-NAME_BYTES, HOT = 6, 2000
-#: Bytes of text in a block, about: a block takes some 25 times as much while its anchors are found.
+#: Entries up to which an anchor's contexts are sent whole.
+HOT = 20_000
+#: Bytes of text in a block, about.
 BLOCK_BYTES = 4 << 20
 NO_ID = np.int64((1 << 63) - 1)
 #: A number for every byte, by a fixed rule.
@@ -48,127 +50,197 @@ TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * dealt.ODD)
 SEGMENT = 1 << 19
 POWERS = np.cumprod(np.full(SEGMENT + 256, dealt.ODD, dtype=np.uint64))
 INVERSES = np.cumprod(np.full(SEGMENT + 256, pow(int(dealt.ODD), -1, 1 << 64), dtype=np.uint64)) * dealt.ODD
+#: Bits of an anchor's hash that its order leaves out.
+LOW = np.uint64((1 << 24) - 1)
+#: A context: its anchor's name, its number in the block, the smallest id, bytes before the anchor, bytes; SINGLE marks
+#: one string of a hot anchor, whose number is the block's contexts plus its start.
+CONTEXT = Kind(("n4", "u4", "i8", "u1", "u1", "u1"), ragged=True)
+SINGLE = 128
+#: What a context is told: its number, the smallest id, bytes shared with smaller ids before the anchor and from it on.
+ANSWER = Kind(("u4", "i8", "u1", "u1"))
+#: A context's part in a repeat: its number, the repeat's name, bytes before the anchor and from it on.
+MEMBER = Kind(("u4", "u8", "u1", "u1"))
+
+
+class Hashes:
+    """Hashes of pieces of a byte array, by sums modulo 2**64."""
+
+    def __init__(self, data: np.ndarray):
+        self.n = len(data)
+        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(TABLE[data] * POWERS[: self.n], dtype=np.uint64)))
+
+    def of(self, at: np.ndarray, size) -> np.ndarray:
+        return mixed((self.sums[at + size] - self.sums[at]) * INVERSES[at])
 
 
 class Block:
     """The bytes of a block's texts, one text after the other, with their anchors; worked on in segments."""
 
-    def __init__(self, table: pa.Table, window: int = WINDOW, gram: int = GRAM):
-        self.table, self.window = table, window
+    def __init__(self, table: pa.Table, window: int = WINDOW, gram: int = GRAM, places: np.ndarray | None = None):
+        self.table, self.window, self.gram = table, window, gram
         texts = table["text"].combine_chunks().fill_null("").cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         whole = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
         self.bytes = whole[offsets[0] : offsets[-1]] if len(texts) else whole[:0]
         self.offsets = offsets - offsets[0]
         self.ids = table["key"].combine_chunks().fill_null(int(NO_ID)).to_numpy()
-        parts = [self._segment(a, gram) for a in range(0, len(self.bytes) - window + 1, SEGMENT)]
-        none = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)]
-        #: Per anchor: its place, the first and the last start of its windows, its text; its hash, and its context's.
-        *self.runs, self.grams, self.contexts = [np.concatenate(x) for x in zip(none, *parts, strict=True)]
+        starts = range(0, len(self.bytes) - window + 1, SEGMENT)
+        #: Where anchors stand, ascending.
+        self.places = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *map(self._anchors, starts)])) if places is None else places
 
-    def _segment(self, a: int, gram: int) -> list[np.ndarray]:
+    def _anchors(self, a: int) -> np.ndarray:
         """The anchors of the windows that start in a segment."""
-        window, span = self.window, self.window - gram + 1
+        window, span = self.window, self.window - self.gram + 1
         hashes = Hashes(self.bytes[a : a + SEGMENT + window - 1])
         m = hashes.n - window + 1
-        grams = hashes.of(np.arange(hashes.n - gram + 1), gram)
-        low = np.uint64((1 << 24) - 1)
+        grams = hashes.of(np.arange(hashes.n - self.gram + 1), self.gram)
         # Least hash with its place in the low bits, over the grams that a window holds.
-        least, width = (grams & ~low) | np.arange(len(grams), dtype=np.uint64), 1
+        least, width = (grams & ~LOW) | np.arange(len(grams), dtype=np.uint64), 1
         while width * 2 <= span:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        start, anchor = np.arange(m), (least & low).astype(np.int64)
-        doc = np.searchsorted(self.offsets, start + a, side="right") - 1
-        valid = start + a + window <= self.offsets[doc + 1]
-        change = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])
-        first = np.flatnonzero(valid & np.concatenate(([True], change)))
-        last = np.flatnonzero(valid & np.concatenate((change, [True])))
-        place = anchor[first]
-        # A context's hash tells the anchor's place in it as well.
-        context = mixed(hashes.of(first, last - first + window) ^ mixed((place - first + 1).astype(np.uint64)))
-        # Anchors have small hashes, being least ones: mixed again, their names spread over all buckets.
-        return [place + a, first + a, last + a, doc[first], mixed(grams[place] + dealt.ODD), context]
-
-    def windows(self, starts: np.ndarray) -> np.ndarray:
-        """Hashes of the windows that start at ascending places."""
-        out = np.zeros(len(starts), dtype=np.uint64)
-        for a in range(0, len(self.bytes), SEGMENT):
-            i, j = np.searchsorted(starts, (a, a + SEGMENT))
-            if j > i:
-                out[i:j] = Hashes(self.bytes[a : a + SEGMENT + self.window]).of(starts[i:j] - a, self.window)
+        anchor = (least & LOW).astype(np.int64)
+        end = np.arange(m) + window
+        for cut_at in self.offsets[np.searchsorted(self.offsets, a + 1) : np.searchsorted(self.offsets, a + m + window)] - a:
+            end[max(0, cut_at - window + 1) : cut_at] = -1  # windows across a text's end
+        return np.unique(anchor[end > 0]) + a
+
+    def pieces(self, start: np.ndarray, size) -> np.ndarray:
+        """Hashes of pieces of at most 160 bytes."""
+        out = np.zeros(len(start), dtype=np.uint64)
+        size = np.broadcast_to(np.asarray(size), start.shape)
+        at = start // SEGMENT
+        for s in np.unique(at).tolist():
+            own = np.flatnonzero(at == s)
+            a = s * SEGMENT
+            out[own] = Hashes(self.bytes[a : a + SEGMENT + 160]).of(start[own] - a, size[own])
         return out
 
+    def contexts(self) -> Block:
+        """Finds, per anchor: doc, first and last (starts of its strings), name; and the different contexts, ascending by
+        name: entry (an anchor that has it, of the smallest id); of: each anchor's context."""
+        span, p = self.window - self.gram + 1, self.places
+        grams = self.pieces(p, self.gram)
+        self.doc = np.searchsorted(self.offsets, p, side="right") - 1
+        first, last = np.maximum(self.offsets[self.doc], p - span + 1), np.minimum(p, self.offsets[self.doc + 1] - self.window)
+        same, masked = self.doc[1:] == self.doc[:-1], grams & ~LOW
+        left_wins = masked[:-1] <= masked[1:]
+        first[1:] = np.where(same & left_wins, np.maximum(first[1:], p[:-1] + 1), first[1:])
+        last[:-1] = np.where(same & ~left_wins, np.minimum(last[:-1], first[1:] - 1), last[:-1])
+        self.first, self.last = first, last
+        # Anchors have small hashes, being least ones: mixed again, their names spread over all buckets.
+        self.name = mixed(grams + dealt.ODD)
+        context = mixed(self.pieces(first, last - first + self.window) ^ mixed((p - first + 1).astype(np.uint64)))
+        order = np.lexsort((self.ids[self.doc], context, self.name))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (self.name[order][1:] != self.name[order][:-1]) | (context[order][1:] != context[order][:-1])
+        self.entry = order[new]
+        self.of = np.zeros(len(order), dtype=np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.least = self.ids[self.doc[self.entry]]
+        return self
 
-class Hashes:
-    """Hashes of pieces of a byte array, by sums modulo 2**64."""
-
-    def __init__(self, data: np.ndarray):
-        self.n = len(data)
-        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(TABLE[data] * POWERS[: self.n], dtype=np.uint64)))
-
-    def of(self, at: np.ndarray, size) -> np.ndarray:
-        return mixed((self.sums[at + size] - self.sums[at]) * INVERSES[at])
-
-
-def lcp_intervals(lcp: np.ndarray, least: int = 0) -> Iterator[tuple[int, int, int]]:
-    """The tree of common-prefix intervals, bottom up: (length, first, last), length least or more.
-
-    lcp[i] is what entries i and i + 1 have in common; the intervals are maximal ranges with at least length in common,
-    some neighbours having no more.
-    """
-    stack: list[tuple[int, int]] = []
-    for i, x in enumerate([*lcp.tolist(), -1]):
-        left = i
-        while stack and stack[-1][0] > x:
-            length, left = stack.pop()
-            yield length, left, i
-        if x >= least and (not stack or stack[-1][0] < x):
-            stack.append((x, left))
-
+    def aside(self) -> bytes:
+        return PLACES.pack([self.places])
 
-def common(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bytes that each row of a padded matrix has in common with the next."""
-    if len(rows) < 2:
-        return np.zeros(0, dtype=np.int64)
-    same = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1).sum(axis=1)
-    return np.minimum(same, np.minimum(sizes[1:], sizes[:-1]))
+    @classmethod
+    def again(cls, row: dict, window: int, gram: int) -> Block:
+        """The block of a row of the table of blocks, with its contexts."""
+        return cls(dealt.thawed(row["rows"]), window, gram, PLACES.unpack(row["aside"])[0].astype(np.int64)).contexts()
 
 
-def _order(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Lexicographic order of padded strings."""
-    keys = np.concatenate((rows, sizes[:, None].astype(np.uint8) + np.uint8(1)), axis=1)
-    return np.argsort(np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel(), kind="stable")
+PLACES = Kind(("u4",))
 
 
-def shared_spans(right: np.ndarray, right_n: np.ndarray, left: np.ndarray, left_n: np.ndarray, ids: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Per context of one anchor: how far to the left and to the right it shares strings with contexts of smaller ids.
+def lcp_intervals(lcp: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tree of common-prefix intervals, bottom up: lengths (least or more), first and last leaves.
 
-    right and left are padded matrices of the bytes from the anchor on and, read backwards, before it.
+    lcp[i] is what leaves i and i + 1 have in common; the intervals are maximal ranges with at least length in common,
+    some neighbours having no more. A stack holds the open intervals; where nothing is open before and after a place,
+    its interval opens and closes there.
     """
+    deep = np.concatenate(([False], lcp >= least, [False])) if len(lcp) else np.zeros(2, dtype=bool)
+    lonely = np.flatnonzero(deep[1:-1] & ~deep[:-2] & ~deep[2:])
+    out = [(lcp[lonely].astype(np.int64), lonely, lonely + 1)]
+    edge = np.flatnonzero(np.diff(deep.astype(np.int8)))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        if b - a < 2:
+            continue
+        stack: list[tuple[int, int]] = []
+        found = []
+        for i, x in enumerate([*lcp[a:b].tolist(), -1], a):
+            left = i
+            while stack and stack[-1][0] > x:
+                length, left = stack.pop()
+                found.append((length, left, i))
+            if x >= least and (not stack or stack[-1][0] < x):
+                stack.append((x, left))
+        out.append(tuple(np.array(found, dtype=np.int64).T))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def common(rows: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Bytes that rows of padded matrices have in common from the start."""
+    same = np.logical_and.accumulate(rows == other, axis=1).sum(axis=1)
+    return np.minimum(same, np.minimum(sizes, other_sizes))
+
+
+class Leaves:
+    """The different contexts of a bucket, sorted as suffixes from the anchor on and then backwards from it."""
+
+    def __init__(self, left: np.ndarray, size: np.ndarray, raw: np.ndarray, window: int, gram: int):
+        middle = np.cumsum(size) - size + left
+        right_n, width = size - left, window - gram
+        keys = np.concatenate((_matrix(raw, middle, right_n, window), (right_n[:, None] + 1).astype(np.uint8), _matrix(raw, middle - 1, left, width, -1), (left[:, None] + 1).astype(np.uint8)), axis=1)
+        flat = np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel()
+        #: Entries in order, the first of each leaf among them, and each entry's leaf.
+        self.order = np.argsort(flat, kind="stable")
+        new = np.ones(len(flat), dtype=bool)
+        new[1:] = flat[self.order][1:] != flat[self.order][:-1]
+        self.firsts = np.flatnonzero(new)
+        self.leaf = np.zeros(len(flat), dtype=np.int64)
+        self.leaf[self.order] = np.cumsum(new) - 1
+        own = keys[self.order[self.firsts]]
+        self.right, self.left = own[:, :window], own[:, window + 1 : -1]
+        self.right_n, self.left_n = own[:, window].astype(np.int64) - 1, own[:, -1].astype(np.int64) - 1
+        self.window, self.gram = window, gram
+        by_left = np.argsort(np.ascontiguousarray(own[:, window + 1 :]).view(f"S{width + 1}").ravel(), kind="stable")
+        self.left_rank = np.zeros(len(own), dtype=np.int64)
+        self.left_rank[by_left] = np.arange(len(own))
+
+    def intervals(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lcp = common(self.right[:-1], self.right_n[:-1], self.right[1:], self.right_n[1:]) if len(self.right) > 1 else np.zeros(0, dtype=np.int64)
+        return lcp_intervals(lcp, self.gram)
+
+    def left_common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return common(self.left[a], self.left_n[a], self.left[b], self.left_n[b])
+
+    def repeats(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Maximal repeats of two leaves or more: rows of leaves (as many in each row), and what each row has in common
+        before the anchor and from it on."""
+        r, lo, hi = self.intervals()
+        two = np.flatnonzero(hi - lo == 1)
+        x = self.left_common(lo[two], hi[two])
+        fit = x + r[two] >= self.window
+        yield np.stack((lo[two][fit], hi[two][fit]), axis=1), x[fit], r[two][fit]
+        for i in np.flatnonzero(hi - lo > 1).tolist():
+            members = np.arange(lo[i], hi[i] + 1)
+            members = members[np.argsort(self.left_rank[members])]
+            # Left extensions: where they differ a repeat is maximal; each interval is one repeat with all its occurrences.
+            x, first, last = lcp_intervals(self.left_common(members[:-1], members[1:]), max(0, self.window - int(r[i])))
+            for k in range(len(x)):
+                yield members[None, first[k] : last[k] + 1], x[k : k + 1], r[i : i + 1]
+
+
+def shared_spans(leaves: Leaves, ids: np.ndarray) -> np.ndarray:
+    """Per leaf: how far before and from the anchor on it shares strings with leaves of smaller ids."""
     out = np.zeros((len(ids), 2), dtype=np.int64)
-    order = _order(right, right_n)
-    for r, lo, hi in lcp_intervals(common(right[order], right_n[order]), window - left.shape[1]):
-        members = order[lo : hi + 1]
-        members = members[_order(left[members], left_n[members])]
-        # Left extensions: where they differ a repeat is maximal; each interval is one repeat with all its occurrences.
-        for x, first, last in lcp_intervals(common(left[members], left_n[members]), max(0, window - r)):
-            group = members[first : last + 1]
-            later = group[ids[group] > ids[group].min()]
-            np.maximum.at(out, later, np.array([x, r]))
-    return out
-
-
-def spans_of_pairs(right, right_n, left, left_n, ids, window: int = WINDOW) -> np.ndarray:
-    """shared_spans for many anchors of two contexts each: rows 2 i and 2 i + 1 belong together."""
-    r = np.minimum(np.logical_and.accumulate(right[::2] == right[1::2], axis=1).sum(axis=1), np.minimum(right_n[::2], right_n[1::2]))
-    x = np.minimum(np.logical_and.accumulate(left[::2] == left[1::2], axis=1).sum(axis=1), np.minimum(left_n[::2], left_n[1::2]))
-    out = np.zeros((len(ids), 2), dtype=np.int64)
-    for own, other in ((0, 1), (1, 0)):
-        hit = np.flatnonzero((x + r >= window) & (ids[own::2] > ids[other::2]))
-        out[2 * hit + own] = np.stack((x[hit], r[hit]), axis=1)
+    for members, x, r in leaves.repeats():
+        own = ids[members]
+        row, column = np.nonzero(own > own.min(axis=1, keepdims=True)) if len(members) else (np.zeros(0, int),) * 2
+        np.maximum.at(out, members[row, column], np.stack((x[row], r[row]), axis=1))
     return out
 
 
@@ -180,185 +252,190 @@ def _matrix(raw: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, st
     return np.where(at < size[:, None], raw[np.clip(start[:, None] + step * at, 0, len(raw) - 1)], 0).astype(np.uint8)
 
 
-def _squeezed(*arrays: np.ndarray) -> bytes:
-    packer = zstandard.ZstdCompressor(level=1)
-    parts = [packer.compress(np.ascontiguousarray(a).tobytes()) for a in arrays]
-    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
-
-
-def _spread(packed: bytes, *types) -> list[np.ndarray]:
-    out, at, unpacker = [], 0, zstandard.ZstdDecompressor()
-    for t in types:
-        n = int.from_bytes(packed[at : at + 4], "little")
-        out.append(np.frombuffer(unpacker.decompress(packed[at + 4 : at + 4 + n]), dtype=t))
-        at += 4 + n
-    return out
-
+def _parsed(docs: DataFrame, key: str, text: str, window: int, gram: int, block_bytes: int, carried: list[str] | None = None) -> dealt.Blocks:
+    """The table of blocks: key, text and the carried columns (as c0, c1, ...), and the anchors' places."""
+    more = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(carried or [])]
+    rows = docs.select(docs[f"`{key}`"].cast("long").alias("key"), docs[f"`{text}`"].cast("string").alias("text"), *more)
 
-def _id(table: pa.Table) -> int:
-    return table["block"][0].as_py()
+    def found(table: pa.Table) -> tuple[int, bytes]:
+        block = Block(table, window, gram)
+        return len(block.places), block.aside()
 
+    return dealt.tabled(rows, block_bytes, found, "suffix-blocks")
 
-def _least_id(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct names, their smallest ids, and the index of an entry with each."""
-    order = np.lexsort((ids, names))
-    first = order[np.flatnonzero(np.concatenate(([True], names[order][1:] != names[order][:-1])))] if len(names) else order
-    return names[first], ids[first], first
 
+def _shared_contexts(blocks: dealt.Blocks, window: int, gram: int, hot: int) -> DataFrame:
+    """Rows of SENT with the contexts of shared anchors."""
+    buckets = blocks.first
 
-def removals(docs: DataFrame, finish, schema: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot: int = HOT, carried: list[str] | None = None) -> DataFrame:
-    """What finish(Block, removed) yields for every block, as an Arrow table of schema; removed: a flag per byte."""
-    blocks, n = dealt.deal(docs, key, text, block_bytes, carried)
-
-    def name(table: pa.Table) -> pa.Table:
-        names, times = np.unique(dealt.cut(Block(table, window, gram).grams, NAME_BYTES), return_counts=True)
-        counts = np.minimum(times, 255).astype(np.uint8)
-        return dealt.sent(dealt.by_bucket(_id(table), names, n, lambda s: counts[s].tobytes(), NAME_BYTES))
-
-    def told(block: Block, came: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Which anchors occur in another text, and which of them are hot."""
-        cut = dealt.cut(block.grams, NAME_BYTES)
-        names = dealt.widened(b"".join(came["names"].to_pylist()), NAME_BYTES)
-        total = np.frombuffer(b"".join(came["more"].to_pylist()), dtype="<u2")
-        order = np.argsort(cut, kind="stable")
-        ends = np.flatnonzero(np.concatenate((cut[order][1:] != cut[order][:-1], [True]))) if len(cut) else np.zeros(0, np.int64)
-        starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-        texts = block.runs[3][order]
-        both = np.repeat(texts[starts] != texts[ends], ends - starts + 1)  # a text's anchors are in page order
-        local = np.zeros(len(cut), dtype=bool)
-        local[order] = both
-        return local | among(cut, np.sort(names)), among(cut, np.sort(names[total > hot]))
+    def named(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        block = Block.again(row, window, gram)
+        return np.unique(cut(block.name[block.entry], 6), return_counts=True)
 
     def gather(table: pa.Table, came: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return dealt.sent([])
-        block, number = Block(table, window, gram), _id(table)
-        shared, common_place = told(block, came)
         rows = []
-        own = np.flatnonzero(shared & ~common_place)
-        anchor, first, last, doc = (x[own] for x in block.runs)
-        context, grams = block.contexts[own], block.grams[own]
-        if len(own):
-            _, _, at = _least_id(context, block.ids[doc])
-            at = at[np.argsort(grams[at], kind="stable")]
-            sizes = last[at] - first[at] + window
-            edges = np.concatenate((np.searchsorted(grams[at], np.arange(1, n, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // n)), [len(at)]))
-            lo = 0
-            for bucket, hi in enumerate(edges.tolist()):
-                if hi > lo:
-                    s = at[lo:hi]
-                    size = sizes[lo:hi]
-                    where = np.repeat(first[s] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    rows.append((bucket, number, context[s].tobytes(), b"c" + _squeezed(grams[s], block.ids[doc[s]], (anchor[s] - first[s]).astype(np.uint8), size.astype(np.uint8), block.bytes[where])))
-                lo = hi
-        spread = np.flatnonzero(shared & common_place)
-        if len(spread):
-            _, first, last, doc = (x[spread] for x in block.runs)
-            count = last - first + 1
-            start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            names, ids, _ = _least_id(block.windows(start), np.repeat(block.ids[doc], count))
-            rows += dealt.by_bucket(number, names, n, lambda s: b"w" + ids[s].tobytes())
-        return dealt.sent(rows)
-
-    def sort(table: pa.Table) -> pa.Table:
-        return dealt.back([*_windows(table), *_contexts(table, window)])
+        for row in table.to_pylist():
+            block = Block.again(row, window, gram)
+            rows += dealt.sent(CONTEXT, row["block"], _contexts(block, *dealt.told(came), hot), buckets)
+        release()
+        return dealt.table_of(rows)
+
+    return blocks.table.groupBy("block").cogroup(dealt.shared_names(blocks, named).groupBy("block")).applyInArrow(gather, dealt.SENT)
+
+
+def _contexts(block: Block, names: np.ndarray, counts: np.ndarray, hot: int) -> list[np.ndarray]:
+    """Entries of CONTEXT for a block's contexts of anchors that other texts have too."""
+    name = block.name[block.entry]
+    own, start = np.unique(name, return_index=True)
+    order = np.argsort(block.of, kind="stable")  # anchors by context, and so by name
+    doc, begins = block.doc[order], np.searchsorted(block.of[order], start)
+    local = np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins) if len(own) else np.zeros(0, dtype=bool)
+    times, short = np.diff(np.append(start, len(name))), cut(own, 6)
+    at = np.minimum(np.searchsorted(names, short), max(0, len(names) - 1))
+    total = np.where(among(short, names), counts[at] if len(names) else 0, times)
+    shared, many = (np.repeat(x, times) for x in (local | among(short, names), total > hot))
+    e = np.flatnonzero(shared & ~many)
+    a = block.entry[e]
+    first, size, left, id_, word, number = block.first[a], block.last[a] - block.first[a] + block.window, block.places[a] - block.first[a], block.least[e], name[e], e
+    single = np.flatnonzero((shared & many)[block.of])
+    if len(single):  # the strings of hot anchors, each once with the smallest id
+        count = block.last[single] - block.first[single] + 1
+        begin = np.repeat(block.first[single] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        owner = np.repeat(single, count)
+        string = mixed(block.pieces(begin, block.window) ^ block.name[owner])
+        order = np.lexsort((block.ids[block.doc[owner]], string))
+        order = order[np.concatenate(([True], string[order][1:] != string[order][:-1]))]
+        begin, owner = begin[order], owner[order]
+        first, size = np.concatenate((first, begin)), np.concatenate((size, np.full(len(begin), block.window)))
+        left = np.concatenate((left, (block.places[owner] - begin) | SINGLE))
+        id_, word, number = np.concatenate((id_, block.ids[block.doc[owner]])), np.concatenate((word, string[order])), np.concatenate((number, len(name) + begin))
+        order = np.argsort(word, kind="stable")
+        first, size, left, id_, word, number = (x[order] for x in (first, size, left, id_, word, number))
+    where = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return [word, number.astype(np.uint32), id_, left.astype(np.uint8), size.astype(np.uint8), block.bytes[where]]
+
+
+def _answers(window: int, gram: int):
+    """What a bucket tells: the smallest id of a context and its widest repeat with smaller ids, where that says more than the block knows."""
+
+    def answer(block, arrays):
+        _, number, id_, left, size, raw = arrays
+        if not len(number):
+            return
+        leaves = Leaves((left & (SINGLE - 1)).astype(np.int64), size.astype(np.int64), raw, window, gram)
+        least = np.minimum.reduceat(id_[leaves.order], leaves.firsts)
+        spans = shared_spans(leaves, least)[leaves.leaf]
+        least = least[leaves.leaf]
+        tell = np.flatnonzero((least < id_) | (spans.sum(axis=1) >= window) | (left >= SINGLE))
+        yield from dealt.replied(ANSWER, int(number[0]), block[tell], [number[tell], least[tell], spans[tell, 0].astype(np.uint8), spans[tell, 1].astype(np.uint8)])
+
+    return answer
+
+
+def _removed(block: Block, number: np.ndarray, least: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A flag per byte: is it removed?"""
+    n = len(block.entry)
+    own, before, after = block.least.copy(), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    whole = number < n
+    own[number[whole]], before[number[whole]], after[number[whole]] = least[whole], left[whole], right[whole]
+    gone = block.ids[block.doc] > own[block.of]
+    x, r = before[block.of], after[block.of]
+    start, end = np.where(gone, block.first, block.places - x), np.where(gone, block.last + block.window, block.places + r)
+    keep = gone | (x + r >= block.window)
+    starts, ends = [start[keep]], [end[keep]]
+    if not whole.all():  # strings of hot anchors: all that equal one that the bucket knows
+        begin, least = number[~whole].astype(np.int64) - n, least[~whole]
+        owner = np.searchsorted(block.places, begin)
+        while (wrong := (block.first[owner] > begin) | (block.last[owner] < begin)).any():
+            owner = owner + wrong  # the anchor is the first at or after the start whose strings hold it
+        string = mixed(block.pieces(begin, block.window) ^ block.name[owner])
+        order = np.argsort(string)
+        mine = np.flatnonzero(np.isin(block.name, block.name[owner]))
+        count = block.last[mine] - block.first[mine] + 1
+        at = np.repeat(block.first[mine] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        of = np.repeat(mine, count)
+        strings = mixed(block.pieces(at, block.window) ^ block.name[of])
+        place = order[np.minimum(np.searchsorted(string[order], strings), len(order) - 1)]
+        hit = (string[place] == strings) & (block.ids[block.doc[of]] > least[place])
+        starts.append(at[hit])
+        ends.append(at[hit] + block.window)
+    return covered(np.concatenate(starts), np.concatenate(ends), len(block.bytes))
+
+
+def removals(docs: DataFrame, finish, schema, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot: int = HOT, carried: list[str] | None = None) -> DataFrame:
+    """What finish(Block, removed) yields for every block, as an Arrow table of schema; removed: a flag per byte."""
+    blocks = _parsed(docs, key, text, window, gram, block_bytes, carried)
 
     def end(table: pa.Table, came: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return empty
-        block = Block(table, window, gram)
-        kinds = {b"c": ([], []), b"w": ([], [])}
-        for x, m in zip(came["names"].to_pylist(), came["more"].to_pylist(), strict=True):
-            kinds[m[:1]][0].append(x)
-            kinds[m[:1]][1].append(m[1:])
-        anchor, first, last, doc = block.runs
-        starts, ends = [], []
-        if len(anchor):  # copies within the block, and what the buckets say
-            found, least, _ = _least_id(block.contexts, block.ids[doc])
-            mine = np.searchsorted(found, block.contexts)
-            left, right = np.zeros(len(found), dtype=np.int64), np.zeros(len(found), dtype=np.int64)
-            own = np.frombuffer(b"".join(kinds[b"c"][0]), dtype=np.uint64)
-            fields = np.frombuffer(b"".join(kinds[b"c"][1]), dtype=np.int64).reshape(-1, 2)
-            place = np.searchsorted(found, own)
-            least[place], left[place], right[place] = fields[:, 0], fields[:, 1] >> 8, fields[:, 1] & 255
-            whole = block.ids[doc] > least[mine]
-            a = np.where(whole, first, anchor - left[mine])
-            b = np.where(whole, last + window, anchor + right[mine])
-            keep = whole | (left[mine] + right[mine] >= window)
-            starts.append(a[keep])
-            ends.append(b[keep])
-        own = np.frombuffer(b"".join(kinds[b"w"][0]), dtype=np.uint64)
-        if len(own):
-            order = np.argsort(own)
-            own, least = own[order], np.frombuffer(b"".join(kinds[b"w"][1]), dtype=np.int64)[order]
-            at = np.arange(max(0, len(block.bytes) - window + 1))
-            of = np.searchsorted(block.offsets, at, side="right") - 1
-            at, of = (x[at + window <= block.offsets[of + 1]] for x in (at, of))
-            hashes = block.windows(at)
-            place = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
-            hit = (own[place] == hashes) & (block.ids[of] > least[place])
-            starts.append(at[hit])
-            ends.append(at[hit] + window)
-        flags = covered(np.concatenate(starts), np.concatenate(ends), len(block.bytes)) if starts else np.zeros(len(block.bytes), dtype=bool)
-        return finish(block, flags)
+        out = [empty]
+        for row in table.to_pylist():
+            block = Block.again(row, window, gram)
+            out.append(finish(block, _removed(block, *dealt.opened(ANSWER, came)[1])).cast(empty.schema))
+        release()
+        return pa.concat_tables(out)
 
     fields = docs.sparkSession.createDataFrame([], schema)
     empty = fields.toArrow()
-    names = dealt.shared_names(blocks.groupBy("block").applyInArrow(name, dealt.SENT), NAME_BYTES)
-    told_back = blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(gather, dealt.SENT).groupBy("bucket").applyInArrow(sort, dealt.BACK)
-    return blocks.groupBy("block").cogroup(told_back.groupBy("block")).applyInArrow(end, fields.schema)
+    answers = dealt.merged(dealt.at_buckets(_shared_contexts(blocks, window, gram, hot), CONTEXT, blocks, _answers(window, gram)), ANSWER, blocks)
+    return blocks.table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(end, fields.schema)
 
 
-def _windows(table: pa.Table) -> Iterator[tuple[int, bytes, bytes]]:
-    """For each block, its strings of hot anchors with the smallest id that has them."""
-    rows = [(b, np.frombuffer(x, dtype=np.uint64), np.frombuffer(m[1:], dtype=np.int64)) for b, x, m in zip(*(table[c].to_pylist() for c in ("block", "names", "more")), strict=True) if m[:1] == b"w"]
-    if rows:
-        names, ids = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
-        found, least, _ = _least_id(names, ids)
-        for block, own, _ in rows:
-            yield block, own.tobytes(), b"w" + least[np.searchsorted(found, own)].tobytes()
+def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+    """repeat, n_bytes, key, start: the maximal repeats of window bytes or more with all their occurrences.
 
-
-def _contexts(table: pa.Table, window: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """For each block, contexts with the smallest id and the widest repeat with smaller ids, packed in two numbers.
-
-    Only those that the block doesn't know itself: a smaller id than its own has the context, or a part is shared.
+    Repeats are maximal within an anchor's context, so a longer one is told as the repeats of its anchors, which overlap.
+    repeat is a hash of the repeat's bytes and of the anchor's place in them; a repeat occurs twice at least. All that
+    two texts share is told, with the occurrences that one of them has more; what one text repeats alone may be left out.
     """
-    rows: list[list] = [[] for _ in range(7)]
-    for b, x, m in zip(*(table[c].to_pylist() for c in ("block", "names", "more")), strict=True):
-        if m[:1] == b"c":
-            name = np.frombuffer(x, dtype=np.uint64)
-            for to, part in zip(rows, (np.full(len(name), b), name, *_spread(m[1:], np.uint64, np.int64, np.uint8, np.uint8, np.uint8)), strict=True):
-                to.append(part)
-    if not rows[0]:
-        return
-    block, name, gram, own_id, left, size, raw = map(np.concatenate, rows)
-    size, left = size.astype(np.int64), left.astype(np.int64)
-    middle = np.cumsum(size) - size + left
-    found, least, at = _least_id(name, own_id)
-    spans = np.zeros((len(found), 2), dtype=np.int64)
-    # Anchors with more than one context; of one context there are only copies.
-    order = np.argsort(gram[at], kind="stable")
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(gram[at][order])) + 1, [len(order)]))
-    count = np.diff(edges)
-
-    def matrices(group: np.ndarray) -> tuple[np.ndarray, ...]:
-        r = at[group]
-        return _matrix(raw, middle[r], size[r] - left[r], window), size[r] - left[r], _matrix(raw, middle[r] - 1, left[r], window, -1), left[r], least[group]
-
-    twos = edges[:-1][count == 2]
-    for a in range(0, len(twos), 50_000):
-        group = order[(twos[a : a + 50_000, None] + np.arange(2)).ravel()]
-        spans[group] = spans_of_pairs(*matrices(group), window)
-    for i in np.flatnonzero(count > 2).tolist():
-        group = order[edges[i] : edges[i + 1]]
-        spans[group] = shared_spans(*matrices(group), window)
-    place = np.searchsorted(found, name)
-    tell = np.flatnonzero((least[place] < own_id) | (spans[place].sum(axis=1) >= window))
-    tell = tell[np.argsort(block[tell], kind="stable")]
-    for own in np.split(tell, np.flatnonzero(np.diff(block[tell])) + 1) if len(tell) else []:
-        p = place[own]
-        yield int(block[own[0]]), name[own].tobytes(), b"c" + np.stack((least[p], spans[p, 0] << 8 | spans[p, 1]), axis=1).tobytes()
+    blocks = _parsed(docs, key, text, window, gram, block_bytes)
+
+    def answer(block, arrays):
+        _, number, _, left, size, raw = arrays
+        if not len(number):
+            return
+        leaves = Leaves((left & (SINGLE - 1)).astype(np.int64), size.astype(np.int64), raw, window, gram)
+        times = np.diff(np.append(leaves.firsts, len(number)))
+        groups = [(m, x[i], r[i]) for rows, x, r in leaves.repeats() for i, m in enumerate(rows)]
+        groups += [(np.array([i]), leaves.left_n[i], leaves.right_n[i]) for i in range(len(times))]
+        for members, x, r in groups:
+            i = members[0]
+            name = hashlib.blake2b(leaves.left[i, :x][::-1].tobytes() + b"\0" + leaves.right[i, :r].tobytes() + bytes((int(x),)), digest_size=8).digest()
+            own = np.concatenate([leaves.order[leaves.firsts[m] : leaves.firsts[m] + times[m]] for m in members])
+            n = len(own)
+            yield from dealt.replied(MEMBER, int(number[0]), block[own], [number[own], np.full(n, np.frombuffer(name, dtype=np.uint64)[0]), np.full(n, x, dtype=np.uint8), np.full(n, r, dtype=np.uint8)])
+
+    def end(table: pa.Table, came: pa.Table) -> pa.Table:
+        out = []
+        for row in table.to_pylist():
+            block = Block.again(row, window, gram)
+            number, name, x, r = dealt.opened(MEMBER, came)[1]
+            anchors = np.argsort(block.of, kind="stable")
+            edges = np.searchsorted(block.of[anchors], np.arange(len(block.entry) + 1))
+            for k, i in enumerate(number.tolist()):
+                own = anchors[edges[i] : edges[i + 1]] if i < len(block.entry) else _equal_strings(block, i - len(block.entry))
+                at = block.places[own] - int(x[k])
+                doc = block.doc[own]
+                out.append(pa.table({
+                    "repeat": pa.array(np.full(len(own), name[k]).view(np.int64)), "n_bytes": pa.array(np.full(len(own), int(x[k]) + int(r[k]), dtype=np.int64)),
+                    "key": block.table["key"].combine_chunks().take(pa.array(doc)), "start": pa.array(at - block.offsets[doc]),
+                }))
+        return pa.concat_tables([empty, *out])
+
+    fields = docs.sparkSession.createDataFrame([], "repeat long, n_bytes long, key long, start long")
+    empty = fields.toArrow()
+    members = dealt.at_buckets(_shared_contexts(blocks, window, gram, hot), CONTEXT, blocks, answer)
+    found = blocks.table.groupBy("block").cogroup(members.groupBy("block")).applyInArrow(end, fields.schema).distinct()
+    return found.join(found.groupBy("repeat").count().where("count > 1").select("repeat"), "repeat", "left_semi")
+
+
+def _equal_strings(block: Block, begin: int) -> np.ndarray:
+    """Anchors of the strings that equal the one at begin."""
+    string = block.bytes[begin : begin + block.window].tobytes()
+    owner = int(np.flatnonzero((block.first <= begin) & (block.last >= begin))[0])
+    shift = int(block.places[owner]) - begin
+    same = np.flatnonzero(block.name == block.name[owner])
+    fit = (block.first[same] <= block.places[same] - shift) & (block.places[same] - shift <= block.last[same])
+    return np.array([a for a in same[fit].tolist() if block.bytes[block.places[a] - shift :][: block.window].tobytes() == string], dtype=np.int64)
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
