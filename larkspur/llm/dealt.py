@@ -61,8 +61,8 @@ class Blocks(NamedTuple):
         return min(self.buckets, self.fan)
 
 
-def tabled(rows: DataFrame, limit: int, found: Callable[[pa.Table], tuple[int, bytes]], tag: str, weight: str = "text") -> Blocks:
-    """Writes rows in blocks of about limit bytes of `weight`. found: how many names a block will send, and what is kept aside."""
+def tabled(rows: DataFrame, limit: int, found: Callable[[pa.Table], tuple[int, bytes]], tag: str) -> Blocks:
+    """Writes rows (with a column text) in blocks of about limit bytes. found: how many names a block will send, about, and what is kept aside."""
     sc = rows.sparkSession.sparkContext
     if rows.rdd.getNumPartitions() < sc.defaultParallelism:
         rows = rows.repartition(sc.defaultParallelism)
@@ -70,7 +70,7 @@ def tabled(rows: DataFrame, limit: int, found: Callable[[pa.Table], tuple[int, b
     def cut(batches):
         n, task = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for part in pieces(batch, weight, limit):
+            for part in pieces(batch, "text", limit):
                 table = pa.Table.from_batches([part])
                 names, aside = found(table)
                 yield pa.RecordBatch.from_pydict({"block": [task << 32 | n], "n": [names], "rows": [frozen(table)], "aside": [aside]}, schema=schema)
@@ -78,7 +78,11 @@ def tabled(rows: DataFrame, limit: int, found: Callable[[pa.Table], tuple[int, b
                 release()
 
     schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("rows", pa.binary()), ("aside", pa.binary())])
-    table = written(rows.mapInArrow(cut, "block long, n long, rows binary, aside binary"), tag)
+    return sized(written(rows.mapInArrow(cut, "block long, n long, rows binary, aside binary"), tag))
+
+
+def sized(table: DataFrame) -> Blocks:
+    """A written table of blocks, with buckets for the names that they will send."""
     count, names = table.agg(F.count("*"), F.sum("n")).first()
     return Blocks(table, count, max(1, -(-(names or 0) // BUCKET_ENTRIES)), FAN)
 

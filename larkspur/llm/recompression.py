@@ -1,21 +1,25 @@
 """Substring dedup by recompression: words that repeat in windows of WINDOW words are removed, everywhere.
 
-Rounds of recompression name runs of equal symbols and pairs of symbols, starting from words. Names are hashes of what
-they stand for, so equal substrings get equal names in every block without a table of names, and a pair is joined by
-the symbols' own bits only; every phrase knows the range of words that its existence depends on. If a window occurs
-twice, all phrases whose range lies inside it occur twice.
-
-Two rounds of Spark then find the repeats. First the blocks' phrases meet in buckets, and each block learns which of
-its phrases others have too. A window with a phrase that nobody shares is unique; those are all but the real repeats and
-a few. Second, the remaining windows meet by a hash of their words, which verifies them: a window repeats if another
-window of its block or of another block has its hash. Every word in a repeating window is removed.
-
-Collisions: phrase names only say which windows may be left out, where a collision costs work and no result; windows
-are told apart by 64 bits, among windows whose phrases are shared.
+Recompression names runs of equal symbols and pairs of neighbours, round by round, starting from words. A pair is joined
+by the symbols' own bits only, so equal substrings are parsed alike but for their edges; for each symbol it is known on
+which range of words its existence depends. If a window occurs twice, all symbols whose range lies inside it occur
+twice. A name is a hash of what it stands for; whether it is a global name, one that occurs again somewhere, is found
+out by Spark in two rounds over blocks of documents:
+
+1. The blocks' symbols of LOW rounds meet in buckets. A window with a symbol that nobody shares is unique; only stretches
+   of words without such windows are worked on any further, as a table of their own.
+2. The stretches' symbols of the HIGH rounds meet, built from shared ones only.
+3. A window belongs to the highest symbol inside it, the leftmost of these, and goes on only if that is shared; equal
+   windows belong to equal symbols at equal places. Windows meet under their symbol's name, joined with a hash of the
+   words around it, and are verified by a second hash of all their words: 128 bits tell two windows apart.
+
+Every word in a window that another window of any text equals is removed. What meets is one entry for each different
+name of a block, so a group of copies or a common phrase is one entry for each block. All names are dealt by hash, and
+windows too, so no bucket grows with a symbol that many have.
 
 Defined cases: null and empty texts have no words; white space is not kept, the kept words are joined by one space;
 texts with fewer words than a window lose nothing; repeated rows and copies remove each other; null or tied ids pass
-through; an empty table gives an empty result; extra columns are ignored.
+through; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,34 +34,35 @@ from pyspark.sql import DataFrame
 from larkspur.llm import dealt
 from larkspur.llm.arrow_words import coded_words
 from larkspur.llm.bpe import joined
-from larkspur.llm.dealt import among, covered, mixed
+from larkspur.llm.dealt import Kind, among, covered, cut, mixed
+from larkspur.llm.shared import release, written
 
 WINDOW = 35
-ROUNDS = 3
-#: Words of the shortest phrase that is compared, and bytes of a phrase's name.
-PHRASE_WORDS, NAME_BYTES = 3, 6
-
-
-class Block:
-    """The words of a block's texts, one text after the other."""
-
-    def __init__(self, table: pa.Table):
-        from xxhash import xxh64_intdigest
-
-        self.table = table
-        offsets, codes, self.distinct = coded_words(table["text"].combine_chunks())
-        self.codes, self.starts, self.ends = codes, offsets[:-1], offsets[1:]
-        hashes = np.array([xxh64_intdigest(w) for w in self.distinct.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
-        self.words = hashes[codes] if len(codes) else np.zeros(0, dtype=np.uint64)
+#: Rounds after which symbols are compared, and the fewest words of a low symbol that is sent. A symbol of r rounds has
+#: (4/3)^r words on average and depends on some eight times as many, so windows of 35 words hold symbols of 4 and 5 rounds.
+LOW, HIGH, LOW_WORDS = 3, (5, 4), 3
+#: Bytes of text for one low name, about.
+NAME_EVERY = 20
+#: A window: its name, its number in the block, and a second hash of its words.
+WINDOWS = Kind(("n8", "u4", "u8"))
+#: The numbers of windows that occur again.
+AGAIN = Kind(("u4",))
+STRETCHES = "block long, n long, rows binary, aside binary"
+
+
+class Symbols:
+    """Words of some texts, one text after the other, and what recompression makes of them."""
+
+    def __init__(self, words: np.ndarray, offsets: np.ndarray):
+        self.words, self.starts, self.ends = words, offsets[:-1], offsets[1:]
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
-    def phrases(self, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-        """Name, words, and the range of words that it depends on, for each phrase."""
+    def parsed(self, rounds: tuple[int, ...]) -> dict[int, tuple[np.ndarray, ...]]:
+        """After each of some rounds: the symbols' names, their first words and numbers of words, and the ranges that they depend on."""
         names, start, end = self.words.copy(), np.arange(len(self.words)), np.arange(1, len(self.words) + 1)
         low, high, doc = start.copy(), end.copy(), self.doc
-        if not len(names):
-            return names, end - start, low, high
         outside_low, outside_high = self.starts - 1, self.ends + 1
+        out = {0: (names, start, end - start, low, high)}
 
         def beside(low, high, doc):
             """Ranges that depend on the left and right neighbours too; beyond a text's ends nothing is known."""
@@ -65,7 +70,10 @@ class Block:
             right = np.where(np.concatenate((doc[1:] == doc[:-1], [False])), np.concatenate((high[1:], high[-1:])), outside_high[doc])
             return np.minimum(low, left), np.maximum(high, right)
 
-        for r in range(rounds):
+        for r in range(max(rounds)):
+            if not len(names):
+                out[r + 1] = out[0]
+                continue
             # Runs: a maximal run of equal symbols becomes one symbol.
             first = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]) | (doc[1:] != doc[:-1]))))
             low, high = beside(low, high, doc)
@@ -86,15 +94,15 @@ class Block:
             stay = np.ones(len(names), dtype=bool)
             stay[pair + 1] = False
             names, start, end, low, high, doc = names[stay], start[stay], end[stay], low2[stay], high2[stay], doc[stay]
-        return names, end - start, low, high
+            out[r + 1] = (names, start, end - start, low, high)
+        return {r: out[r] for r in (*rounds, 0)}
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where a window of size words starts, and a hash of each such window."""
+    def hashes(self, size: int) -> np.ndarray:
+        """A hash of the size words from each word on, where there are as many."""
         n = len(self.words) - size + 1
         if n <= 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        total, width, power = None, 1, self.words * np.uint64(3) + np.uint64(1)
-        taken = 0
+            return np.zeros(0, dtype=np.uint64)
+        total, width, power, taken = None, 1, self.words * np.uint64(3) + np.uint64(1), 0
         for bit in range(size.bit_length()):  # windows of 1, 2, 4, ... words are put together
             if size >> bit & 1:
                 part = power[taken : taken + n]
@@ -103,55 +111,188 @@ class Block:
             if size >> (bit + 1):
                 power = mixed(power[:-width] * dealt.ODD + power[width:])
                 width *= 2
-        valid = np.flatnonzero(self.doc[:n] == self.doc[size - 1 :])
-        return valid, total[valid]
+        return total
+
+    def windows(self, size: int) -> np.ndarray:
+        """Where windows of size words start."""
+        n = max(0, len(self.words) - size + 1)
+        return np.flatnonzero(self.doc[:n] == self.doc[size - 1 :]) if n else np.zeros(0, dtype=np.int64)
+
+    def owners(self, at: np.ndarray, size: int, rounds: tuple[int, ...], shared: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol that each window belongs to: its name joined with its place and level; and whether that is shared
+        (shared has the names of the highest rounds; single words count as shared)."""
+        name, known = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=bool)
+        left = np.arange(len(at))
+        parsed = self.parsed(rounds)
+        for r in (*rounds, 0):
+            names, start, _, low, high = parsed[r]
+            k = np.searchsorted(low, at[left])  # ranges ascend: the leftmost that starts inside the window
+            fit = k < len(names)
+            k = np.minimum(k, max(0, len(names) - 1))
+            if len(names):
+                fit &= high[k] <= at[left] + size
+            own, of = left[fit], k[fit]
+            name[own] = mixed(names[of] ^ mixed((start[of] - at[own]).astype(np.uint64) * dealt.ODD + np.uint64(r + 1))) if len(own) else 0
+            known[own] = among(cut(names[of], 6), shared) if r and shared is not None else True
+            left = left[~fit]
+        return name, known
+
+
+class Block(Symbols):
+    """The words of a block's texts."""
+
+    def __init__(self, table: pa.Table, hashed: bool = True):
+        from xxhash import xxh64_intdigest
 
+        self.table = table
+        offsets, self.codes, self.distinct = coded_words(table["text"].combine_chunks())
+        words = np.zeros(len(self.codes), dtype=np.uint64)
+        if hashed and len(self.codes):
+            words = np.array([xxh64_intdigest(w) for w in self.distinct.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)[self.codes]
+        super().__init__(words, offsets)
+
+    def stretches(self, window: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of stretches of words that have a window each, all of whose low symbols are shared."""
+        found, _, size, low, high = self.parsed((LOW,))[LOW]
+        big = size >= LOW_WORDS
+        found, low, high = cut(found[big], 6), low[big], high[big]
+        own, inverse, times = np.unique(found, return_inverse=True, return_counts=True)
+        alone = ~((times > 1) | among(own, names))[inverse] & (high - low <= window) if len(own) else np.zeros(0, dtype=bool)
+        at, m = self.windows(window), len(self.words)
+        # A window from high - window to low holds the symbol and all it depends on.
+        unique = covered(np.maximum(high[alone] - window, 0), np.maximum(low[alone] + 1, 0), m + 1)
+        at = at[~unique[at]]
+        flags = covered(at, at + window, m)
+        edge = np.concatenate(([True], self.doc[1:] != self.doc[:-1])) if m else np.zeros(0, dtype=bool)
+        start = np.flatnonzero(flags & (edge | np.concatenate(([True], ~flags[:-1]))))
+        end = np.flatnonzero(flags & np.concatenate((edge[1:] | ~flags[1:], [True]))) + 1
+        return start, end
+
+
+def _low(block: Block) -> np.ndarray:
+    names, _, size, _, _ = block.parsed((LOW,))[LOW]
+    return np.unique(cut(names[size >= LOW_WORDS], 6))
+
+
+def _high(table: pa.Table, window: int) -> Symbols:
+    """The stretches of a row of their table."""
+    sizes = table["size"].to_numpy()
+    words = table["words"].combine_chunks().flatten().to_numpy()
+    return Symbols(words, np.concatenate(([0], np.cumsum(sizes))))
+
+
+def _high_names(symbols: Symbols, window: int) -> np.ndarray:
+    """The names of high symbols that some window holds."""
+    found = [names[high - low <= window] for r, (names, _, _, low, high) in symbols.parsed(HIGH).items() if r]
+    return np.unique(cut(np.concatenate(found), 6))
+
+
+def _own_windows(symbols: Symbols, window: int, shared: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that may occur again: their places, names and second hashes."""
+    at = symbols.windows(window)
+    hashes = symbols.hashes(window)[at]
+    name, known = symbols.owners(at, window, HIGH, shared)
+    return at[known], mixed(name[known] * dealt.ODD + hashes[known]), hashes[known]
+
+
+def _stretched(blocks: dealt.Blocks, window: int) -> dealt.Blocks:
+    """The table of stretches: per block where they start and their words' hashes."""
 
-def _block(table: pa.Table) -> int:
-    return table["block"][0].as_py()
+    def narrow(table: pa.Table, came: pa.Table) -> pa.Table:
+        rows = []
+        names, _ = dealt.told(came)
+        for row in table.to_pylist():
+            block = Block(dealt.thawed(row["rows"]))
+            start, end = block.stretches(window, names)
+            words = [pa.array(block.words[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            flat = pa.concat_arrays(words) if words else pa.array([], pa.uint64())
+            offsets = pa.array(np.concatenate(([0], np.cumsum(end - start))), pa.int32())
+            found = pa.table({"start": pa.array(start, pa.int64()), "size": pa.array(end - start, pa.int64()), "words": pa.ListArray.from_arrays(offsets, flat)})
+            n = len(_high_names(_high(found, window), window)) + int((end - start).sum())
+            rows.append((row["block"], n, dealt.frozen(found), b""))
+        release()
+        return pa.Table.from_pylist([dict(zip(("block", "n", "rows", "aside"), r, strict=True)) for r in rows], schema=schema)
+
+    schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("rows", pa.binary()), ("aside", pa.binary())])
+    low = dealt.shared_names(blocks, lambda row: ((names := _low(Block(dealt.thawed(row["rows"])))), np.ones(len(names), dtype=np.int64)))
+    table = written(blocks.table.groupBy("block").cogroup(low.groupBy("block")).applyInArrow(narrow, STRETCHES), "stretches")
+    return dealt.sized(table)
 
 
 def repeats(docs: DataFrame, finish, schema: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = dealt.BLOCK_BYTES) -> DataFrame:
     """What finish(Block, removed) yields for every block, as an Arrow table of schema; removed: a flag per word."""
-    blocks, n = dealt.deal(docs, key, text, block_bytes)
-
-    def name(table: pa.Table) -> pa.Table:
-        names, words, _, _ = Block(table).phrases()
-        own = np.unique(dealt.cut(names[words >= PHRASE_WORDS], NAME_BYTES))
-        return dealt.sent(dealt.by_bucket(_block(table), own, n, width=NAME_BYTES))
-
-    def narrow(table: pa.Table, came: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return dealt.sent([])
-        block = Block(table)
-        names, words, low, high = block.phrases()
-        names, low, high = (x[words >= PHRASE_WORDS] for x in (dealt.cut(names, NAME_BYTES), low, high))
-        found, inverse, times = np.unique(names, return_inverse=True, return_counts=True)
-        alone = ~((times > 1) | among(found, dealt.received(came, NAME_BYTES)))[inverse]
-        low, high = low[alone], high[alone]
-        inside = high - low <= window
-        low, high = low[inside], high[inside]
-        at, hashes = block.windows(window)
-        if len(low):  # a window from high - window to low holds the phrase and all it depends on
-            m = len(block.words)
-            unique = covered(np.maximum(high - window, 0), np.maximum(low + 1, 0), m + 1)
-            hashes = hashes[~unique[at]]
-        return dealt.sent(dealt.by_bucket(_block(table), np.unique(hashes), n))
+    rows = docs.select(docs[f"`{key}`"].cast("long").alias("key"), docs[f"`{text}`"].cast("string").alias("text"))
+    blocks = dealt.tabled(rows, block_bytes, lambda table: ((pc.sum(pc.binary_length(table["text"])).as_py() or 0) // NAME_EVERY, b""), "words")
+    stretches = _stretched(blocks, window)
+    high = dealt.shared_names(stretches, lambda row: ((names := _high_names(_high(dealt.thawed(row["rows"]), window), window)), np.ones(len(names), dtype=np.int64)))
+    buckets = stretches.first
+
+    def numbered(symbols: Symbols) -> tuple[np.ndarray, ...]:
+        """All windows by their names: places, names, second hashes, and the order in which they are numbered."""
+        at, names, seconds = _own_windows(symbols, window, None)
+        order = np.lexsort((seconds, names))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (names[order][1:] != names[order][:-1]) | (seconds[order][1:] != seconds[order][:-1])
+        return at, names, seconds, order, new
+
+    def offer(table: pa.Table, came: pa.Table) -> pa.Table:
+        out = []
+        shared, _ = dealt.told(came)
+        for row in table.to_pylist():
+            symbols = _high(dealt.thawed(row["rows"]), window)
+            at, names, seconds, order, new = numbered(symbols)
+            own = _high_names_twice(symbols, window)
+            _, known = symbols.owners(at, window, HIGH, np.union1d(shared, own))
+            keep = np.flatnonzero(known[order[new]])  # equal windows have equal symbols
+            first = order[new][keep]
+            out += dealt.sent(WINDOWS, row["block"], [names[first], keep.astype(np.uint32), seconds[first]], buckets)
+        release()
+        return dealt.table_of(out)
+
+    def meet(block, arrays):
+        names, number, seconds = arrays
+        order = np.lexsort((seconds, names))
+        same = (names[order][1:] == names[order][:-1]) & (seconds[order][1:] == seconds[order][:-1])
+        again = np.zeros(len(names), dtype=bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        keep = np.flatnonzero(again)
+        yield from dealt.replied(AGAIN, int(names[0] >> np.uint64(34)) if len(names) else 0, block[keep], [number[keep]])
 
     def end(table: pa.Table, came: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return empty
-        block = Block(table)
-        at, hashes = block.windows(window)
-        found, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        again = ((times > 1) | among(found, dealt.received(came)))[inverse] if len(found) else np.zeros(0, dtype=bool)
-        return finish(block, covered(at[again], at[again] + window, len(block.words)))
+        out = [empty]
+        kinds = came["kind"].to_pylist()
+        for row in table.to_pylist():
+            block = Block(dealt.thawed(row["rows"]), hashed=False)
+            removed = np.zeros(len(block.codes), dtype=bool)
+            for r in came.filter(pa.array([k == "stretches" for k in kinds], pa.bool_())).to_pylist():
+                found = dealt.thawed(r["entries"])
+                symbols = _high(found, window)
+                at, _, _, order, new = numbered(symbols)
+                times = np.diff(np.append(np.flatnonzero(new), len(order)))
+                own = times > 1
+                parts = [AGAIN.unpack(x["entries"])[0] for x in came.filter(pa.array([k == "again" for k in kinds], pa.bool_())).to_pylist()]
+                own[AGAIN.join([[p] for p in parts])[0]] = True
+                hit = at[order[np.repeat(own, times)]]
+                shift = np.repeat(found["start"].to_numpy() - symbols.starts, symbols.ends - symbols.starts)
+                removed |= covered((hit + shift[hit]) if len(hit) else hit, (hit + shift[hit] + window) if len(hit) else hit, len(removed))
+            out.append(finish(block, removed).cast(empty.schema))
+        release()
+        return pa.concat_tables(out)
 
     fields = docs.sparkSession.createDataFrame([], schema)
     empty = fields.toArrow()
-    shared = dealt.shared_names(blocks.groupBy("block").applyInArrow(name, dealt.SENT), NAME_BYTES)
-    verified = dealt.shared_names(blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(narrow, dealt.SENT))
-    return blocks.groupBy("block").cogroup(verified.groupBy("block")).applyInArrow(end, fields.schema)
+    offered = stretches.table.groupBy("block").cogroup(high.groupBy("block")).applyInArrow(offer, dealt.SENT)
+    again = dealt.merged(dealt.at_buckets(offered, WINDOWS, stretches, meet), AGAIN, stretches)
+    came = stretches.table.selectExpr("block", "'stretches' AS kind", "rows AS entries").unionByName(again.selectExpr("block", "'again' AS kind", "entries"))
+    return blocks.table.groupBy("block").cogroup(came.groupBy("block")).applyInArrow(end, fields.schema)
+
+
+def _high_names_twice(symbols: Symbols, window: int) -> np.ndarray:
+    """High names that a block itself has twice."""
+    found = [cut(names[high - low <= window], 6) for r, (names, _, _, low, high) in symbols.parsed(HIGH).items() if r]
+    names, times = np.unique(np.concatenate(found), return_counts=True)
+    return names[times > 1]
 
 
 def _kept(block: Block, removed: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
