@@ -11,7 +11,7 @@ out by Spark in two rounds over blocks of documents:
 2. The stretches' symbols of the HIGH rounds meet, built from shared ones only.
 3. A window belongs to the highest symbol inside it, the leftmost of these, and goes on only if that is shared; equal
    windows belong to equal symbols at equal places. Windows meet under their symbol's name, joined with a hash of the
-   words around it, and are verified by a second hash of all their words: 128 bits tell two windows apart.
+   words around it, and are verified by a second, independent hash of all their words: 96 bits tell two windows apart.
 
 Every word in a window that another window of any text equals is removed. What meets is one entry for each different
 name of a block, so a group of copies or a common phrase is one entry for each block. All names are dealt by hash, and
@@ -39,14 +39,16 @@ from larkspur.llm.shared import release, written
 
 WINDOW = 35
 #: Rounds after which symbols are compared, and the fewest words of a low symbol that is sent. A symbol of r rounds has
-#: (4/3)^r words on average and depends on some eight times as many, so windows of 35 words hold symbols of 4 and 5 rounds.
-LOW, HIGH, LOW_WORDS = 3, (5, 4), 3
+#: (4/3)^r words on average and depends on some eight times as many, so windows of 35 words hold symbols of 3 to 5 rounds.
+LOW, HIGH, LOW_WORDS = 3, (5, 4, 3), 3
 #: Bytes of text for one low name, about.
 NAME_EVERY = 20
 #: A window: its name, its number in the block, and a second hash of its words.
-WINDOWS = Kind(("n8", "u4", "u8"))
+WINDOWS = Kind(("n8", "u4", "i4"))
 #: The numbers of windows that occur again.
 AGAIN = Kind(("u4",))
+#: Words of stretches, and the hashes that they stand for.
+WORDS = Kind(("i4", "u8"))
 STRETCHES = "block long, n long, rows binary, aside binary"
 
 
@@ -56,9 +58,15 @@ class Symbols:
     def __init__(self, words: np.ndarray, offsets: np.ndarray):
         self.words, self.starts, self.ends = words, offsets[:-1], offsets[1:]
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        self.known: dict[tuple[int, ...], dict[int, tuple[np.ndarray, ...]]] = {}
 
     def parsed(self, rounds: tuple[int, ...]) -> dict[int, tuple[np.ndarray, ...]]:
         """After each of some rounds: the symbols' names, their first words and numbers of words, and the ranges that they depend on."""
+        if rounds not in self.known:
+            self.known[rounds] = self._parsed(rounds)
+        return self.known[rounds]
+
+    def _parsed(self, rounds: tuple[int, ...]) -> dict[int, tuple[np.ndarray, ...]]:
         names, start, end = self.words.copy(), np.arange(len(self.words)), np.arange(1, len(self.words) + 1)
         low, high, doc = start.copy(), end.copy(), self.doc
         outside_low, outside_high = self.starts - 1, self.ends + 1
@@ -97,12 +105,12 @@ class Symbols:
             out[r + 1] = (names, start, end - start, low, high)
         return {r: out[r] for r in (*rounds, 0)}
 
-    def hashes(self, size: int) -> np.ndarray:
+    def hashes(self, size: int, salt: int = 0) -> np.ndarray:
         """A hash of the size words from each word on, where there are as many."""
         n = len(self.words) - size + 1
         if n <= 0:
             return np.zeros(0, dtype=np.uint64)
-        total, width, power, taken = None, 1, self.words * np.uint64(3) + np.uint64(1), 0
+        total, width, power, taken = None, 1, mixed(self.words + np.uint64(salt)) if salt else self.words * np.uint64(3) + np.uint64(1), 0
         for bit in range(size.bit_length()):  # windows of 1, 2, 4, ... words are put together
             if size >> bit & 1:
                 part = power[taken : taken + n]
@@ -174,11 +182,11 @@ def _low(block: Block) -> np.ndarray:
     return np.unique(cut(names[size >= LOW_WORDS], 6))
 
 
-def _high(table: pa.Table, window: int) -> Symbols:
-    """The stretches of a row of their table."""
-    sizes = table["size"].to_numpy()
-    words = table["words"].combine_chunks().flatten().to_numpy()
-    return Symbols(words, np.concatenate(([0], np.cumsum(sizes))))
+def _high(row: dict) -> tuple[Symbols, np.ndarray]:
+    """The stretches of a row of their table, and where they start in their block."""
+    table = dealt.thawed(row["rows"])
+    codes, hashes = WORDS.unpack(row["aside"])
+    return Symbols(hashes[codes], np.concatenate(([0], np.cumsum(table["size"].to_numpy())))), table["start"].to_numpy()
 
 
 def _high_names(symbols: Symbols, window: int) -> np.ndarray:
@@ -187,12 +195,17 @@ def _high_names(symbols: Symbols, window: int) -> np.ndarray:
     return np.unique(cut(np.concatenate(found), 6))
 
 
-def _own_windows(symbols: Symbols, window: int, shared: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that may occur again: their places, names and second hashes."""
+def _numbered(symbols: Symbols, window: int, shared: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """All windows by their names: places, names, second hashes, whether their symbols are shared, their order by name
+    and second hash, and which of them are new in it: the new ones are numbered."""
     at = symbols.windows(window)
-    hashes = symbols.hashes(window)[at]
-    name, known = symbols.owners(at, window, HIGH, shared)
-    return at[known], mixed(name[known] * dealt.ODD + hashes[known]), hashes[known]
+    owner, known = symbols.owners(at, window, HIGH, shared)
+    names = mixed(owner * dealt.ODD + symbols.hashes(window)[at])
+    seconds = (symbols.hashes(window, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    order = np.lexsort((seconds, names))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (names[order][1:] != names[order][:-1]) | (seconds[order][1:] != seconds[order][:-1])
+    return at, names, seconds, known, order, new
 
 
 def _stretched(blocks: dealt.Blocks, window: int) -> dealt.Blocks:
@@ -204,12 +217,13 @@ def _stretched(blocks: dealt.Blocks, window: int) -> dealt.Blocks:
         for row in table.to_pylist():
             block = Block(dealt.thawed(row["rows"]))
             start, end = block.stretches(window, names)
-            words = [pa.array(block.words[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-            flat = pa.concat_arrays(words) if words else pa.array([], pa.uint64())
-            offsets = pa.array(np.concatenate(([0], np.cumsum(end - start))), pa.int32())
-            found = pa.table({"start": pa.array(start, pa.int64()), "size": pa.array(end - start, pa.int64()), "words": pa.ListArray.from_arrays(offsets, flat)})
-            n = len(_high_names(_high(found, window), window)) + int((end - start).sum())
-            rows.append((row["block"], n, dealt.frozen(found), b""))
+            size = end - start
+            inside = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            used, codes = np.unique(block.codes[inside], return_inverse=True)
+            hashes = np.zeros(len(block.distinct), dtype=np.uint64)
+            hashes[block.codes] = block.words
+            found = pa.table({"start": pa.array(start, pa.int64()), "size": pa.array(size, pa.int64())})
+            rows.append((row["block"], int(size.sum()), dealt.frozen(found), WORDS.pack([codes, hashes[used]])))
         release()
         return pa.Table.from_pylist([dict(zip(("block", "n", "rows", "aside"), r, strict=True)) for r in rows], schema=schema)
 
@@ -224,25 +238,15 @@ def repeats(docs: DataFrame, finish, schema: str, key: str = "doc_id", text: str
     rows = docs.select(docs[f"`{key}`"].cast("long").alias("key"), docs[f"`{text}`"].cast("string").alias("text"))
     blocks = dealt.tabled(rows, block_bytes, lambda table: ((pc.sum(pc.binary_length(table["text"])).as_py() or 0) // NAME_EVERY, b""), "words")
     stretches = _stretched(blocks, window)
-    high = dealt.shared_names(stretches, lambda row: ((names := _high_names(_high(dealt.thawed(row["rows"]), window), window)), np.ones(len(names), dtype=np.int64)))
+    high = dealt.shared_names(stretches, lambda row: ((names := _high_names(_high(row)[0], window)), np.ones(len(names), dtype=np.int64)))
     buckets = stretches.first
 
-    def numbered(symbols: Symbols) -> tuple[np.ndarray, ...]:
-        """All windows by their names: places, names, second hashes, and the order in which they are numbered."""
-        at, names, seconds = _own_windows(symbols, window, None)
-        order = np.lexsort((seconds, names))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (names[order][1:] != names[order][:-1]) | (seconds[order][1:] != seconds[order][:-1])
-        return at, names, seconds, order, new
-
     def offer(table: pa.Table, came: pa.Table) -> pa.Table:
         out = []
         shared, _ = dealt.told(came)
         for row in table.to_pylist():
-            symbols = _high(dealt.thawed(row["rows"]), window)
-            at, names, seconds, order, new = numbered(symbols)
-            own = _high_names_twice(symbols, window)
-            _, known = symbols.owners(at, window, HIGH, np.union1d(shared, own))
+            symbols, _ = _high(row)
+            at, names, seconds, known, order, new = _numbered(symbols, window, np.union1d(shared, _high_names_twice(symbols, window)))
             keep = np.flatnonzero(known[order[new]])  # equal windows have equal symbols
             first = order[new][keep]
             out += dealt.sent(WINDOWS, row["block"], [names[first], keep.astype(np.uint32), seconds[first]], buckets)
@@ -266,16 +270,15 @@ def repeats(docs: DataFrame, finish, schema: str, key: str = "doc_id", text: str
             block = Block(dealt.thawed(row["rows"]), hashed=False)
             removed = np.zeros(len(block.codes), dtype=bool)
             for r in came.filter(pa.array([k == "stretches" for k in kinds], pa.bool_())).to_pylist():
-                found = dealt.thawed(r["entries"])
-                symbols = _high(found, window)
-                at, _, _, order, new = numbered(symbols)
+                symbols, start = _high(r)
+                at, _, _, _, order, new = _numbered(symbols, window)
                 times = np.diff(np.append(np.flatnonzero(new), len(order)))
                 own = times > 1
-                parts = [AGAIN.unpack(x["entries"])[0] for x in came.filter(pa.array([k == "again" for k in kinds], pa.bool_())).to_pylist()]
+                parts = [AGAIN.unpack(x["rows"])[0] for x in came.filter(pa.array([k == "again" for k in kinds], pa.bool_())).to_pylist()]
                 own[AGAIN.join([[p] for p in parts])[0]] = True
                 hit = at[order[np.repeat(own, times)]]
-                shift = np.repeat(found["start"].to_numpy() - symbols.starts, symbols.ends - symbols.starts)
-                removed |= covered((hit + shift[hit]) if len(hit) else hit, (hit + shift[hit] + window) if len(hit) else hit, len(removed))
+                hit = hit + np.repeat(start - symbols.starts, symbols.ends - symbols.starts)[hit]
+                removed |= covered(hit, hit + window, len(removed))
             out.append(finish(block, removed).cast(empty.schema))
         release()
         return pa.concat_tables(out)
@@ -284,7 +287,7 @@ def repeats(docs: DataFrame, finish, schema: str, key: str = "doc_id", text: str
     empty = fields.toArrow()
     offered = stretches.table.groupBy("block").cogroup(high.groupBy("block")).applyInArrow(offer, dealt.SENT)
     again = dealt.merged(dealt.at_buckets(offered, WINDOWS, stretches, meet), AGAIN, stretches)
-    came = stretches.table.selectExpr("block", "'stretches' AS kind", "rows AS entries").unionByName(again.selectExpr("block", "'again' AS kind", "entries"))
+    came = stretches.table.selectExpr("block", "'stretches' AS kind", "rows", "aside").unionByName(again.selectExpr("block", "'again' AS kind", "entries AS rows", "null AS aside"))
     return blocks.table.groupBy("block").cogroup(came.groupBy("block")).applyInArrow(end, fields.schema)
 
 
