@@ -38,9 +38,12 @@ from larkspur.llm.dealt import Kind, among, covered, cut, mixed
 from larkspur.llm.shared import release, written
 
 WINDOW = 35
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 6 << 20
 #: Rounds after which symbols are compared, and the fewest words of a low symbol that is sent. A symbol of r rounds has
-#: (4/3)^r words on average and depends on some eight times as many, so windows of 35 words hold symbols of 3 to 5 rounds.
-LOW, HIGH, LOW_WORDS = 3, (5, 4, 3), 3
+#: (4/3)^r words on average and depends on some eight times as many, so windows of 35 words hold symbols of 4 and 5 rounds; a window
+#: without one, as in a text that repeats itself all along, belongs to its first word.
+LOW, HIGH, LOW_WORDS = 3, (5, 4), 3
 #: Bytes of text for one low name, about.
 NAME_EVERY = 20
 #: A window: its name, its number in the block, and a second hash of its words.
@@ -67,16 +70,21 @@ class Symbols:
         return self.known[rounds]
 
     def _parsed(self, rounds: tuple[int, ...]) -> dict[int, tuple[np.ndarray, ...]]:
-        names, start, end = self.words.copy(), np.arange(len(self.words)), np.arange(1, len(self.words) + 1)
-        low, high, doc = start.copy(), end.copy(), self.doc
-        outside_low, outside_high = self.starts - 1, self.ends + 1
+        names, start, end = self.words.copy(), np.arange(len(self.words), dtype=np.int32), np.arange(1, len(self.words) + 1, dtype=np.int32)
+        low, high, doc = start.copy(), end.copy(), self.doc.astype(np.int32)
+        outside_low, outside_high = (self.starts - 1).astype(np.int32), (self.ends + 1).astype(np.int32)
         out = {0: (names, start, end - start, low, high)}
 
         def beside(low, high, doc):
             """Ranges that depend on the left and right neighbours too; beyond a text's ends nothing is known."""
-            left = np.where(np.concatenate(([False], doc[1:] == doc[:-1])), np.concatenate((low[:1], low[:-1])), outside_low[doc])
-            right = np.where(np.concatenate((doc[1:] == doc[:-1], [False])), np.concatenate((high[1:], high[-1:])), outside_high[doc])
-            return np.minimum(low, left), np.maximum(high, right)
+            new = np.flatnonzero(doc[1:] != doc[:-1]) + 1
+            low, high, old_low, old_high = low.copy(), high.copy(), low, high
+            np.minimum(old_low[1:], old_low[:-1], out=low[1:])
+            np.maximum(old_high[:-1], old_high[1:], out=high[:-1])
+            first, last = np.concatenate(([0], new)), np.concatenate((new, [len(doc)])) - 1
+            low[first] = np.minimum(old_low[first], outside_low[doc[first]])
+            high[last] = np.maximum(old_high[last], outside_high[doc[last]])
+            return low, high
 
         for r in range(max(rounds)):
             if not len(names):
@@ -233,7 +241,7 @@ def _stretched(blocks: dealt.Blocks, window: int) -> dealt.Blocks:
     return dealt.sized(table)
 
 
-def repeats(docs: DataFrame, finish, schema: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = dealt.BLOCK_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, finish, schema: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """What finish(Block, removed) yields for every block, as an Arrow table of schema; removed: a flag per word."""
     rows = docs.select(docs[f"`{key}`"].cast("long").alias("key"), docs[f"`{text}`"].cast("string").alias("text"))
     blocks = dealt.tabled(rows, block_bytes, lambda table: ((pc.sum(pc.binary_length(table["text"])).as_py() or 0) // NAME_EVERY, b""), "words")
