@@ -3,8 +3,13 @@
 Documents are split into words at ASCII white space, which no token crosses. Every block of documents (a slice of an
 input partition) names its distinct words by places; the words of all blocks are dealt by word and sorted, each
 distinct word is encoded once, and the ids go back to the blocks, where they are joined to the words by place. What is
-shuffled is each block's distinct words and the documents as places, not the text or every occurrence. Decoding is a
-join of ids with the pieces of the vocabulary, a table bounded by the vocabulary.
+shuffled is each block's distinct words and the documents as places, not the text or every occurrence. Decoding looks
+the ids up in the table of pieces, which is bounded by the vocabulary and at hand in every worker; a shuffle of single
+ids to join them with so small a table would only cost.
+
+Splitting into words is known to be right for one way of normalising, splitting and decoding (SPLITS_WORDS). With a
+tokenizer that works otherwise a whole text takes the place of a word: each distinct text is encoded once, by the
+library, and decoded by it.
 
 A word's rows are at most one per block, so no key is hot: a word that fills the corpus has as many rows as any word
 that every block holds. A block is bounded by BLOCK_BYTES of text, or one text that is longer.
@@ -19,6 +24,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -33,6 +39,7 @@ from pyspark.sql import DataFrame
 
 from larkspur.llm import codec
 from larkspur.llm.arrow_words import coded_words, pieces
+from larkspur.llm.shared import release
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 32 << 20
@@ -47,8 +54,28 @@ PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\[-`{-~]*")
 SPLIT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+# The settings of a tokenizer, all but vocabulary and merges, under which no token crosses white space.
+SPLITS_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None, "decoder": None,
+}
+
+
+def splits_words(source: str) -> bool:
+    """Is this a tokenizer whose texts may be split into words?"""
+    settings = json.loads(source)
+    return all(settings.get(k) == v for k, v in SPLITS_WORDS.items()) and all(t["special"] and t["content"].startswith("<|") for t in settings["added_tokens"])
+
+
 class WordEncoder:
-    """Encodes words by a tokenizer of the tokenizers library that lower-cases and never joins words."""
+    """Encodes words (or whole texts, see splits_words) by a tokenizer of the tokenizers library."""
 
     loaded: dict[str, WordEncoder] = {}
 
@@ -56,6 +83,7 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.by_word = splits_words(source)
         self.whole = Tokenizer.from_str(source)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -84,6 +112,8 @@ class WordEncoder:
 
     def encode(self, words: Iterable[str]) -> list[list[int]]:
         """The ids of each word."""
+        if not self.by_word:
+            return [e.ids for e in self.whole.encode_batch_fast(list(words), add_special_tokens=False)]
         out: list[list[int]] = []
         hard, places = [], []
         for word in words:
@@ -99,6 +129,13 @@ class WordEncoder:
                 out[place] = e.ids
         return out
 
+    def decoded(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        """What runs of ids, sizes[i] of them in the i-th, stand for."""
+        if self.by_word:
+            return joined(self.pieces().take(pa.array(ids)), sizes)
+        ends = np.cumsum(sizes)
+        return pa.array(self.whole.decode_batch([ids[a:b].tolist() for a, b in zip(ends - sizes, ends, strict=True)], skip_special_tokens=False), pa.string())
+
     def pieces(self) -> pa.Array:
         """The piece of every id."""
         vocabulary = {i: p for p, i in self.whole.get_vocab(with_added_tokens=True).items()}
@@ -122,24 +159,31 @@ def source_of(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+def whole_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As coded_words, with every text as one word."""
+    coded = pc.fill_null(texts, "").cast(pa.large_string()).dictionary_encode()
+    return np.arange(len(texts) + 1), coded.indices.to_numpy(), coded.dictionary
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], limit: int, by_word: bool) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
     """Key, rows, word offsets, places and distinct words of each block; the key tells other contents apart."""
     n, task = 0, TaskContext.get().partitionId()
     for batch in batches:
         for part in pieces(batch, "text", limit):
-            offsets, places, words = coded_words(part.column("text"), simplified)
+            offsets, places, words = coded_words(part.column("text"), simplified) if by_word else whole_texts(part.column("text"))
             sum32 = zlib.crc32(words.cast(pa.large_binary()).buffers()[2] or b"") if len(words) else 0
             yield sum32 << 31 | (task & 0xFFFFF) << 11 | n & 0x7FF, part, offsets, places, words
             n += 1
+            release()
 
 
 def gathered_ids(docs: DataFrame, source: str, limit: int) -> DataFrame:
     """block, places, sizes, ids: the ids of each block's distinct words, packed."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(source)
+    shared, by_word = spark.sparkContext.broadcast(source), splits_words(source)
 
     def distinct(batches):
-        for block, _, _, _, words in blocks_of(batches, limit):
+        for block, _, _, _, words in blocks_of(batches, limit, by_word):
             yield pa.RecordBatch.from_arrays(
                 [words.cast(pa.string()), pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32))], names=["word", "block", "place"]
             )
@@ -165,6 +209,8 @@ def gathered_ids(docs: DataFrame, source: str, limit: int) -> DataFrame:
                 for name, value in zip(rows, (int(blocks[own[0]]), places[own].tobytes(), size.astype(np.uint32).tobytes(), flat[at].astype(width).tobytes()), strict=True):
                     rows[name].append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("places", "sizes", "ids"))]))
+        encoder.known.clear()  # the worker lives on, its next task has other words
+        release()
 
     width = np.uint16 if len(WordEncoder.of(source).pieces()) <= 1 << 16 else np.uint32
     table = docs.mapInArrow(distinct, "word string, block long, place int")
@@ -172,7 +218,7 @@ def gathered_ids(docs: DataFrame, source: str, limit: int) -> DataFrame:
     return table.repartition(n, "word").sortWithinPartitions("word").mapInArrow(encoded, "block long, places binary, sizes binary, ids binary")
 
 
-def coded_blocks(docs: DataFrame, limit: int) -> DataFrame:
+def coded_blocks(docs: DataFrame, limit: int, by_word: bool = True) -> DataFrame:
     """block, keys, offsets, n, control, data, order: each block's documents as places of their words, packed.
 
     0 stands for a word's first occurrence in the block, as places are given in that order; the words that come again
@@ -180,7 +226,7 @@ def coded_blocks(docs: DataFrame, limit: int) -> DataFrame:
     """
 
     def coded(batches):
-        for block, part, offsets, places, words in blocks_of(batches, limit):
+        for block, part, offsets, places, words in blocks_of(batches, limit, by_word):
             count = np.bincount(places, minlength=len(words))
             again = np.flatnonzero(count > 1)
             order = again[np.argsort(-count[again], kind="stable")].astype(np.uint32)
@@ -257,18 +303,18 @@ def encode(docs: DataFrame, tokenizer: str, finish, schema: str, key: str = "doc
         for row in blocks.to_pylist():
             offsets = np.frombuffer(row["offsets"], dtype=np.int64)
             out.append(finish(row["keys"], offsets, uncoded(row), BlockIds(words, row["n"]), WordEncoder.of(shared.value)))
+        release()
         return pa.concat_tables(out) if out else empty
 
     fields = docs.sparkSession.createDataFrame([], schema)
     empty = fields.toArrow()
-    return coded_blocks(narrow, block_bytes).groupBy("block").cogroup(gathered_ids(narrow, source, block_bytes).groupBy("block")).applyInArrow(end, fields.schema)
+    return coded_blocks(narrow, block_bytes, splits_words(source)).groupBy("block").cogroup(gathered_ids(narrow, source, block_bytes).groupBy("block")).applyInArrow(end, fields.schema)
 
 
 def _digest(keys, offsets, places, ids: BlockIds, encoder: WordEncoder) -> pa.Table:
-    vocabulary = encoder.pieces()
-    numbers = pa.array([str(i) for i in range(len(vocabulary))], pa.string())
-    # The id-to-piece join, once for each distinct word of the block.
-    as_numbers, as_pieces = (joined(table.take(pa.array(ids.flat)), ids.sizes) for table in (numbers, vocabulary))
+    numbers = pa.array([str(i) for i in range(encoder.whole.get_vocab_size())], pa.string())
+    # Ids to pieces, once for each distinct word of the block.
+    as_numbers, as_pieces = joined(numbers.take(pa.array(ids.flat)), ids.sizes), encoder.decoded(ids.flat, ids.sizes)
     counts = np.concatenate(([0], np.cumsum(ids.sizes[places])))
     total = counts[offsets[1:]] - counts[offsets[:-1]]
     has_ids = ids.sizes > 0  # a word may have no tokens at all
@@ -303,14 +349,14 @@ def tokens(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
 
 
 def decode(rows: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
-    """rows (key, ids) with decoded: the pieces of the ids, joined by one space as the library does."""
+    """rows (key, ids) with decoded: what the ids stand for; null where there are none."""
     shared = rows.sparkSession.sparkContext.broadcast(source_of(tokenizer))
 
     def decoded(batches):
-        vocabulary = WordEncoder.of(shared.value).pieces()
+        encoder = WordEncoder.of(shared.value)
         for batch in batches:
             lists = batch.column(ids)
-            flat, ends = lists.flatten(), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, joined(vocabulary.take(flat), np.diff(ends)).cast(pa.string())], names=[*batch.schema.names, "decoded"])
+            texts = encoder.decoded(lists.flatten().to_numpy(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(lists.is_null(), None, texts)], names=[*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(decoded, rows.withColumn("decoded", rows[ids].cast("string")).schema)

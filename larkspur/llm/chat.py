@@ -42,9 +42,9 @@ def escaped_role(role: Column) -> Column:
 
 
 def unescaped_role(role: Column) -> Column:
-    # Pairs are read from the left: a doubled backslash first becomes a character that no JVM string of Spark's holds alone.
-    plain = F.replace(unescaped(role), F.lit("\\\\"), F.lit("\x00\x01"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\"))
+    # A line break is an n after an odd number of backslashes; the pairs before it, and all others, are halved.
+    broken = F.regexp_replace(unescaped(role), r"(?<!\\)((?:\\\\)*)\\n", "$1\n")
+    return F.replace(broken, F.lit("\\\\"), F.lit("\\"))
 
 
 def visited(part: Column) -> Column:

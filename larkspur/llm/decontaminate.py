@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import written
+from larkspur.llm.shared import release, written
 
 WINDOW = 10
 #: Words of the benchmark that one broadcast may hold; about 100 bytes each in a worker.
@@ -128,9 +128,13 @@ def scanned(
                     rows["_lk_items"].append(sorted({*had, *(windows.items[i] for i in items)}))
                 types = {"_lk_n": pa.int64(), "_lk_hits": pa.binary(), "_lk_n_hit": pa.int64(), "_lk_items": pa.list_(pa.string())}
                 yield pa.RecordBatch.from_arrays([pa.array(rows[c], types[c]) if c in rows else batch.column(c) for c in names], names=names)
+            release()
 
         out = out.mapInArrow(scan, out.select(*[F.col(f"`{c}`") for c in names]).schema)
-        out, block = (written(out, "decontaminate") if following is not None else out), following
+        if following is not None:  # the pass is done: its windows leave the executors
+            out = written(out, "decontaminate")
+            shared.destroy()
+        block = following
     return out
 
 

@@ -31,6 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from larkspur.llm.shared import release
+
 # The elements of HTML by what they do to text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark object output picture q ruby rt rp s samp small span strike strong sub sup time tt u var"
@@ -239,6 +241,7 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
+        release()
 
     rows = pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), pages[html].cast("string").alias("html"))
     return rows.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import written
+from larkspur.llm.shared import release, written
 
 SHINGLE, BITS, SEED = 3, 64, 42
 RADIUS = 2
@@ -54,16 +54,18 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", marks
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], pa.array(found)], names=[*passed, "fp"])
+        release()
 
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"), *[m.alias(c) for m, c in zip(marks, passed[1:], strict=True)])
     return rows.mapInArrow(made, ", ".join(f"{c} long" for c in [*passed, "fp"]))
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints that connect all that differ in at most radius (0 to 3) bits."""
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(BITS)]) if radius >= 2 else F.array("fp")
-    if radius == 3:
+    """Pairs (a, b), a < b, of distinct fingerprints that connect all that differ in at most radius bits, which is 0 or 2:
+    half of it is the variants' distance, and at an odd radius a chain of neighbours would miss links."""
+    if radius not in (0, 2):
         raise ValueError("the radius is 0 or 2: half of it is the variants' distance")
+    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63))) for b in range(BITS)]) if radius else F.array("fp")
     variants = distinct.select("fp", F.explode(near).alias("variant"))
     before = F.lag("fp").over(Window.partitionBy("variant").orderBy("fp"))
     pairs = variants.select(before.alias("a"), F.col("fp").alias("b")).where(F.col("a").isNotNull())

@@ -6,7 +6,7 @@ frequent 256 ids take one byte), the control bytes and the data bytes. Ranks bel
 itself and the corpus is passed once. Frames are rows of a Parquet table: Spark's own committer puts them in any store,
 and a lost executor's shard is written again. Reading back needs the table only.
 
-Shards are dealt by ranges of the id with bounds from a sample of the ids; every row is written. Frames are bounded by
+Shards are dealt by ranges of the id, and of the text's beginning where ids are equal, with bounds from a sample of the ids; every row is written. Frames are bounded by
 FRAME_BYTES of text, or one text that is longer.
 
 Defined cases: null and empty texts have only the end id; null ids come first, ties are ordered by text and repeated
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, codec
 from larkspur.llm.arrow_words import coded_words, pieces
-from larkspur.llm.shared import new_path, text_bytes
+from larkspur.llm.shared import new_path, release, text_bytes
 
 FRAME_BYTES = 12 << 20
 SHARD_BYTES = 24 << 20
@@ -63,7 +63,7 @@ class Remembered:
 
 def flat_ids(texts: pa.Array, encoder: bpe.WordEncoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each followed by end_id, and how many each has."""
-    offsets, places, words = coded_words(texts)
+    offsets, places, words = coded_words(texts) if encoder.by_word else bpe.whole_texts(texts)
     ids = Remembered.of(encoder).encode(words.to_pylist())
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
     flat, starts = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes
@@ -108,6 +108,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, key: str
                 row = {"shard": shard, "frame": n, "n_ids": len(ids), "doc_ids": part.column("key").to_pylist(), "lengths": lengths} | framed(ids)
                 yield pa.RecordBatch.from_pydict({c: [v] for c, v in row.items()}, schema=schema)
                 n += 1
+                release()
+        Remembered.of(encoder).known.clear()
+        encoder.known.clear()
 
     schema = pa.schema([
         ("shard", pa.int32()), ("frame", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
@@ -115,7 +118,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, key: str
     ])
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     shards = max(1, -(-text_bytes(rows) // SHARD_BYTES))
-    ordered = rows.repartitionByRange(shards, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    # Rows of one id are dealt by their texts' beginnings too, so that an id that many rows have isn't one shard.
+    ordered = rows.repartitionByRange(shards, F.col("key").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     ordered.mapInArrow(frames, FRAME).write.parquet(path)
 
 

@@ -13,9 +13,9 @@ from tests.llm.texts import SCHEMA, documents
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def expected(rows):
+def expected(rows, path=PATH):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    t = Tokenizer.from_file(PATH)
+    t = Tokenizer.from_file(path)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     out = []
     for key, text in rows:
@@ -48,6 +48,23 @@ def test_tokens_decode_and_empty(spark):
     assert bpe.digests(docs.where("false"), PATH).collect() == []
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_tokenizers_take_whole_texts(spark, name):
+    path = public_tokenizers.path(name)
+    assert not bpe.splits_words(bpe.source_of(path)) and bpe.splits_words(bpe.source_of(PATH))
+    docs = spark.createDataFrame(documents(), SCHEMA).where("doc_id != 18")
+    found = sorted(map(tuple, bpe.digests(docs, path, block_bytes=5000).collect()), key=str)
+    assert found == expected([(r.doc_id, r.text) for r in docs.collect()], path)
+    rows = bpe.decode(bpe.tokens(docs, path).unionByName(spark.createDataFrame([(77, None)], "doc_id long, ids array<int>")), path).collect()
+    assert sorted(str((r.doc_id, r.decoded)) for r in rows if r.doc_id != 77) == sorted(str((r.doc_id, r.text or "")) for r in docs.collect())
+    assert [r.decoded for r in rows if r.doc_id == 77] == [None]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame(documents()[:9], SCHEMA).withColumnsRenamed({"lang": "block", "source": "key", "n_chars": "word"})
+    assert sorted(map(tuple, bpe.digests(docs, PATH).collect()), key=str) == expected([r[:2] for r in documents()[:9]])
+
+
 def test_codec():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):

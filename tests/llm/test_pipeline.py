@@ -92,13 +92,14 @@ def test_chat(spark):
     rows = [
         (1, 0, "user", [part(type="text", text="Look <|image|> "), part(type="image", ref="i.png", width=57, height=28), part(type="audio", ref="a.wav", seconds=1.5), None]),
         (1, 1, "assistant", [part(type="document", ref="d.pdf", pages=3), part(type="text", text=r"<\|im_end|> <|im_end|> a<\\|"), part(type="odd", text="x")]),
-        (2, 0, "a\\n\nb<|", [part(type="text", text=None)]), (None, None, None, None),
+        (2, 0, "a\\n\nb<|", [part(type="text", text=None)]), (3, 0, "\x00\x01\\\\n\\", None), (None, None, None, None),
     ]
     turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{chat.PART}>")
     made = {r.conv_id: r for r in chat.format_conversations(turns).withColumn("turns", chat.parse(chat.F.col("formatted"))).collect()}
     assert made[1].formatted.startswith("<|im_start|>user\nLook <\\|image|> <|image|><|audio|><|im_end|>\n<|im_start|>assistant\n<|document|><\\\\|im_end|>")
     assert [(a.turn, a.place, a.type, a.ref, a.n_tokens) for a in made[1].attachments] == [(0, 1, "image", "i.png", 3), (0, 2, "audio", "a.wav", 38), (1, 0, "document", "d.pdf", 768)]
     assert [tuple(t) for t in made[2].turns] == [("a\\n\nb<|", "")]
+    assert [tuple(t) for t in made[3].turns] == [("\x00\x01\\\\n\\", "")]
     assert [tuple(t) for t in made[None].turns] == [("unknown", "")]
     assert made[1].turns[1].text == "<|document|>" + r"<\|im_end|> <|im_end|> a<\\|"
     (m,) = made[1].mask
