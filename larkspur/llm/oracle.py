@@ -47,8 +47,10 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-    length(regexp_replace(array_to_string(list_filter(lines, lambda l: regexp_matches(l, '{quality.TERMINAL}') AND NOT regexp_matches(l, '{quality.NAVIGATION}')
-      AND NOT regexp_matches(l, '{quality.SHOUTING}') AND NOT regexp_matches(lower(l), '{quality.BOILERPLATE}')), ''), '{quality.HAS_WORD.replace("[^", "[")}', '', 'g')) AS good
+    length(regexp_replace(array_to_string(list_filter(lines, lambda l:
+      (length(l) > {quality.LONG} OR (regexp_matches(l, '{quality.TERMINAL}') AND NOT regexp_matches(lower(l), '{quality.BOILERPLATE}')))
+      AND length(regexp_replace(l, '{quality.BESIDE_NAVIGATION}', '', 'g')) < 2 + length(l) // {quality.EVERY}
+      AND length(regexp_replace(l, '{quality.BESIDE_SHOUTING}', '', 'g')) < 5 + 5 * (length(l) // {quality.EVERY})), ''), '{quality.HAS_WORD.replace("[^", "[")}', '', 'g')) AS good
   FROM d LEFT JOIN r USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AS base_failed,

@@ -1,7 +1,9 @@
 """Quality rules, line first, with DataFrame functions only.
 
 Every line is judged by itself (punctuation, navigation, boilerplate), failing lines are removed, and a document that
-loses too much of its text that way, or fails the base statistics, is rejected. All of it is one projection: no shuffle,
+loses too much of its text that way, or fails the base statistics, is rejected. A line is judged by how much of it is
+marked and not by a mark alone: a line of over LONG characters needs no final mark and isn't boilerplate for a phrase in
+it, and separators or symbols count by their share of the line. All of it is one projection: no shuffle,
 no Python, so the cost is linear in the text and a hot source or a long document moves nothing.
 
 Defined cases: a null or empty text has no words and fails the base; lines without a word are neither kept nor lost,
@@ -18,14 +20,20 @@ from larkspur.llm.shared import SPACE, words_of
 
 # The line rules. Regular expressions in the subset that Java and RE2 share.
 TERMINAL = r"[.!?:;\x{2026}][\x22\x27)\]\x{201D}\x{00BB}]*[ \t\r]*$"
-NAVIGATION = r"([|\x{203A}\x{00BB}\x{2022}][^|\x{203A}\x{00BB}\x{2022}]*){2}"
-SHOUTING = r"(!!+[^!]+){2}!!|([#*$%&]{3}[^#*$%&]+){2}"
+BESIDE_NAVIGATION = r"[^|\x{2022}]+"
+BESIDE_SHOUTING = r"[^!#*$%&]+"
 BOILERPLATE = (
     r"all rights reserved|terms of (use|service)|privacy policy|cookie policy|use of cookies|javascript|lorem ipsum"
     r"|licensed under the|released under the|copyright \(c\)|click here|sign up now|subscribe to our|powered by"
+    r"|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerkl\x{00E4}rung|verwendet cookies|hier klicken|newsletter abonnieren"
+    r"|tous droits r\x{00E9}serv\x{00E9}s|conditions d.utilisation|politique de confidentialit\x{00E9}|utilise des cookies|cliquez ici|abonnez-vous"
+    r"|todos los derechos reservados|condiciones de uso|pol\x{00ED}tica de privacidad|utiliza cookies|haz clic aqu\x{00ED}|suscr\x{00ED}bete"
 )
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
+#: Characters of a line that is long, and those for each of which a separator or five symbols are allowed.
+LONG, EVERY = 200, 40
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_KEPT_PERCENT = 50
@@ -34,11 +42,15 @@ MIN_KEPT_PERCENT = 50
 def _passes(line: str) -> str:
     """SQL: does a line pass the punctuation, navigation and boilerplate rules?"""
     return (
-        f"({line} rlike r'{TERMINAL}' AND NOT {line} rlike r'{NAVIGATION}' AND NOT {line} rlike r'{SHOUTING}'"
-        f" AND NOT lower({line}) rlike r'{BOILERPLATE}')"
+        f"((length({line}) > {LONG} OR ({line} rlike r'{TERMINAL}' AND NOT lower({line}) rlike r'{BOILERPLATE}'))"
+        f" AND {_marks(line, BESIDE_NAVIGATION)} < 2 + length({line}) div {EVERY} AND {_marks(line, BESIDE_SHOUTING)} < 5 + 5 * (length({line}) div {EVERY}))"
     )
 
 
+def _marks(line: str, beside: str) -> str:
+    return f"length(regexp_replace({line}, r'{beside}', ''))"
+
+
 def _let(name: str, value: str, body: str) -> str:
     """SQL: body with name bound to value. Where the optimizer copies an expression, value is still computed once in it."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"

@@ -19,10 +19,9 @@ def words(text):
 
 
 def passes(line):
-    terminal, navigation = (re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", p) for p in (quality.TERMINAL, quality.NAVIGATION))
-    return bool(
-        re.search(terminal, line) and not re.search(navigation, line) and not re.search(quality.SHOUTING, line) and not re.search(quality.BOILERPLATE, line.lower())
-    )
+    terminal, phrases = (re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", p) for p in (quality.TERMINAL, quality.BOILERPLATE))
+    whole = len(line) > 200 or bool(re.search(terminal, line) and not re.search(phrases, line.lower()))
+    return whole and sum(c in "|\u2022" for c in line) < 2 + len(line) // 40 and sum(c in "!#*$%&" for c in line) < 5 + 5 * (len(line) // 40)
 
 
 def judged(text):
@@ -66,6 +65,18 @@ def test_quality(spark, sf):
         assert sorted(map(tuple, clean.collect()), key=str) == expected
 
 
+def test_long_and_marked_lines(spark):
+    prose = " ".join(f"word{i} of" for i in range(60))
+    texts = {
+        prose: True, prose + " click here and see the privacy policy": True, prose + " » a » b » c": True, prose.replace("word7 ", "| ").replace("word9 ", "| "): True,
+        (prose + ".\n") * 3 + "Home | News | About | Contact": True, "\n".join(f"word{i} of word{i + 1}" for i in range(60)): False,
+        prose.replace(" of", " |"): False, prose.replace(" of", "!!!"): False, ("see it all. " * 3 + "\n").join(f"Item {i} | a | b | c |" for i in range(40)): False,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.kept for r in quality.verdicts(docs, max_repeat_percent=100).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_decontamination(spark):
     docs = spark.createDataFrame(documents(), SCHEMA)
     passage = documents()[9][1]
