@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,16 +44,84 @@ def budget_state(used: Column, limit: Column, warn: float = 0.8) -> Column:
     return F.when(limit < 0, "unlimited").when(share.isNull() | (share >= 1), "exhausted").when(share >= warn, "warn").otherwise("ok")
 
 
-def gate(solved: Column, state: Column, failures: Column, evidence: Column, can_rise: Column, most_failures: int = 3) -> Column:
-    """What a run does next, the first case that holds."""
+def gate(run: dict[str, Column], evidence: dict[str, Column], escalate_after: int = 2, low_confidence: float = 0.5) -> Column:
+    """What a run does next (action and reason), the first of nine cases that holds.
+
+    run: budget (a state as of budget_state), failures in a row, iterations, max_iterations (0: none), tier of its model
+    and can_rise (a stronger model is allowed). evidence, each of which may be null: validation (pass or fail), exit_code
+    of tests, critical, architectural, confidence. A failing exit code fails; a passing one passes unless the
+    validation failed. Where no stronger model is allowed, a person is asked instead.
+    """
+    verdict, code = evidence["validation"], evidence["exit_code"]
+    failed = F.coalesce(verdict == "fail", F.lit(False)) | F.coalesce(code != 0, F.lit(False))
+    passed = F.coalesce(verdict == "pass", F.lit(False)) | (F.coalesce(code == 0, F.lit(False)) & F.coalesce(verdict != "fail", F.lit(True)))
+    failures = run["failures"] + failed.cast("int")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    says = lambda action, reason: F.struct(F.lit(action).alias("action") if isinstance(action, str) else action.alias("action"), F.lit(reason).alias("reason"))
+    rise = F.when(run["can_rise"], "escalate").otherwise("ask_human")
+    return (
+        F.when(run["budget"] == "exhausted", says("fail", "budget"))
+        .when(passed, says("done", "passed"))
+        .when((run["max_iterations"] > 0) & (run["iterations"] + 1 >= run["max_iterations"]) & failed, says("fail", "iterations"))
+        .when(failed & (failures >= escalate_after), says(rise, "failures"))
+        .when(yes(evidence["critical"]) & (run["tier"] < 5), says(rise, "critical"))
+        .when(yes(evidence["architectural"]) & (run["tier"] < 4), says(rise, "architecture"))
+        .when(yes(evidence["confidence"] < low_confidence), says(rise, "confidence"))
+        .when(failed, says("repair", "validation"))
+        .otherwise(says("done", "no evidence"))
+    )
+
+
+# Tools and their categories, the first pattern that fits; * stands for anything.
+TOOLS = [
+    ("terminal", "shell"), ("execute_code", "shell"), ("process_manage", "shell"), ("read_file", "filesystem"), ("write_file", "filesystem"), ("patch", "filesystem"),
+    ("search_files", "filesystem"), ("web_search", "web_research"), ("web_extract", "web_research"), ("browser_*", "web_research"), ("delegate_task", "delegate"), ("kanban_*", "tasks"),
+    ("cronjob_manage", "tasks"), ("send_message", "messaging"), ("mcp__knowledge__*", "knowledge"), ("mcp__*", "mcp"),
+]
+# Patterns of paths and commands that nobody may use.
+SECRET_PATH = (
+    r"(?i)(^|/)(\.env(\.(?!example$|sample$|template$)[\w-]+)?|[^/]*\.pem|id_(rsa|ed25519|ecdsa)(\.pub)?|"
+    r"secrets?\.(ya?ml|json|toml|env|txt)|\.ssh/[^/]+|\.netrc|\.git-credentials|credentials\.json)$"
+)
+SECRET_IN_COMMAND = r"(?i)(^|[\s'\x22=/<])(\.env(?!\.(example|sample|template)\b)\b|[\w./-]*\.pem\b|id_(rsa|ed25519|ecdsa)\b|\.ssh/|\.git-credentials|\.netrc)"
+DESTRUCTIVE = [
+    r"(?i)\brm\s+(-[a-z]*r[a-z]*f|-[a-z]*f[a-z]*r)[a-z]*\s+(/|~|\$HOME|\*)(\s|$)", r"(?i)\bgit\s+push\b[^\n]*(--force\b|-f\b)[^\n]*\b(main|master)\b",
+    r"(?i)\b(drop\s+(database|schema)|truncate\s+table)\b", r"(?i)\bmkfs(\.\w+)?\b|\bdd\s+[^\n]*of=/dev/", r":\(\)\s*\{\s*:\|:&\s*\};:", r"(?i)\bcurl\b[^\n|]*\|\s*(sudo\s+)?(ba)?sh\b",
+]
+
+
+def tool_category(tool: Column) -> Column:
+    """The category of a tool; null for one that belongs to none."""
+    out = F.lit(None).cast("string")
+    for pattern, category in reversed(TOOLS):
+        out = F.when(tool.rlike("^" + re.escape(pattern).replace(r"\*", ".*") + "$"), category).otherwise(out)
+    return out
+
+
+def tool_verdict(call: dict[str, Column], agent: dict[str, Column], session_tenant: Column) -> Column:
+    """May an agent call a tool? allow and the reason, the first case that holds.
+
+    call: tool, paths (array), command, tenant, domain. agent: known (false: core rules only), tools, tenants, deny_domains
+    (arrays; no tenants means all). The tenant "shared" is open to every agent.
+    """
+    no = lambda reason: F.struct(F.lit(False).alias("allow"), F.lit(reason).alias("reason"))
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    paths = F.coalesce(call["paths"], F.array().cast("array<string>"))
+    command, tenant, category = F.coalesce(call["command"], F.lit("")), F.nullif(call["tenant"], F.lit("")), tool_category(call["tool"])
+    destructive = F.lit(False)
+    for pattern in DESTRUCTIVE:
+        destructive = destructive | command.rlike(pattern)
+    known = holds(agent["known"])
+    outside = holds(~(F.array_contains(agent["tools"], category) | F.array_contains(agent["tools"], "*")))
     return (
-        F.when(solved, "finish")
-        .when(state == "exhausted", "stop")
-        .when(~evidence, "gather")
-        .when((failures < most_failures), "repair")
-        .when(can_rise & (state != "warn"), "escalate")
-        .when(can_rise, "ask")
-        .otherwise("stop")
+        F.when(holds(F.exists(paths, lambda p: F.replace(p, F.lit("\\"), F.lit("/")).rlike(SECRET_PATH))), no("secret path"))
+        .when(command.rlike(SECRET_IN_COMMAND), no("secret in command"))
+        .when(destructive, no("destructive"))
+        .when(known & category.isNotNull() & outside, no("category"))
+        .when(known & holds((tenant != "shared") & (F.size(agent["tenants"]) > 0) & ~F.array_contains(agent["tenants"], tenant)), no("tenant"))
+        .when(known & holds(session_tenant.isNotNull() & (session_tenant != "") & (tenant != session_tenant) & (tenant != "shared")), no("session"))
+        .when(known & holds(F.array_contains(agent["deny_domains"], call["domain"])), no("domain"))
+        .otherwise(F.struct(F.lit(True).alias("allow"), F.lit("").alias("reason")))
     )
 
 

@@ -84,3 +84,21 @@ def from_file_name(name: Column) -> Column:
     """The day that a photo's name tells: 20240131, 2024-01-31 or 2024_01_31 in it; else null."""
     digits = F.regexp_replace(F.regexp_extract(name, r"(20[0-9]{2}[-_]?[01][0-9][-_]?[0-3][0-9])", 1), "[-_]", "")
     return F.when(F.length(digits) == 8, F.try_to_date(digits, "yyyyMMdd"))
+
+
+def grown(principal: Column, yearly_rate: Column, days: Column, tax: Column) -> Column:
+    """What principal becomes by compound interest over days, with tax on the gain."""
+    gain = principal * (F.pow(1 + yearly_rate, days / 365.0) - 1)
+    return F.round(principal + gain * (1 - tax), 2)
+
+
+def shown(value: Column, kind: str) -> Column:
+    """A number as text: percent (a share, one decimal), usd (four decimals below a cent, else two) or number (thousands marked); - for null."""
+    if kind == "percent":
+        text = F.concat(F.format_string("%.1f", value.cast("double") * 100), F.lit("%"))
+    elif kind == "usd":
+        v = value.cast("double")
+        text = F.concat(F.lit("$"), F.when((v != 0) & (F.abs(v) < 0.01), F.format_string("%.4f", v)).otherwise(F.format_string("%.2f", v)))
+    else:
+        text = F.format_number(value.cast("double"), 0)
+    return F.when(value.isNull(), "-").otherwise(text)

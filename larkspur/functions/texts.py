@@ -36,9 +36,9 @@ def srt_time(seconds: Column) -> Column:
 
 
 def route(url: Column) -> Column:
-    """The path of an address: without host, query and fragment, numbers as {id}."""
+    """The path of an address: without host, query and fragment, segments that are numbers as {id}."""
     path = F.regexp_replace(F.regexp_replace(url, r"^[a-z]+://[^/]*", ""), r"[?#].*$", "")
-    return F.regexp_replace(path, r"[0-9]+", "{id}")
+    return F.regexp_replace(path, r"(?<=/)[0-9]+(?=/|$)", "{id}")
 
 
 def breadcrumb(title: Column, headings: Column, text: Column) -> Column:
@@ -66,3 +66,35 @@ def answer_numbers(text: Column) -> Column:
     """Thousands marks taken out and decimal commas made points, so that answers in either writing compare."""
     out = F.regexp_replace(text, r"(?<=[0-9])\.(?=[0-9]{3}(?:[.,]|\b))(?![0-9]{3}[0-9])", "")
     return F.regexp_replace(out, r"(?<=[0-9]),(?=[0-9]{1,2}\b)", ".")
+
+
+def is_test_command(command: Column) -> Column:
+    """Does a shell command run a project's tests?"""
+    return F.coalesce(command, F.lit("")).rlike(r"(?i)(^|[\s;&|(])(pytest|python3? -m (pytest|unittest)|go test|cargo test|npm (run )?test|yarn test|pnpm test|make (test|check)|mvn test|gradle test|ctest)\b")
+
+
+def exit_code(output: Column) -> Column:
+    """The last exit code that an output names; null where it names none."""
+    named = F.regexp_extract_all(F.coalesce(output, F.lit("")), F.lit(r"(?i)exit(?:ed)?(?: with)?(?: code| status)?[ :=\x22]+(-?\d+)"), 1)
+    return F.try_element_at(named, F.lit(-1)).cast("int")
+
+
+def is_slug(text: Column) -> Column:
+    """Lower-case letters and digits in parts joined by single hyphens, 64 characters at most."""
+    return F.coalesce(text.rlike(r"^[a-z0-9]+(-[a-z0-9]+)*$") & (F.length(text) <= 64), F.lit(False))
+
+
+def is_repository(text: Column) -> Column:
+    """owner/name as code hosts write it."""
+    return F.coalesce(text.rlike(r"^[A-Za-z0-9][A-Za-z0-9-]{0,38}/[A-Za-z0-9._-]{1,100}$"), F.lit(False))
+
+
+def is_uri(text: Column) -> Column:
+    """A scheme, :// and a path without white space or steps upwards."""
+    return F.coalesce(text.rlike(r"^[a-z][a-z0-9+.-]*://[^\s]+$") & ~text.rlike(r"(^|/)\.\.(/|$)"), F.lit(False))
+
+
+def listed(fields: list[Column], most: int = 10) -> Column:
+    """The first of several arrays of texts that isn't null or empty: trimmed, without blanks and repeats, `most` at most."""
+    clean = [F.array_distinct(F.filter(F.transform(f, F.trim), lambda x: x != "")) for f in fields]
+    return F.slice(F.coalesce(*[F.when(F.size(c) > 0, c) for c in clean], F.array().cast("array<string>")), 1, most)

@@ -101,3 +101,43 @@ def income_shares(rows: DataFrame, kind: str, amount: str, income: str) -> DataF
     earned = sums.agg(F.sum(F.when(F.col("kind") == income, F.col("total"))).alias("_earned"))
     spent = sums.where(F.col("kind") != income).crossJoin(F.broadcast(earned))  # one row
     return spent.select("kind", F.col("total").cast("double").alias("total"), F.round(F.try_divide(F.col("total").cast("double"), F.col("_earned").cast("double")) * 100, 1).alias("pct"))
+
+
+def coverage(rows: DataFrame) -> DataFrame:
+    """total_rows, categorized, unknown and the share that has a category, in percent (0 without rows)."""
+    has = F.count("category")
+    return rows.agg(F.count("*").alias("total_rows"), has.alias("categorized"), (F.count("*") - has).alias("unknown"), F.coalesce(F.round(F.try_divide(100.0 * has, F.count("*")), 1), F.lit(0.0)).alias("coverage_pct"))
+
+
+def unknown_groups(rows: DataFrame, most: int = 20, examples: int = 3, first_rows: int = 10) -> DataFrame:
+    """Rows (row, key, text, amount, category) without a category by key: count, total, the first different texts and the
+    first row numbers; the report's `most` groups by count, size of the total, and key.
+
+    Only a group's first rows are gathered: both lists are cut by a numbered window before they meet.
+    """
+    left = rows.where("category IS NULL").select("row", "key", "text", F.coalesce("amount", F.lit(0)).cast("decimal(18,2)").alias("amount"))
+    totals = left.groupBy("key").agg(F.count("*").alias("count"), F.sum("amount").alias("total"))
+    best = totals.orderBy(F.desc("count"), F.desc(F.abs("total")), "key").limit(most)
+    own = left.join(F.broadcast(best.select("key")), "key", "left_semi")  # `most` keys
+    firsts = own.groupBy("key", "text").agg(F.min("row").alias("row"))
+    by_row = Window.partitionBy("key").orderBy("row")
+    told = lambda df, n, value, name: df.withColumn("_n", F.row_number().over(by_row)).where(F.col("_n") <= n).groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", value))), lambda x: x[value].cast("string")), "|").alias(name))
+    out = best.join(told(firsts, examples, "text", "examples"), "key").join(told(own.select("key", "row"), first_rows, "row", "rows"), "key")
+    return out.select("key", "count", F.col("total").cast("double").alias("total"), "examples", "rows")
+
+
+def net_spend(rows: DataFrame) -> DataFrame:
+    """Cents spent by category: kind purchase adds, refund subtracts, anything else (income) is left out."""
+    cents = F.round(F.col("amount").cast("decimal(18,2)") * 100).cast("long")
+    return rows.where(F.col("kind").isin("purchase", "refund")).groupBy("category").agg(F.sum(F.when(F.col("kind") == "refund", -cents).otherwise(cents)).alias("cents"))
+
+
+def by_severity(review: DataFrame) -> DataFrame:
+    """Budget rows (category, status, used_pct), the worst status first, then by falling use; no limit counts as most."""
+    severity = F.when(F.col("status") == "over", 0).when(F.col("status") == "warn", 1).otherwise(2)
+    return review.orderBy(severity, F.col("used_pct").desc_nulls_first(), "category")
+
+
+def status_totals(review: DataFrame) -> DataFrame:
+    """Budget rows (status, limit, spent) by status."""
+    return review.groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("limit"), 2).alias("budgeted"), F.round(F.sum("spent"), 2).alias("spent"))

@@ -63,7 +63,7 @@ def fused(lists: DataFrame, k: int = 60) -> DataFrame:
 
 def live(memories: DataFrame, now: Column) -> DataFrame:
     """Memories that nothing replaced, that aren't deprecated and haven't expired."""
-    return memories.where(F.col("superseded_by").isNull() & (F.col("status") != "deprecated") & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
+    return memories.where(F.col("superseded_by").isNull() & ~F.col("status").eqNullSafe("deprecated") & (F.col("expires_at").isNull() | (F.col("expires_at") > now)))
 
 
 def superseded(memories: DataFrame, new: DataFrame, keys: list[str], least: float = 0.92) -> DataFrame:

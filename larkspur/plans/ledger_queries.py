@@ -21,50 +21,55 @@ def rpt_costs(spark, sf_dir):
 
 
 @query("rpt_models", R + f"""
-SELECT start_model, count(*) AS runs, count(*) FILTER (WHERE status = 'succeeded' AND escalations = 0) AS solved, round({WON}::DOUBLE / count(*), 3) AS success_rate, sum(cost_usd)::DOUBLE AS cost
-FROM r WHERE status IN ('succeeded', 'failed') GROUP BY start_model""")
+SELECT model, {WON} AS solved, count(*) AS runs, round(avg((status = 'succeeded')::INT), 3) AS success_rate, sum(cost_usd)::DOUBLE AS cost_usd
+FROM r WHERE status IN ('succeeded', 'failed') GROUP BY model""")
 def rpt_models(spark, sf_dir):
     return ledger.models(ledger.runs(spark, sf_dir))
 
 
 @query("rpt_agents", R + """
-SELECT 'agent' || agent_id AS agent, count(*) AS runs, sum(cost_usd)::DOUBLE AS cost, round(sum(cost_usd)::DOUBLE / count(*), 6) AS avg_cost FROM r GROUP BY agent_id""")
+SELECT 'agent' || agent_id AS agent, count(*) AS runs, sum(cost_usd)::DOUBLE AS cost_usd, round(sum(cost_usd)::DOUBLE / count(cost_usd), 6) AS avg_cost_usd, sum(input_tokens + output_tokens)::BIGINT AS tokens FROM r GROUP BY agent_id""")
 def rpt_agents(spark, sf_dir):
     names = spark.range(6).select(F.col("id").cast("int").alias("agent_id"), F.concat(F.lit("agent"), F.col("id").cast("string")).alias("agent"))
     return ledger.agents(ledger.runs(spark, sf_dir), names)
 
 
 @query("rpt_skills", R + """
-SELECT skill, count(*) AS calls, sum(cost_usd)::DOUBLE AS cost FROM
-  (SELECT cost_usd, unnest(['s' || repairs, 'e' || escalations]) AS skill FROM r WHERE iterations > 0) GROUP BY skill""")
+SELECT skill, count(*) AS calls, sum(input_tokens + output_tokens)::BIGINT AS tokens, sum(cost_usd)::DOUBLE AS cost_usd FROM
+  (SELECT cost_usd, input_tokens, output_tokens, unnest(['s' || repairs, 'e' || escalations]) AS skill FROM r WHERE iterations > 0) GROUP BY skill""")
 def rpt_skills(spark, sf_dir):
     listed = F.when(F.col("iterations") > 0, F.to_json(F.array(F.concat(F.lit("s"), "repairs"), F.concat(F.lit("e"), "escalations"))))
     return ledger.skills(ledger.runs(spark, sf_dir).withColumn("skills", listed))
 
 
 @query("rpt_loops", R + """
-SELECT coalesce(task_type, '-') AS task_type, round(avg(repairs), 6) AS avg_repairs, max(repairs) AS max_repairs, count(*) FILTER (WHERE repairs >= 3) AS runs_3_repairs, round(avg(iterations), 6) AS avg_iterations
+SELECT coalesce(task_type, '(unclassified)') AS task_type, count(*) AS runs, round(avg(repairs), 6) AS avg_repairs, max(repairs) AS max_repairs, count(*) FILTER (WHERE repairs >= 3) AS runs_with_3plus_repairs, round(avg(iterations), 6) AS avg_iterations
 FROM r GROUP BY 1""")
 def rpt_loops(spark, sf_dir):
     return ledger.loops(ledger.runs(spark, sf_dir))
 
 
-@query("rpt_routes", R + """
-SELECT coalesce(task_type, '-') AS task_type, coalesce(start_model, '-') AS start_model, coalesce(status, '-') AS status, coalesce(agent_id::VARCHAR, '-') AS agent_id, count(*) AS runs, sum(cost_usd)::DOUBLE AS cost
-FROM r GROUP BY ALL""")
+@query("rpt_routes", R + f"""
+SELECT coalesce(domain, '-') AS domain, coalesce(task_type, '-') AS task_type, coalesce(complexity, '-') AS complexity, start_model, count(*) AS runs,
+  round(avg((status = 'succeeded')::INT), 3) AS success_rate, round(sum(cost_usd)::DOUBLE / nullif({WON}, 0), 9) AS cost_per_success_usd
+FROM r WHERE status IN ('succeeded', 'failed') GROUP BY 1, 2, 3, 4""")
 def rpt_routes(spark, sf_dir):
     return ledger.routes(ledger.runs(spark, sf_dir))
 
 
 @query("rpt_escalations", R + """
-SELECT started_at::DATE::VARCHAR AS day, count(*) AS runs, count(*) FILTER (WHERE escalations > 0) AS escalated, round(count(*) FILTER (WHERE escalations > 0)::DOUBLE / count(*), 3) AS rate,
-  string_agg(DISTINCT start_model, ',' ORDER BY start_model) FILTER (WHERE escalations > 0) AS from_models
-FROM r WHERE started_at > (SELECT max(started_at) FROM r) - INTERVAL 60 DAYS GROUP BY 1""")
+SELECT started_at::DATE::VARCHAR AS day, count(*) FILTER (WHERE gate = 'escalate') AS escalations, count(*) FILTER (WHERE gate = 'ask_human') AS asked_human, count(*) AS gates,
+  round(avg((gate = 'escalate')::INT), 3) AS escalation_rate, string_agg(DISTINCT path, ',' ORDER BY path) FILTER (WHERE gate = 'escalate') AS paths
+FROM (SELECT *, start_model || '->' || coalesce(CASE WHEN repairs + iterations > 0 THEN model END, '-') AS path FROM r) GROUP BY 1 ORDER BY 1 DESC LIMIT 60""")
 def rpt_escalations(spark, sf_dir):
-    return ledger.escalations(ledger.runs(spark, sf_dir))
+    to = F.when(F.col("repairs") + F.col("iterations") > 0, F.col("model"))
+    gates = ledger.runs(spark, sf_dir).select(F.col("started_at").alias("occurred_at"), F.col("gate").alias("action"), F.col("start_model").alias("from_model"), to.alias("to_model"))
+    return ledger.escalations(gates)
 
 
-@query("rpt_spend", R + "SELECT started_at::DATE::VARCHAR AS day, start_model, task_type, sum(cost_usd)::DOUBLE AS cost FROM r GROUP BY ALL")
+@query("rpt_spend", R + """
+SELECT started_at::DATE::VARCHAR AS day, model AS model_alias, purpose, sum(cost_usd)::DOUBLE AS usd, sum(input_tokens)::BIGINT AS in_tok, sum(output_tokens)::BIGINT AS out_tok, count(*) AS calls
+FROM r GROUP BY ALL ORDER BY day DESC, usd DESC, model_alias, purpose LIMIT 200""")
 def rpt_spend(spark, sf_dir):
     return ledger.spend(ledger.runs(spark, sf_dir))
 
@@ -79,11 +84,15 @@ def learned_stats(spark, sf_dir):
     return ledger.learned_stats(ledger.runs(spark, sf_dir))
 
 
-@query("best_model", R + f""", s AS ({STATS})
-SELECT task_type, start_model, cost_per_success FROM s WHERE runs >= 5 AND solved / runs >= 0.3
-QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY cost_per_success, solved / runs DESC, start_model) = 1""")
+@query("best_model", R + f""", s AS ({STATS}), p AS (SELECT *, runs >= 5 AND solved / runs >= 0.3 AND solved > 0 AS proven FROM s),
+b AS (SELECT * FROM p WHERE proven AND start_model <> 'm7' QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY cost_per_success, start_model) = 1)
+SELECT b.task_type, 'm' || length(b.task_type) % 8 AS policy_model, b.start_model AS model, b.cost_per_success, b.runs FROM b
+LEFT JOIN p ON p.task_type = b.task_type AND p.start_model = 'm' || length(b.task_type) % 8 AND p.proven
+WHERE b.start_model <> 'm' || length(b.task_type) % 8 AND (p.cost_per_success IS NULL OR p.cost_per_success > b.cost_per_success)""")
 def best_model(spark, sf_dir):
-    return ledger.best_models(ledger.learned_stats(ledger.runs(spark, sf_dir)))
+    stats = ledger.learned_stats(ledger.runs(spark, sf_dir))
+    policy = stats.select("task_type", F.concat(F.lit("m"), F.length("task_type") % 8).alias("policy_model")).distinct()
+    return ledger.best_models(stats, policy, [f"m{i}" for i in range(7)])
 
 
 @query("budget_state", R + """, l(period, limit_usd) AS (VALUES ('day', 5.0::DOUBLE), ('month', 1e9::DOUBLE), ('month', -1.0::DOUBLE)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,34 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("task_type"), F.concat(F.lit("m"), (F.col("user_id") % 8).cast("string")).alias("start_model"),
         F.when(k % 5 < 3, "succeeded").when(k % 5 == 3, "failed").otherwise("cancelled").alias("status"),
         F.col("value").cast("decimal(18,2)").alias("cost_usd"), (k % 8).alias("iterations"), (k % 4).alias("repairs"), (k % 3).alias("escalations"),
+        F.concat(F.lit("m"), ((F.col("user_id") + k % 3) % 8).cast("string")).alias("model"),
+        F.when(k % 4 == 1, "work").when(k % 4 == 2, "home").when(k % 4 == 3, "study").alias("domain"),
+        F.when(k % 5 == 0, None).when(k % 2 == 0, "low").otherwise("high").alias("complexity"),
+        (F.col("event_id") % 1000).alias("input_tokens"), (10 * k).cast("long").alias("output_tokens"),
+        F.when(k % 3 == 0, "plan").when(k % 3 == 1, "act").otherwise("check").alias("purpose"),
+        F.when(k % 4 == 0, "escalate").when(k % 4 == 1, "ask_human").when(k % 4 == 2, "repair").otherwise("done").alias("gate"),
     )
 
 
+def newest(runs: DataFrame):
+    """The latest start, read first so that a filter on time is a literal that reaches the scan; None without runs."""
+    return runs.agg(F.max("started_at")).first()[0]
+
+
+def last_days(runs: DataFrame, days: int) -> DataFrame:
+    """Runs of the last days before the newest run."""
+    latest = newest(runs)
+    return runs.where("false") if latest is None else runs.where(F.col("started_at") > F.lit(latest - timedelta(days=days)))
+
+
 #: The same relation for DuckDB.
 RUNS_SQL = """
   SELECT event_id AS run_id, ts AS started_at, (user_id % 6)::INT AS agent_id, event_type AS task_type, 'm' || (user_id % 8) AS start_model,
     CASE WHEN k % 5 < 3 THEN 'succeeded' WHEN k % 5 = 3 THEN 'failed' ELSE 'cancelled' END AS status,
-    CAST(value AS DECIMAL(18,2)) AS cost_usd, k % 8 AS iterations, k % 4 AS repairs, k % 3 AS escalations
+    CAST(value AS DECIMAL(18,2)) AS cost_usd, k % 8 AS iterations, k % 4 AS repairs, k % 3 AS escalations, 'm' || ((user_id + k % 3) % 8) AS model,
+    CASE k % 4 WHEN 1 THEN 'work' WHEN 2 THEN 'home' WHEN 3 THEN 'study' END AS domain, CASE WHEN k % 5 = 0 THEN NULL WHEN k % 2 = 0 THEN 'low' ELSE 'high' END AS complexity,
+    event_id % 1000 AS input_tokens, 10 * k AS output_tokens, CASE k % 3 WHEN 0 THEN 'plan' WHEN 1 THEN 'act' ELSE 'check' END AS purpose,
+    CASE k % 4 WHEN 0 THEN 'escalate' WHEN 1 THEN 'ask_human' WHEN 2 THEN 'repair' ELSE 'done' END AS gate
   FROM (SELECT *, CAST(props ->> '$.k' AS INT) AS k FROM events)
 """
 
@@ -52,67 +74,77 @@ def costs(runs: DataFrame) -> DataFrame:
 
 
 def models(runs: DataFrame) -> DataFrame:
-    """Runs solved without escalation, success rate and cost by model."""
+    """Runs that succeeded, all closed runs, success rate and cost by the model that a run ended with."""
     won = F.col("status") == "succeeded"
     return (
         runs.where(F.col("status").isin("succeeded", "failed"))
-        .groupBy("start_model")
-        .agg(
-            F.count("*").alias("runs"), count_if(won & (F.col("escalations") == 0)).alias("solved"), ratio(count_if(won), F.count("*"), 3).alias("success_rate"),
-            F.sum("cost_usd").cast("double").alias("cost"),
-        )
-        .orderBy(F.col("solved").desc_nulls_last(), "start_model")
+        .groupBy("model")
+        .agg(count_if(won).alias("solved"), F.count("*").alias("runs"), ratio(count_if(won), F.count("*"), 3).alias("success_rate"), F.sum("cost_usd").cast("double").alias("cost_usd"))
+        .orderBy(F.desc("solved"), "model")
     )
 
 
 def agents(runs: DataFrame, names: DataFrame) -> DataFrame:
-    """Runs, sum and mean of cost by agent; names is a small table of agent_id and agent, checked by Spark's own threshold."""
+    """Runs, cost and tokens by agent; names is a small table of agent_id and agent, checked by Spark's own threshold."""
     return runs.join(names, "agent_id").groupBy("agent").agg(
-        F.count("*").alias("runs"), F.sum("cost_usd").cast("double").alias("cost"), ratio(F.sum("cost_usd"), F.count("*")).alias("avg_cost")
+        F.count("*").alias("runs"), F.sum("cost_usd").cast("double").alias("cost_usd"), ratio(F.sum("cost_usd"), F.count("cost_usd")).alias("avg_cost_usd"),
+        F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"),
     )
 
 
-def skills(runs: DataFrame) -> DataFrame:
-    """Calls and cost by skill; a run lists its skills as a JSON array, and runs without skills drop out."""
-    listed = runs.withColumn("skill", F.explode(F.from_json("skills", "array<string>")))
-    return listed.groupBy("skill").agg(F.count("*").alias("calls"), F.sum("cost_usd").cast("double").alias("cost"))
+def skills(calls: DataFrame) -> DataFrame:
+    """Calls, tokens and cost by skill; a call lists its skills as a JSON array, and calls without skills drop out."""
+    listed = calls.withColumn("skill", F.explode(F.from_json("skills", "array<string>")))
+    return listed.groupBy("skill").agg(F.count("*").alias("calls"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.sum("cost_usd").cast("double").alias("cost_usd"))
 
 
 def loops(runs: DataFrame) -> DataFrame:
-    """Repairs and iterations by task type; "-" where there is none."""
-    return runs.groupBy(F.coalesce("task_type", F.lit("-")).alias("task_type")).agg(
-        ratio(F.sum("repairs"), F.count("repairs")).alias("avg_repairs"), F.max("repairs").alias("max_repairs"),
-        count_if(F.col("repairs") >= 3).alias("runs_3_repairs"), ratio(F.sum("iterations"), F.count("iterations")).alias("avg_iterations"),
+    """Runs, repairs and iterations by task type."""
+    return runs.groupBy(F.coalesce("task_type", F.lit("(unclassified)")).alias("task_type")).agg(
+        F.count("*").alias("runs"), ratio(F.sum("repairs"), F.count("repairs")).alias("avg_repairs"), F.max("repairs").alias("max_repairs"),
+        count_if(F.col("repairs") >= 3).alias("runs_with_3plus_repairs"), ratio(F.sum("iterations"), F.count("iterations")).alias("avg_iterations"),
     )
 
 
 def routes(runs: DataFrame) -> DataFrame:
-    """Runs and cost by task type, model, status and agent."""
-    keys = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in ("task_type", "start_model", "status", "agent_id")]
-    return runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.sum("cost_usd").cast("double").alias("cost"))
-
-
-def escalations(runs: DataFrame, days: int = 60) -> DataFrame:
-    """Per day of the last `days` before the newest run: runs, escalated runs, their rate, and the models they left."""
-    newest = runs.agg(F.max("started_at").alias("newest"))
-    recent = runs.crossJoin(F.broadcast(newest)).where(F.col("started_at") > F.col("newest") - F.make_interval(days=F.lit(days)))
-    up = F.col("escalations") > 0
-    left = F.sort_array(F.collect_set(F.when(up, F.col("start_model"))))
-    return recent.groupBy(F.to_date("started_at").alias("day")).agg(
-        F.count("*").alias("runs"), count_if(up).alias("escalated"), ratio(count_if(up), F.count("*"), 3).alias("rate"),
-        F.array_join(F.when(F.size(left) > 0, left), ",").alias("from_models"),
+    """Closed runs, success rate and cost per success by domain, task type, complexity and first model."""
+    won = F.col("status") == "succeeded"
+    keys = [F.coalesce(F.col(c), F.lit("-")).alias(c) for c in ("domain", "task_type", "complexity")]
+    return (
+        runs.where(F.col("status").isin("succeeded", "failed"))
+        .groupBy(*keys, "start_model")
+        .agg(F.count("*").alias("runs"), ratio(count_if(won), F.count("*"), 3).alias("success_rate"), ratio(F.sum("cost_usd"), count_if(won), 9).alias("cost_per_success_usd"))
+        .orderBy(F.col("cost_per_success_usd").asc_nulls_last(), *("domain", "task_type", "complexity", "start_model"))
     )
 
 
-def spend(runs: DataFrame) -> DataFrame:
-    """Cost by day, model and task type."""
-    return runs.groupBy(F.date_trunc("day", "started_at").cast("date").alias("day"), "start_model", "task_type").agg(F.sum("cost_usd").cast("double").alias("cost"))
+def escalations(gates: DataFrame, most_days: int = 60) -> DataFrame:
+    """The newest days' gate events (occurred_at, action, from_model, to_model): escalations, questions to people, all,
+    the rate of escalations, and the paths that they took; paths is null on a day without any."""
+    up = F.col("action") == "escalate"
+    paths = F.sort_array(F.collect_set(F.when(up, F.concat("from_model", F.lit("->"), F.coalesce("to_model", F.lit("-"))))))
+    return (
+        gates.groupBy(F.to_date("occurred_at").alias("day"))
+        .agg(
+            count_if(up).alias("escalations"), count_if(F.col("action") == "ask_human").alias("asked_human"), F.count("*").alias("gates"),
+            ratio(count_if(up), F.count("*"), 3).alias("escalation_rate"), F.array_join(F.when(F.size(paths) > 0, paths), ",").alias("paths"),
+        )
+        .orderBy(F.desc("day")).limit(most_days)
+    )
+
+
+def spend(calls: DataFrame, most: int = 200) -> DataFrame:
+    """Cost, tokens and calls by day, model and purpose; the report's most rows, newest and dearest first."""
+    return (
+        calls.groupBy(F.to_date("started_at").alias("day"), F.col("model").alias("model_alias"), "purpose")
+        .agg(F.sum("cost_usd").cast("double").alias("usd"), F.sum("input_tokens").alias("in_tok"), F.sum("output_tokens").alias("out_tok"), F.count("*").alias("calls"))
+        .orderBy(F.desc("day"), F.desc("usd"), "model_alias", "purpose").limit(most)
+    )
 
 
 def learned_stats(runs: DataFrame, days: int = 90) -> DataFrame:
     """What each model has shown in the last `days`: runs, solved without escalation, cost per success (0 without one)."""
-    newest = runs.agg(F.max("started_at").alias("newest"))
-    recent = runs.crossJoin(F.broadcast(newest)).where(F.col("started_at") > F.col("newest") - F.make_interval(days=F.lit(days)))
+    recent = last_days(runs, days)
     won = F.col("status") == "succeeded"
     return recent.where(F.col("status").isin("succeeded", "failed")).groupBy("task_type", "start_model").agg(
         F.count("*").alias("runs"), count_if(won & (F.col("escalations") == 0)).alias("solved"),
@@ -120,12 +152,20 @@ def learned_stats(runs: DataFrame, days: int = 90) -> DataFrame:
     )
 
 
-def best_models(stats: DataFrame, least_runs: int = 5, least_rate: float = 0.3) -> DataFrame:
-    """Per task type the cheapest model that is proven; ties by success, then by name."""
+def best_models(stats: DataFrame, policy: DataFrame, known: list[str], least_runs: int = 5, least_rate: float = 0.3) -> DataFrame:
+    """Per task type the cheapest proven model, where that changes what policy (task_type, policy_model) says.
+
+    Proven: known, least_runs runs, least_rate of them solved, one at least. Ties go to the first by name. Nothing is
+    said where the best is the policy's model, or where that one is proven and no dearer.
+    """
     rate = F.col("solved") / F.col("runs")
-    order = Window.partitionBy("task_type").orderBy("cost_per_success", rate.desc(), "start_model")
-    proven = stats.where((F.col("runs") >= least_runs) & (rate >= least_rate))
-    return proven.withColumn("place", F.row_number().over(order)).where("place = 1").select("task_type", "start_model", "cost_per_success")
+    proven = (F.col("runs") >= least_runs) & (rate >= least_rate) & (F.col("solved") > 0)
+    rows = F.struct("cost_per_success", F.col("start_model").alias("model"), "runs")
+    best = stats.where(proven & F.col("start_model").isin(known)).groupBy("task_type").agg(F.min(rows).alias("best"))
+    own = stats.where(proven).select("task_type", F.col("start_model").alias("policy_model"), F.col("cost_per_success").alias("policy_cost"))
+    found = best.join(policy, "task_type").join(own, ["task_type", "policy_model"], "left")
+    moves = (F.col("best.model") != F.col("policy_model")) & (F.col("policy_cost").isNull() | (F.col("policy_cost") > F.col("best.cost_per_success")))
+    return found.where(moves).select("task_type", "policy_model", "best.model", "best.cost_per_success", "best.runs")
 
 
 def local_day(ts: Column, zone: str, unit: str = "day") -> Column:
@@ -139,8 +179,8 @@ def budget_states(runs: DataFrame, limits: DataFrame, zone: str = "America/Sao_P
     Spend is summed per local day first, so what is joined by `>=` to the limits is a row for each day.
     """
     days = runs.groupBy(local_day(F.col("started_at"), zone).alias("day")).agg(F.sum("cost_usd").alias("cost"))
-    newest = runs.agg(F.max("started_at").alias("now"))
-    since = limits.crossJoin(F.broadcast(newest)).withColumn("since", F.when(F.col("period") == "day", local_day(F.col("now"), zone)).otherwise(local_day(F.col("now"), zone, "month")))
+    now = F.lit(newest(runs))
+    since = limits.withColumn("since", F.when(F.col("period") == "day", local_day(now, zone)).otherwise(local_day(now, zone, "month")))
     spent = since.join(days, F.col("day") >= F.col("since"), "left").groupBy("period", "limit_usd").agg(F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("spent"))
     used = F.try_divide(F.col("spent"), F.col("limit_usd"))
     state = F.when(F.col("limit_usd") < 0, "unlimited").when(used.isNull() | (used >= 1), "exhausted").when(used >= warn, "warn").otherwise("ok")

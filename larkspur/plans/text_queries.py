@@ -32,7 +32,8 @@ def lang_rollup(spark, sf_dir):
 
 
 @query("route_normalize", """
-SELECT regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '[0-9]+', '{id}', 'g') AS route, count(*) AS pages FROM pages GROUP BY 1""")
+SELECT array_to_string(list_transform(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '{id}' ELSE x END), '/') AS route, count(*) AS pages
+FROM pages GROUP BY 1""")
 def route_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(texts.route(F.col("url")).alias("route")).agg(F.count("*").alias("pages"))
 
