@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +42,18 @@ def next_models(rows: DataFrame, ladder: DataFrame) -> DataFrame:
     return found.withColumn("next", F.when(F.col("on"), F.col("up")).otherwise(first)).drop("up", "on", "all")
 
 
-def cascade(questions: DataFrame, backends: list[tuple[str, Callable[[DataFrame], DataFrame]]], least: float, key: str = "question") -> DataFrame:
+def cascade(questions: DataFrame, backends: list[tuple[str, Callable[[DataFrame], DataFrame]]], least: float, key: str = "question", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """key, answer, confidence, backend, needs_human: each backend sees only what is still open, the cheapest first.
 
-    A backend maps questions to (key, answer, confidence, refused). What nobody settles gets the best answer seen.
+    A backend maps questions to (key, answer, confidence, refused). What nobody settles gets the best answer seen. Each
+    level's answers are kept on disk, or by `keep(answers, backend)` as a written table, which a lost executor can't
+    make the backend answer again.
     """
     left, answers = questions, None
     for place, (name, decide) in enumerate(backends):
         got = decide(left).select(key, "answer", "confidence", "refused", F.lit(name).alias("backend"), F.lit(-place).alias("_place"))
+        if place < len(backends) - 1:  # asked once, though the answers are read twice
+            got = got.persist(StorageLevel.DISK_ONLY) if not keep else keep(got, name)
         settled = got.where(~F.col("refused") & (F.col("confidence") >= least))
         answers = got if answers is None else answers.unionByName(got)
         left = left.join(settled.select(key), key, "left_anti")

@@ -204,8 +204,27 @@ def session_runs(runs: DataFrame) -> DataFrame:
 
 
 def failure_streaks(runs: DataFrame) -> DataFrame:
-    """The longest run of failures per agent, in order of time; anything else resets it."""
-    order = Window.partitionBy("agent_id").orderBy("started_at", "run_id")
-    block = F.sum((F.col("status") != "failed").cast("long")).over(order)
-    streaks = runs.withColumn("block", block).where("status = 'failed'").groupBy("agent_id", "block").agg(F.count("*").alias("n"))
-    return streaks.groupBy("agent_id").agg(F.max("n").alias("longest"), F.count("*").alias("streaks"))
+    """The longest run of failures per agent, in order of time, and how many there are; anything else resets it.
+
+    Windows are cut by agent and day; what touches a day's edge is put together over the agent's days, a row for each.
+    """
+    day = [F.col("agent_id"), F.to_date("started_at").alias("day")]
+    rows = runs.select(*day, "started_at", "run_id", (F.col("status") == "failed").alias("failed"))
+    own = Window.partitionBy("agent_id", "day")
+    good = (~F.col("failed")).cast("long")
+    rows = rows.withColumns({"block": F.sum(good).over(own.orderBy("started_at", "run_id")), "oks": F.sum(good).over(own)})
+    streaks = rows.groupBy("agent_id", "day", "oks", "block").agg(F.count_if("failed").alias("n"))
+    head, tail = F.col("block") == 0, F.col("block") == F.col("oks")
+    n = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
+    inside = ~head & ~tail & (F.col("n") > 0)
+    days = streaks.groupBy("agent_id", "day", "oks").agg(
+        n(head & tail).alias("whole"), n(head & ~tail).alias("head"), n(tail & ~head).alias("tail"), F.max(F.when(inside, F.col("n"))).alias("longest"), F.count_if(inside).alias("streaks")
+    )
+    before = F.sum((F.col("oks") > 0).cast("long")).over(Window.partitionBy("agent_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = days.withColumn("chain", F.coalesce(before, F.lit(0)))
+    part = lambda chain, n: F.struct(chain.alias("chain"), n.alias("n"))
+    edges = days.select("agent_id", F.explode(F.array(part(F.col("chain"), F.col("whole") + F.col("head")), part(F.col("chain") + 1, F.col("tail")))).alias("e"))
+    chains = edges.groupBy("agent_id", "e.chain").agg(F.sum("e.n").alias("n")).where("n > 0").groupBy("agent_id").agg(F.max("n").alias("longest"), F.count("*").alias("streaks"))
+    inner = days.groupBy("agent_id").agg(F.max("longest").alias("longest"), F.sum("streaks").alias("streaks"))
+    both = inner.unionByName(chains).groupBy("agent_id").agg(F.max("longest").alias("longest"), F.sum("streaks").alias("streaks"))
+    return both.where("streaks > 0")

@@ -172,6 +172,10 @@ def test_delimited(spark, tmp_path):
         df = delimited.read(spark, str(tmp_path / name))
         assert df.columns == ["_row", "Data", "Descrição", "Valor"], name
         assert [tuple(r)[1:] for r in df.orderBy("_row").collect()] == [("01/02/2025", "Café", "1.234,56"), ("02/02/2025", "a;b", "-10,00")], name
+    (tmp_path / "again.csv").write_text('# note\nname,text\nname,text\nx,"two\nlines, here"\n\n# note,\ny,\n')
+    rows = delimited.read(spark, str(tmp_path / "again.csv")).orderBy("_row").collect()
+    assert [tuple(r) for r in rows] == [(2, "name", "text"), (3, "x", "two\nlines, here"), (4, "# note", None), (5, "y", None)]
+    assert delimited.sniffed("a;b,c\n1;2\n3;4\n") == (";", 2) and delimited.sniffed("one\ntwo\n") == (",", 1)
     assert delimited.unique_names(["a", "", "a", "a"]) == ["a", "col_2", "a_2", "a_3"]
     (tmp_path / "t.json").write_text('{"transactions": [{"a": 1}, {"a": 2}]}')
     (tmp_path / "l.json").write_text('{"a": 1}\n{"a": 2}\n')
