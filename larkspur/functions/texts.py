@@ -96,5 +96,5 @@ def is_uri(text: Column) -> Column:
 
 def listed(fields: list[Column], most: int = 10) -> Column:
     """The first of several arrays of texts that isn't null or empty: trimmed, without blanks and repeats, `most` at most."""
-    clean = [F.array_distinct(F.filter(F.transform(f, F.trim), lambda x: x != "")) for f in fields]
+    clean = [F.array_distinct(F.filter(F.transform(f, lambda x: F.trim(x)), lambda x: x != "")) for f in fields]
     return F.slice(F.coalesce(*[F.when(F.size(c) > 0, c) for c in clean], F.array().cast("array<string>")), 1, most)

@@ -104,3 +104,23 @@ def project_upserts(projects: DataFrame, rows: DataFrame) -> DataFrame:
     action = F.when(F.col("old").isNull(), "inserted").when(F.col("n").isNull(), "kept").when(F.col("t") != F.col("n.tenant"), "conflict").otherwise("updated")
     name = F.when(action == "inserted", F.col("n.name")).when(action == "updated", F.coalesce("n.name", "m")).otherwise(F.col("m"))
     return both.select("slug", F.coalesce("t", "n.tenant").alias("tenant"), name.alias("name"), action.alias("action"))
+
+
+def maintained(memories: DataFrame, now: Column, review_after_days: int = 90) -> DataFrame:
+    """memories (status, expires_at, reviewed_at, ...) after maintenance, with `change`: expired ones are deprecated, active
+    ones that nobody has looked at for long are due for review; the rest is as it was (null)."""
+    active = F.col("status") == "active"
+    change = F.when(active & (F.col("expires_at") <= now), "deprecated").when(active & (F.date_add(F.to_date("reviewed_at"), review_after_days) <= F.to_date(now)), "review")
+    return memories.withColumn("change", change).withColumn("status", F.coalesce("change", "status"))
+
+
+def without_orphans(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks whose document is there and active; chunks without a document id have none."""
+    return chunks.join(documents.where("status = 'active'").select("document_id"), "document_id", "left_semi")
+
+
+def kept_jobs(jobs: DataFrame, most: int) -> DataFrame:
+    """Jobs (id, status, created) that stay: all that aren't finished, and the `most` last finished ones."""
+    finished = F.col("status").isin("done", "failed")
+    last = jobs.where(finished).orderBy(F.desc("created"), F.desc("id")).limit(most)
+    return jobs.where(~finished).unionByName(last)

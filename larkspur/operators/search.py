@@ -107,9 +107,10 @@ def hybrid(docs: DataFrame, query: str, vector_places: DataFrame | None, k: int,
     lists = text.select(F.lit(1).alias("list"), "place", "id")
     if vector_places is not None:
         lists = lists.unionByName(vector_places.select(F.lit(0).alias("list"), "place", "id"))
-    best = fused(lists).limit(k)
+    first = lists.groupBy("id").agg(F.min(F.struct("list", "place")).alias("_first"))
+    best = fused(lists).limit(k).join(first, "id")
     out = docs.select("id", *details, headline(F.col("text"), query).alias("snippet")).join(F.broadcast(best), "id")  # k rows
     out = out.join(text.select("id", F.col("place").cast("long").alias("text_place")), "id", "left")
     if vector_places is not None:
         out = out.join(vector_places.select("id", F.col("place").cast("long").alias("vector_place")), "id", "left")
-    return out.orderBy(F.desc("score"), "id")
+    return out.orderBy(F.desc("score"), "_first").drop("_first")
