@@ -109,8 +109,6 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, key: str
                 yield pa.RecordBatch.from_pydict({c: [v] for c, v in row.items()}, schema=schema)
                 n += 1
                 release()
-        Remembered.of(encoder).known.clear()
-        encoder.known.clear()
 
     schema = pa.schema([
         ("shard", pa.int32()), ("frame", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())),
