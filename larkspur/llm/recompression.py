@@ -41,9 +41,9 @@ WINDOW = 35
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 6 << 20
 #: Rounds after which symbols are compared, and the fewest words of a low symbol that is sent. A symbol of r rounds has
-#: (4/3)^r words on average and depends on some eight times as many, so windows of 35 words hold symbols of 4 and 5 rounds; a window
-#: without one, as in a text that repeats itself all along, belongs to its first word.
-LOW, HIGH, LOW_WORDS = 3, (5, 4), 3
+#: (4/3)^r words on average and depends on some eight times as many, so windows of 35 words hold symbols of 3 to 5 rounds;
+#: a window without one, as in a text that repeats itself all along, belongs to its first word.
+LOW, HIGH, LOW_WORDS = 3, (5, 4, 3), 3
 #: Bytes of text for one low name, about.
 NAME_EVERY = 20
 #: A window: its name, its number in the block, and a second hash of its words.
@@ -300,10 +300,13 @@ def repeats(docs: DataFrame, finish, schema: str, key: str = "doc_id", text: str
 
 
 def _high_names_twice(symbols: Symbols, window: int) -> np.ndarray:
-    """High names that a block itself has twice."""
-    found = [cut(names[high - low <= window], 6) for r, (names, _, _, low, high) in symbols.parsed(HIGH).items() if r]
-    names, times = np.unique(np.concatenate(found), return_counts=True)
-    return names[times > 1]
+    """High names that a block itself has twice, in one round: a symbol that stays alone keeps its name in later ones."""
+    out = [np.zeros(0, dtype=np.uint64)]
+    for r, (names, _, _, low, high) in symbols.parsed(HIGH).items():
+        if r:
+            own, times = np.unique(cut(names[high - low <= window], 6), return_counts=True)
+            out.append(own[times > 1])
+    return np.unique(np.concatenate(out))
 
 
 def _kept(block: Block, removed: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
