@@ -69,15 +69,28 @@ def chunk_docs(spark, sf_dir):
     return chunking.chunked(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "chunk_index", "heading", "n_tokens", F.sha2("content", 256).alias("content_sha256"))
 
 
-@query("context_fill", """
-SELECT source, doc_id, n_tokens FROM (SELECT source, doc_id, ceil(length(text) / 4.0)::BIGINT + 4 AS n_tokens FROM documents)
-QUALIFY sum(n_tokens) OVER (PARTITION BY source ORDER BY n_tokens, doc_id ROWS UNBOUNDED PRECEDING) <= 5000""")
-def context_fill(spark, sf_dir):
-    # Shortest first, so what fits is a prefix; each item has 4 tokens of overhead.
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", (texts.token_estimate(F.col("text")) + 4).alias("n_tokens"))
+FILL = """
+SELECT source, doc_id, n_tokens FROM (SELECT source, doc_id, ceil(length(text) / 4.0)::BIGINT + {overhead} AS n_tokens FROM documents)
+QUALIFY sum(n_tokens) OVER (PARTITION BY source ORDER BY n_tokens, doc_id ROWS UNBOUNDED PRECEDING) <= 5000"""
+
+
+def _filled(spark, sf_dir, overhead):
+    # Shortest first, so what fits is a prefix.
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", (texts.token_estimate(F.col("text")) + overhead).alias("n_tokens"))
     return chunking.fill_budget(rows, "source", ["n_tokens", "doc_id"], "n_tokens", 5000)
 
 
+@query("context_fill", FILL.format(overhead=0))
+def context_fill(spark, sf_dir):
+    return _filled(spark, sf_dir, 0)
+
+
+@query("context_budget", FILL.format(overhead=4))
+def context_budget(spark, sf_dir):
+    """As a compiled context is filled: every item costs 4 tokens more, for the list that it stands in."""
+    return _filled(spark, sf_dir, 4)
+
+
 SENTENCE, BLANK = r"(?<=[.!?])[ \t\r\n]+", r"[ \t\r\n]+"
 
 
