@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, chat, decontaminate, html_text, quality, recompression, simhash, suffix_array, token_files, warc
+from larkspur.llm import bpe, chat, decontaminate, html_text, periodic, quality, recompression, simhash, suffix_array, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files, op2_substring_dedup, op3_chat_formatting, op4_bpe_encoding, op5_html_extraction, op6_warc_archive,
         op7_benchmark_decontamination, op8_suffix_array_dedup, op9_simhash_dedup, op10_quality_rules,
+        op11_periodic_runs,
     )
 }
