@@ -98,4 +98,27 @@ SELECT page_id, n AS payload_bytes,
 FROM b
 """
 
-SQL = {"op6_warc_archive": OP6, "op8_suffix_array_dedup": OP8, "op2_substring_dedup": OP2, "op3_chat_formatting": OP3, "op7_benchmark_decontamination": OP7, "op10_quality_rules": OP10}
+OP13_VECTORS = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('2:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT 40))"""
+
+# A round: the nearest centroid of each vector, then the floor of the mean of each centroid's vectors.
+OP13_ROUND = """,
+a{k} AS MATERIALIZED (SELECT r, arg_min({{'c': c, 'd': d}}, {{'d': d, 'c': c}}) AS x FROM
+  (SELECT r, c, list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m) AS d FROM v, c{k}) GROUP BY r)"""
+OP13_MOVE = """,
+c{next} AS MATERIALIZED (SELECT c, coalesce(s.m, c{k}.m) AS m FROM c{k} LEFT JOIN
+  (SELECT c, list(q ORDER BY i) AS m FROM (SELECT x.c AS c, i, floor(sum(v[i]::DECIMAL(18, 0)) / count(*)) AS q
+    FROM v JOIN a{k} USING (r), (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY 1, 2) GROUP BY c) s USING (c))"""
+OP13 = (
+    OP13_VECTORS
+    + "".join(OP13_ROUND.format(k=k) + (OP13_MOVE.format(k=k, next=k + 1) if k < 5 else "") for k in range(6))
+    + """
+SELECT vec_id, x.c::INT AS cluster, x.d::BIGINT AS distance, (sum(x.d) OVER (PARTITION BY x.c))::BIGINT AS cluster_inertia, (sum(x.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(m, lambda y: y::BIGINT), ',')) AS centroid_sha256
+FROM v JOIN a5 USING (r) JOIN c5 ON c5.c = x.c
+"""
+)
+
+SQL = {"op13_centroid_clustering": OP13, "op6_warc_archive": OP6, "op8_suffix_array_dedup": OP8, "op2_substring_dedup": OP2, "op3_chat_formatting": OP3, "op7_benchmark_decontamination": OP7, "op10_quality_rules": OP10}

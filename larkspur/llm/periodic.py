@@ -247,13 +247,15 @@ def planted(key: Column, text: Column) -> Column:
 
     h = crc32(decimal key), g = h div 10; where h is divisible by 10 and there are n > 0 words, each word i >= a becomes
     word a + (i - a) mod p, with a = g mod n and p = 1 + (n - a) div (3 + g mod 8). Other texts stay as they are."""
-    words = words_of(text)
-    h, n = F.crc32(key.cast("string")), F.size(words)
+    h = F.crc32(key.cast("string"))
     g = F.floor(h / F.lit(10))
-    a = (g % n).cast("int")
-    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % F.lit(8)))).cast("int")
-    edited = F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p))), " ")
-    return F.when((h % 10 == 0) & (n > 0), edited).otherwise(text)
+    # One-element arrays bind what a lambda uses again and again; it would be computed for every word otherwise.
+    bound = F.transform(F.array(words_of(text)), lambda w: F.struct(w.alias("w"), (g % F.size(w)).cast("int").alias("a")))
+    period = lambda s: (F.lit(1) + F.floor((F.size(s["w"]) - s["a"]) / (F.lit(3) + g % F.lit(8)))).cast("int")
+    bound = F.transform(bound, lambda s: F.struct(s["w"].alias("w"), s["a"].alias("a"), period(s).alias("p")))
+    word = lambda s: lambda w, i: F.when(i < s["a"], w).otherwise(F.get(s["w"], s["a"] + (i - s["a"]) % s["p"]))
+    edited = F.get(F.transform(bound, lambda s: F.array_join(F.transform(s["w"], word(s)), " ")), 0)
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), edited).otherwise(text)
 
 
 def digests(docs: DataFrame) -> DataFrame:
