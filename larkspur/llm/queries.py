@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import bpe, chat, clustering, decontaminate, html_text, periodic, quality, recompression, simhash, suffix_array, token_files, warc
+from larkspur.llm import bpe, chat, clustering, decontaminate, fingerprints, html_text, periodic, quality, recompression, simhash, suffix_array, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(_table(spark, sf_dir, "documents"))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.digests(_table(spark, sf_dir, "embeddings"))
 
@@ -66,6 +70,6 @@ QUERIES = {
     for f in (
         op1_token_files, op2_substring_dedup, op3_chat_formatting, op4_bpe_encoding, op5_html_extraction, op6_warc_archive,
         op7_benchmark_decontamination, op8_suffix_array_dedup, op9_simhash_dedup, op10_quality_rules,
-        op11_periodic_runs, op13_centroid_clustering,
+        op11_periodic_runs, op12_document_fingerprints, op13_centroid_clustering,
     )
 }
