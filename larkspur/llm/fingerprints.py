@@ -88,14 +88,12 @@ def likeness(a: Column, b: Column) -> Column:
 def choices(mask: int, radius: int, blocks: int) -> list[int]:
     """Masks of the tables that follow a mask: first those of all choices of blocks, then one part of what is left."""
     if not mask:
-        return [sum(c) for c in itertools.combinations(parts(range(BITS), blocks), blocks - radius)]
-    return [mask | part for part in parts([b for b in range(BITS) if not mask >> b & 1], radius + 1)]
-
-
-def parts(bits, count: int) -> list[int]:
-    """Masks of bits, cut into count parts of about equal size."""
-    edges = [len(bits) * i // count for i in range(count + 1)]
-    return [sum(1 << b for b in bits[i:j]) for i, j in itertools.pairwise(edges)]
+        edges = [BITS * i // blocks for i in range(blocks + 1)]
+        own = [(1 << b) - (1 << a) for a, b in itertools.pairwise(edges)]
+        return [sum(c) for c in itertools.combinations(own, blocks - radius)]
+    left = [b for b in range(BITS) if not mask >> b & 1]
+    # Every so many bits: where some bits in a row are all that tells a dense group apart, each part has some of them.
+    return [mask | sum(1 << b for b in left[i :: radius + 1]) for i in range(radius + 1)]
 
 
 def salt(*masks: int) -> np.uint64:
