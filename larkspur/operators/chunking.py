@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from larkspur.operators.tables import held
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 MAX_TOKENS, OVERLAP, LEAST = 500, 50, 100
@@ -109,15 +109,6 @@ def filled(sizes: Column, budget: int) -> Column:
     return F.aggregate(sizes, state, step, lambda s: s["taken"])
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder that driver and executors share (spark.checkpoint.dir, a new local one where it is unset)."""
-    spark = df.sparkSession
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="larkspur-")
-    path = f"{there.rstrip('/')}/fill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _taken(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The rows of blocks (key, _lk_b) that the block's budget _lk_left takes, in order; one batch is held at a time."""
 

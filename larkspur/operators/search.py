@@ -16,6 +16,36 @@ WORD = "[a-z0-9ß]+"
 TENANTS = ("personal", "shared", "work")
 
 
+# Portuguese endings and what is left of a word, applied one after the other: plurals, adverbs, verbs, the final vowel.
+# The rules follow public descriptions of light stemming; words are in lower case and without marks by then.
+ENDINGS = [
+    (r"\b([a-z]{2,}?)oes\b", "ao"), (r"\b([a-z]+?)(?:aes|aos)\b", "ao"), (r"\b([a-z]{2,}?)ais\b", "al"), (r"\b([a-z]{2,}?)eis\b", "el"), (r"\b([a-z]{2,}?)ois\b", "ol"), (r"\b([a-z]{3,}?)is\b", "il"),
+    (r"\b([a-z]{2,}?)ns\b", "m"), (r"\b([a-z]{2,}?[rzl])es\b", ""), (r"\b([a-z]{2,}?[a-rt-z])s\b", ""), (r"\b([a-z]{3,}?)a?mente\b", ""),
+    (r"\b([a-z]{4,}?)(?:ando|endo|indo|ado|ido|ada|ida|aram|eram|iram|avam|ava|iam|ia|ou|eu|iu|ar|er|ir|am|em)\b", ""), (r"\b([a-z]{3,}?)[aeo]\b", ""),
+]
+#: Letters at a word's start that no ending touches.
+FIRM = 2
+
+
+def stem_of(word: str) -> str:
+    """What is left of a folded word."""
+    for pattern, ending in ENDINGS:
+        word = re.sub(pattern, r"\1" + ending, word)
+    return word
+
+
+def stemmed(words: Column) -> Column:
+    """A folded text with each word's stem in its place."""
+    out = F.replace(words, F.lit("ß"), F.lit("ss"))
+    for pattern, ending in ENDINGS:
+        out = F.regexp_replace(out, pattern, "$1" + ending)
+    return out
+
+
+def stems(alternatives: list[list[tuple[str, bool]]]) -> list[list[tuple[str, bool]]]:
+    return [[(" ".join(map(stem_of, w.replace("ß", "ss").split())), yes) for w, yes in own] for own in alternatives]
+
+
 def parsed(query: str) -> list[list[tuple[str, bool]]]:
     """Alternatives of (words, wanted): all of one alternative must hold; words of a phrase are joined by spaces."""
     out: list[list[tuple[str, bool]]] = [[]]
@@ -58,6 +88,67 @@ def websearch(docs: DataFrame, query: str, k: int = 10) -> DataFrame:
     return found.orderBy(F.desc("score"), "id").limit(k)
 
 
+def cover_rank(words: Column, alternatives: list[list[tuple[str, bool]]]) -> Column:
+    """The cover density of a folded text: the sum, over its minimal covers, of 0.1 / (1 + words between that aren't
+    asked for).
+
+    A cover is a stretch that has all wanted words and phrases of one alternative and holds no shorter one. Words that
+    are asked for are walked in order with the place of the last occurrence of each item; the latest start of a stretch
+    that is complete moves on exactly where a new minimal cover ends."""
+    items = [[x for x, yes in own if yes] for own in alternatives]
+    items = [own for own in items if own]
+    if not items:
+        return F.lit(0.0)
+    known = list(dict.fromkeys(x for own in items for x in own))
+    asked = F.array(*[F.lit(w) for w in dict.fromkeys(w for x in known for w in x.split())])
+    of = lambda x: [F.array_position(asked, F.lit(w)) for w in x.split()]
+    places = F.filter(F.transform(F.split(F.trim(words), " "), lambda w, i: F.struct(i.alias("at"), F.array_position(asked, w).alias("w"))), lambda x: x["w"] > 0)
+
+    def starts(hits: Column) -> Column:
+        """For each place, where in the list the items start that end there; -1 for others."""
+
+        def start(x: str, h: Column) -> Column:
+            words, own = of(x), lambda j: F.get(hits, h - j)
+            fits = reduce(lambda a, b: a & b, [(own(j)["w"] == words[-1 - j]) & (own(j)["at"] == own(0)["at"] - j) for j in range(len(words))])
+            return F.when(F.coalesce(fits, F.lit(False)), h - (len(words) - 1)).otherwise(-1)
+
+        return F.transform(hits, lambda x, h: F.struct(h.alias("h"), F.array(*[start(w, h) for w in known]).alias("starts")))
+
+    def density(hits: Column) -> Column:
+        many = lambda f, columns: columns[0] if len(columns) == 1 else f(*columns)
+        begin = lambda last: many(F.greatest, [many(F.least, [F.get(last, known.index(x)) for x in own]) for own in items])
+        zero = F.struct(F.array_repeat(F.lit(-1), len(known)).alias("last"), F.lit(-1).alias("left"), F.lit(0.0).alias("sum"))
+
+        def step(a: Column, x: Column) -> Column:
+            moved = F.zip_with(a["last"], x["starts"], lambda p, q: F.greatest(p, q))
+            # A one-element array binds the new start, which is used four times.
+            return F.get(F.transform(F.array(F.struct(moved.alias("last"), begin(moved).alias("left"))), lambda n: F.struct(
+                n["last"].alias("last"), F.greatest(a["left"], n["left"]).alias("left"),
+                (a["sum"] + F.when(n["left"] > a["left"], 0.1 / (1 + F.get(hits, x["h"])["at"] - F.get(hits, n["left"])["at"] - x["h"] + n["left"])).otherwise(0.0)).alias("sum"),
+            )), 0)
+
+        return F.aggregate(starts(hits), zero, step, lambda a: a["sum"])
+
+    return F.get(F.transform(F.array(places), density), 0)
+
+
+def ranked(docs: DataFrame, query: str, k: int = 10, stemming: bool = False) -> DataFrame:
+    """id and score (cover density) of the k documents (id, text) that a query finds best, ties by id; with stemming,
+    words meet by their Portuguese stems.
+
+    Rows are judged where they stand and only each task's best move. Texts without the firm first letters of any wanted
+    alternative are left out before anything is stemmed."""
+    alternatives = parsed(query)
+    rows = docs.select("id", folded(F.col("text")).alias("words"))
+    if stemming:
+        firm = [[(f" {w[:FIRM]}", yes) for x, yes in own if yes for w in x.replace("ß", "ss").split()] for own in alternatives]
+        starts = lambda own: reduce(lambda a, b: a & b, [F.contains(F.replace("words", F.lit("ß"), F.lit("ss")), F.lit(w)) for w, _ in own], F.lit(True))
+        rows = rows.where(reduce(lambda a, b: a | b, [starts(own) for own in firm], F.lit(False))).withColumn("words", stemmed(F.col("words")))
+        alternatives = stems(alternatives)
+    found = rows.where(matches(F.col("words"), alternatives)).select("id", F.round(cover_rank(F.col("words"), alternatives), 6).alias("score"))
+    return found.orderBy(F.desc("score"), "id").limit(k)
+
+
 def headline(text: Column, query: str, before: int = 5, size: int = 15, most: int = 2) -> Column:
     """Up to `most` fragments of a text, `size` words each, around the first words that the query wants, which stand
     between « and »; fragments are joined by " … ". A text without any is its first words."""

@@ -90,6 +90,35 @@ def websearch(spark, sf_dir):
     return search.websearch(_documents(spark, sf_dir), TYPED, 25)
 
 
+# The minimal covers as rows: where each wanted item last started, and where the latest complete stretch starts.
+COVERS = """h AS (SELECT id, pos, x, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM
+  (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM (SELECT id, string_split(trim({words}), ' ') AS l FROM {found})) WHERE x IN ('{of}', '{the}', '{that}', '{shin}')),
+s AS (SELECT *, CASE WHEN x = '{the}' AND lag(x) OVER o = '{of}' AND lag(pos) OVER o = pos - 1 THEN k - 1 END AS phrase, CASE WHEN x = '{that}' THEN k END AS word, CASE WHEN x = '{shin}' THEN k END AS other FROM h
+  WINDOW o AS (PARTITION BY id ORDER BY pos)),
+m AS (SELECT *, max(phrase) OVER o AS a, max(word) OVER o AS b, max(other) OVER o AS c FROM s WINDOW o AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT *, greatest(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END, c) AS start FROM m),
+n AS (SELECT *, coalesce(max(start) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+r AS (SELECT n.id, round(sum(0.1::DOUBLE / (1 + n.pos - h.pos - n.k + n.start)), 6) AS score FROM n JOIN h ON h.id = n.id AND h.k = n.start WHERE n.start > n.before GROUP BY 1)
+SELECT id, score FROM r ORDER BY score DESC, id LIMIT 25"""
+
+
+@query("cover_search", f"WITH {FOUND}, " + COVERS.format(words="w", found="f", of="of", the="the", that="that", shin="shin"))
+def cover_search(spark, sf_dir):
+    return search.ranked(_documents(spark, sf_dir), TYPED, 25)
+
+
+STEM_SQL = "replace(w, 'ß', 'ss')"
+for _pattern, _ending in search.ENDINGS:
+    STEM_SQL = f"regexp_replace({STEM_SQL}, '{_pattern}', '\\1{_ending}', 'g')"
+STEMMED = f"""w AS (SELECT doc_id AS id, {FOLDED} AS w FROM documents), z AS MATERIALIZED (SELECT id, {STEM_SQL} AS w FROM w),
+f AS (SELECT * FROM z WHERE (contains(w, ' of the ') AND contains(w, ' that ') AND NOT contains(w, ' moron ')) OR contains(w, ' shin '))"""
+
+
+@query("stemmed_search", f"WITH {STEMMED}, " + COVERS.format(words="w", found="f", of="of", the="the", that="that", shin="shin"))
+def stemmed_search(spark, sf_dir):
+    return search.ranked(_documents(spark, sf_dir), TYPED, 25, stemming=True)
+
+
 @query("tenant_search", f"""WITH {FOUND.replace("FROM documents)", "FROM documents WHERE source IN ('s1', 'shared', (SELECT min(source) FROM documents)) AND doc_id % 6 > 0 AND (lang = 'en' OR doc_id % 4 = 0))")}
 SELECT id, score::BIGINT AS score FROM t ORDER BY score DESC, id LIMIT 25""")
 def tenant_search(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import retrieval
+from larkspur.operators import ann, retrieval
 from larkspur.plans.registry import query, table
 
 TERMS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9à-öø-ÿ]+'), lambda x: x <> '')"
@@ -30,6 +30,13 @@ def vec_topk(spark, sf_dir):
     return best.select("query", "id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
 
 
+@query("vec_index")
+def vec_index(spark, sf_dir):
+    index = ann.indexed(_vectors(spark, sf_dir))
+    best = ann.probed(index, _queries(spark, sf_dir), 20, probes=max(16, 2 * len(index.centroids) // 5))
+    return best.select("query", "id", F.round("similarity", 6).alias("similarity"), F.col("place").cast("long").alias("place"))
+
+
 @query("vec_floor", f"WITH {VECTOR} SELECT query, count(*) AS n FROM vk WHERE similarity >= 0.3 GROUP BY query")
 def vec_floor(spark, sf_dir):
     return retrieval.nearest(_vectors(spark, sf_dir), _queries(spark, sf_dir), 20, 0.3).groupBy("query").agg(F.count("*").alias("n"))
