@@ -112,13 +112,15 @@ def tool_verdict(call: dict[str, Column], agent: dict[str, Column], session_tena
     for pattern in DESTRUCTIVE:
         destructive = destructive | command.rlike(pattern)
     known = holds(agent["known"])
-    outside = holds(~(F.array_contains(agent["tools"], category) | F.array_contains(agent["tools"], "*")))
+    # What isn't surely allowed is denied: null lists and lists with nulls allow no more than they name.
+    listed = lambda values, x: holds(F.array_contains(values, x))
+    outside = ~(listed(agent["tools"], category) | listed(agent["tools"], "*"))
     return (
         F.when(holds(F.exists(paths, lambda p: F.replace(p, F.lit("\\"), F.lit("/")).rlike(SECRET_PATH))), no("secret path"))
         .when(command.rlike(SECRET_IN_COMMAND), no("secret in command"))
         .when(destructive, no("destructive"))
         .when(known & category.isNotNull() & outside, no("category"))
-        .when(known & holds((tenant != "shared") & (F.size(agent["tenants"]) > 0) & ~F.array_contains(agent["tenants"], tenant)), no("tenant"))
+        .when(known & holds((tenant != "shared") & (F.size(agent["tenants"]) > 0) & ~listed(agent["tenants"], tenant)), no("tenant"))
         .when(known & holds(session_tenant.isNotNull() & (session_tenant != "") & (tenant != session_tenant) & (tenant != "shared")), no("session"))
         .when(known & holds(F.array_contains(agent["deny_domains"], call["domain"])), no("domain"))
         .otherwise(F.struct(F.lit(True).alias("allow"), F.lit("").alias("reason")))

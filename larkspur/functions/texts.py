@@ -68,15 +68,27 @@ def answer_numbers(text: Column) -> Column:
     return F.regexp_replace(out, r"(?<=[0-9]),(?=[0-9]{1,2}\b)", ".")
 
 
+# The commands that run tests, and how an output names its exit code.
+TEST_COMMANDS = [
+    "go test", "pytest", "uv run pytest", "npm (run )?test", "pnpm (run )?test", "yarn test", "cargo test", "make (test|check)",
+    "vitest", "jest", "aios-check", "aios-task-check", "python3? -m (pytest|unittest)",
+]
+EXIT_CODE = r"(?i)(?:exit[_ ]code|exit status|Exit code)[\"':= ]+(-?\d+)"
+
+
 def is_test_command(command: Column) -> Column:
     """Does a shell command run a project's tests?"""
-    return F.coalesce(command, F.lit("")).rlike(r"(?i)(^|[\s;&|(])(pytest|python3? -m (pytest|unittest)|go test|cargo test|npm (run )?test|yarn test|pnpm test|make (test|check)|mvn test|gradle test|ctest)\b")
+    return F.coalesce(command, F.lit("")).rlike(rf"\b({'|'.join(TEST_COMMANDS)})\b")
 
 
 def exit_code(output: Column) -> Column:
-    """The last exit code that an output names; null where it names none."""
-    named = F.regexp_extract_all(F.coalesce(output, F.lit("")), F.lit(r"(?i)exit(?:ed)?(?: with)?(?: code| status)?[ :=\x22]+(-?\d+)"), 1)
-    return F.try_element_at(named, F.lit(-1)).cast("int")
+    """The exit code of a tool's output: of a JSON object its exit_code, or returncode where that field is missing, 0 if
+    it is null or empty; of other text, and of objects whose field isn't a number, the first code that is named, else 0."""
+    keys = F.json_object_keys(output)
+    field = F.when(F.array_contains(keys, "exit_code"), F.get_json_object(output, "$.exit_code")).otherwise(F.get_json_object(output, "$.returncode"))
+    told = F.when(field.isNull() | field.isin("", "null", "false"), F.lit("0")).when(field == "true", F.lit("1")).otherwise(field)
+    named = F.coalesce(F.nullif(F.regexp_extract(F.coalesce(output, F.lit("")), EXIT_CODE, 1), F.lit("")).try_cast("int"), F.lit(0))
+    return F.coalesce(F.when(keys.isNotNull(), told.try_cast("double").try_cast("int")), named)
 
 
 def is_slug(text: Column) -> Column:
