@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from larkspur.llm import quality
-
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP3 = r"""
@@ -38,23 +36,28 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+# The rules of quality.py, written again for RE2 so that the query is held against something of its own.
+PHRASES = (
+    "all rights reserved|terms of use|terms of service|privacy policy|cookie policy|use of cookies|javascript|lorem ipsum|licensed under the|released under the"
+    r"|copyright \(c\)|click here|sign up now|subscribe to our|powered by|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|verwendet cookies|hier klicken"
+    "|newsletter abonnieren|tous droits réservés|conditions d.utilisation|politique de confidentialité|utilise des cookies|cliquez ici|abonnez-vous"
+    "|todos los derechos reservados|condiciones de uso|política de privacidad|utiliza cookies|haz clic aquí|suscríbete"
+)
 OP10 = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{quality.HAS_WORD}')) AS lines FROM documents),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 x AS (SELECT doc_id, unnest(generate_series(1, len(w) - 2)) AS i, w FROM d WHERE len(w) >= 3),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 2], ' ')) AS n FROM x),
 r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY doc_id),
-s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    coalesce(r.n, 0)::BIGINT AS n_repeat_words,
-    length(regexp_replace(array_to_string(list_filter(lines, lambda l:
-      (length(l) > {quality.LONG} OR (regexp_matches(l, '{quality.TERMINAL}') AND NOT regexp_matches(lower(l), '{quality.BOILERPLATE}')))
-      AND length(regexp_replace(l, '{quality.BESIDE_NAVIGATION}', '', 'g')) < 2 + length(l) // {quality.EVERY}
-      AND length(regexp_replace(l, '{quality.BESIDE_SHOUTING}', '', 'g')) < 5 + 5 * (length(l) // {quality.EVERY})), ''), '{quality.HAS_WORD.replace("[^", "[")}', '', 'g')) AS good
-  FROM d LEFT JOIN r USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AS base_failed,
-  NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AND 100 * good >= {quality.MIN_KEPT_PERCENT} * word_chars AS kept
+l AS (SELECT doc_id, l, length(l) AS n, string_split_regex(lower(l), '[.!?…]+') AS s FROM (SELECT doc_id, unnest(lines) AS l FROM d)),
+p AS (SELECT doc_id, sum(length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g'))) AS good FROM l
+  WHERE 2 * length(rtrim(regexp_replace(l, '(?s)^.*[.!?:;…][\x22\x27)\]”»]*(?:[ \t\r]+|$)', ''), ' ' || chr(9) || chr(13))) <= n
+    AND 2 * length(array_to_string(list_filter(s, lambda x: regexp_matches(x, '{PHRASES}')), '')) <= length(array_to_string(s, ''))
+    AND length(regexp_replace(l, '[^|•]', '', 'g')) < 2 + n // 40 AND length(regexp_replace(l, '[^!#*$%&]', '', 'g')) < 5 + 5 * (n // 40) GROUP BY doc_id),
+s AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(good, 0) AS good FROM d LEFT JOIN r USING (doc_id) LEFT JOIN p USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * good >= 50 * word_chars AS kept
 FROM s
 """
 
@@ -73,8 +76,9 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 
 OP8 = r"""
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-b AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS c, CASE WHEN i <= len(x) // 2 - 50 THEN md5_number(substr(x, 2 * i + 1, 100)) END AS h
-  FROM (SELECT doc_id, x, unnest(generate_series(0, len(x) // 2 - 1)) AS i FROM d WHERE len(x) > 0)),
+p AS (SELECT doc_id, k, substr(x, 2000 * k + 1, 2098) AS y, least(1000, len(x) // 2 - 1000 * k) AS n FROM (SELECT doc_id, x, unnest(generate_series(0, (len(x) // 2 - 1) // 1000)) AS k FROM d WHERE len(x) > 0)),
+b AS MATERIALIZED (SELECT doc_id, 1000 * k + j AS i, substr(y, 2 * j + 1, 2) AS c, CASE WHEN j <= len(y) // 2 - 50 THEN md5_number(substr(y, 2 * j + 1, 100)) END AS h
+  FROM (SELECT doc_id, k, y, unnest(generate_series(0, n - 1)) AS j FROM p)),
 m AS (SELECT h, min(doc_id) AS least FROM b WHERE h IS NOT NULL GROUP BY h HAVING min(doc_id) < max(doc_id)),
 r AS (SELECT b.doc_id, b.i FROM b JOIN m USING (h) WHERE b.doc_id > least),
 f AS (SELECT b.doc_id, b.i, c,

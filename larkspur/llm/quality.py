@@ -1,10 +1,12 @@
 """Quality rules, line first, with DataFrame functions only.
 
 Every line is judged by itself (punctuation, navigation, boilerplate), failing lines are removed, and a document that
-loses too much of its text that way, or fails the base statistics, is rejected. A line is judged by how much of it is
-marked and not by a mark alone: a line of over LONG characters needs no final mark and isn't boilerplate for a phrase in
-it, and separators or symbols count by their share of the line. All of it is one projection: no shuffle,
-no Python, so the cost is linear in the text and a hot source or a long document moves nothing.
+loses too much of its text that way, or fails the base statistics, is rejected. A line of any length is judged by shares:
+what follows its last closing mark may be half of it at most (all of it, where there is no mark), sentences with a phrase
+of boilerplate may be half of its sentences' characters, and separators and symbols count against its length. So a notice
+of one sentence falls however long it is, and prose that says "click here" in one sentence of several stays. All of it is
+one projection: no shuffle, no Python, so the cost is linear in the text and a hot source or a long document moves
+nothing.
 
 Defined cases: a null or empty text has no words and fails the base; lines without a word are neither kept nor lost,
 they stay; rows are judged one by one, so repeated rows and ids get equal verdicts; an empty table gives an empty
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.shared import SPACE, words_of
 
 # The line rules. Regular expressions in the subset that Java and RE2 share.
-TERMINAL = r"[.!?:;\x{2026}][\x22\x27)\]\x{201D}\x{00BB}]*[ \t\r]*$"
+THROUGH_LAST_MARK = r"(?s)^.*[.!?:;\x{2026}][\x22\x27)\]\x{201D}\x{00BB}]*(?:[ \t\r]+|$)"
+SENTENCE_END = r"[.!?\x{2026}]+"
 BESIDE_NAVIGATION = r"[^|\x{2022}]+"
 BESIDE_SHOUTING = r"[^!#*$%&]+"
 BOILERPLATE = (
@@ -31,8 +34,8 @@ BOILERPLATE = (
 )
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
-#: Characters of a line that is long, and those for each of which a separator or five symbols are allowed.
-LONG, EVERY = 200, 40
+#: Characters of a line for each of which a separator or five symbols are allowed.
+EVERY = 40
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -41,8 +44,13 @@ MIN_KEPT_PERCENT = 50
 
 def _passes(line: str) -> str:
     """SQL: does a line pass the punctuation, navigation and boilerplate rules?"""
+    # Most lines hold no phrase; only the others are cut into sentences.
+    sentences = f"split(lower({line}), r'{SENTENCE_END}')"
+    size = lambda parts: f"length(array_join({parts}, ''))"
+    notice = f"2 * {size(f"filter({sentences}, s -> s rlike r'{BOILERPLATE}')")} > {size(sentences)}"
     return (
-        f"((length({line}) > {LONG} OR ({line} rlike r'{TERMINAL}' AND NOT lower({line}) rlike r'{BOILERPLATE}'))"
+        f"(2 * length(rtrim(' \\t\\r', regexp_replace({line}, r'{THROUGH_LAST_MARK}', ''))) <= length({line})"
+        f" AND NOT (lower({line}) rlike r'{BOILERPLATE}' AND {notice})"
         f" AND {_marks(line, BESIDE_NAVIGATION)} < 2 + length({line}) div {EVERY} AND {_marks(line, BESIDE_SHOUTING)} < 5 + 5 * (length({line}) div {EVERY}))"
     )
 
@@ -72,6 +80,16 @@ def _repeat_words(words: str = "_lk_words") -> str:
     return _let("w", words, _let("s", windows, _let("t", twice, covered)))
 
 
+def _base(n_words: str, repeat_words: str, min_words: int, max_repeat: int) -> str:
+    """SQL: does a document fail the base statistics?"""
+    return f"({n_words} < {min_words} OR 100 * {repeat_words} > {max_repeat} * {n_words})"
+
+
+def _enough(kept_chars: str, word_chars: str, min_kept: int) -> str:
+    """SQL: is enough of a document left?"""
+    return f"100 * {kept_chars} >= {min_kept} * {word_chars}"
+
+
 def _steps(min_words: int, max_repeat: int, min_kept: int) -> list[dict[str, str]]:
     """SQL for the working columns; each dict is one projection that uses the one before."""
     return [
@@ -84,8 +102,8 @@ def _steps(min_words: int, max_repeat: int, min_kept: int) -> list[dict[str, str
             "n_repeat_words": _repeat_words(),
             "_lk_kept_chars": _kept_chars("_lk_lines"),
         },
-        {"base_failed": f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat} * n_words"},
-        {"kept": f"NOT base_failed AND 100 * _lk_kept_chars >= {min_kept} * word_chars"},
+        {"base_failed": _base("n_words", "n_repeat_words", min_words, max_repeat)},
+        {"kept": f"NOT base_failed AND {_enough('_lk_kept_chars', 'word_chars', min_kept)}"},
     ]
 
 
@@ -98,10 +116,8 @@ def _kept(text: str, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_R
     """SQL: the verdict as one expression. As a filter it is moved next to the scan, so its words are bound in it."""
     words = f"array_remove(split(coalesce({text}, ''), r'{SPACE}'), '')"
     lines = f"split({text}, r'\\n')"
-    verdict = (
-        f"size(v) >= {min_words} AND 100 * {_kept_chars(lines)} >= {min_kept_percent} * length(array_join(v, ''))"
-        f" AND 100 * {_repeat_words('v')} <= {max_repeat_percent} * size(v)"
-    )
+    enough = _enough(_kept_chars(lines), "length(array_join(v, ''))", min_kept_percent)
+    verdict = f"size(v) >= {min_words} AND {enough} AND NOT {_base('size(v)', _repeat_words('v'), min_words, max_repeat_percent)}"
     return _let("v", words, f"({verdict})")
 
 

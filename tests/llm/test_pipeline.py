@@ -19,9 +19,14 @@ def words(text):
 
 
 def passes(line):
-    terminal, phrases = (re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", p) for p in (quality.TERMINAL, quality.BOILERPLATE))
-    whole = len(line) > 200 or bool(re.search(terminal, line) and not re.search(phrases, line.lower()))
-    return whole and sum(c in "|\u2022" for c in line) < 2 + len(line) // 40 and sum(c in "!#*$%&" for c in line) < 5 + 5 * (len(line) // 40)
+    """The rules as the docstring tells them, with the phrases taken from the operator."""
+    marks = [m for m in re.finditer("[.!?:;\u2026][\"')\\]\u201d\u00bb]*", line) if line[m.end() :][:1] in ("", " ", "\t", "\r")]
+    tail = line[marks[-1].end() :].strip(" \t\r") if marks else line.rstrip(" \t\r")
+    phrases = re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", quality.BOILERPLATE)
+    sentences = re.split("[.!?\u2026]+", line.lower())
+    notice = sum(len(x) for x in sentences if re.search(phrases, x))
+    shares = 2 * len(tail) <= len(line) and 2 * notice <= sum(map(len, sentences))
+    return shares and sum(c in "|\u2022" for c in line) < 2 + len(line) // 40 and sum(c in "!#*$%&" for c in line) < 5 + 5 * (len(line) // 40)
 
 
 def judged(text):
@@ -66,14 +71,18 @@ def test_quality(spark, sf):
 
 
 def test_long_and_marked_lines(spark):
-    prose = " ".join(f"word{i} of" for i in range(60))
+    prose = " ".join(f"word{i} of{'.' * (i % 9 == 8)}" for i in range(60))  # its last sentence has no mark
+    bare = prose.replace(".", "")
+    notice = "By staying on these pages you agree to the use of cookies and to what our privacy policy says of them in " + "long and winding words " * 7 + "that go on to the end."
+    assert len(notice) > 250
     texts = {
-        prose: True, prose + " click here and see the privacy policy": True, prose + " » a » b » c": True, prose.replace("word7 ", "| ").replace("word9 ", "| "): True,
-        (prose + ".\n") * 3 + "Home | News | About | Contact": True, "\n".join(f"word{i} of word{i + 1}" for i in range(60)): False,
+        prose: True, prose + " click here for more of it": True, prose + " » a » b » c": True, prose.replace("word7 ", "| ").replace("word9 ", "| "): True,
+        (prose + ".\n") * 3 + "Home | News | About | Contact": True, "\n".join(f"word{i} of word{i + 1}" for i in range(60)): False, bare: False, bare + " click here": False, notice: False,
+        notice + "\n" + prose: True, notice + "\n" + notice.replace("staying", "going on") + "\n" + prose[:300] + ".": False,
         prose.replace(" of", " |"): False, prose.replace(" of", "!!!"): False, ("see it all. " * 3 + "\n").join(f"Item {i} | a | b | c |" for i in range(40)): False,
     }
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.kept for r in quality.verdicts(docs, max_repeat_percent=100).collect()}
+    got = {r.doc_id: r.kept for r in quality.verdicts(docs, max_repeat_percent=100, min_words=30).collect()}
     assert [got[i] for i in range(len(texts))] == list(texts.values())
 
 
