@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.tables import held
+
 
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """calls with usd: the prices of the call's alias, or of the run's model where the alias isn't known.
@@ -46,14 +47,14 @@ def cascade(questions: DataFrame, backends: list[tuple[str, Callable[[DataFrame]
     """key, answer, confidence, backend, needs_human: each backend sees only what is still open, the cheapest first.
 
     A backend maps questions to (key, answer, confidence, refused). What nobody settles gets the best answer seen. Each
-    level's answers are kept on disk, or by `keep(answers, backend)` as a written table, which a lost executor can't
-    make the backend answer again.
+    level's answers are kept as a written table, by `keep(answers, backend)` where given, so a lost executor doesn't make
+    a backend answer again.
     """
     left, answers = questions, None
     for place, (name, decide) in enumerate(backends):
         got = decide(left).select(key, "answer", "confidence", "refused", F.lit(name).alias("backend"), F.lit(-place).alias("_place"))
         if place < len(backends) - 1:  # asked once, though the answers are read twice
-            got = got.persist(StorageLevel.DISK_ONLY) if not keep else keep(got, name)
+            got = (keep or held)(got, name)
         settled = got.where(~F.col("refused") & (F.col("confidence") >= least))
         answers = got if answers is None else answers.unionByName(got)
         left = left.join(settled.select(key), key, "left_anti")
@@ -62,3 +63,27 @@ def cascade(questions: DataFrame, backends: list[tuple[str, Callable[[DataFrame]
     return questions.select(key).join(best, key, "left").select(
         key, F.when(F.col("b.said"), F.col("b.answer")).alias("answer"), F.col("b.confidence").alias("confidence"), F.col("b.backend").alias("backend"), (~F.coalesce(F.col("b.good"), F.lit(False))).alias("needs_human"),
     )
+
+
+def planned_cascade(questions: DataFrame, backends: dict[str, Callable[[DataFrame], DataFrame]], least: float, key: str = "question", keep: Callable[[DataFrame, str], DataFrame] = held) -> DataFrame:
+    """As `cascade`, but each question visits the backends of its own `plan` (an array of names), in that order.
+
+    Step by step, a backend sees the open questions whose plan names it there; its answers are kept as a written table.
+    The steps are as many as there are backends, as a plan names each once. Columns `place` and `asked` tell at which
+    step of its plan the answer was given and how many backends were asked."""
+    left, answers = questions, None
+    for step in range(len(backends)):
+        settled = None
+        for name, decide in backends.items():
+            own = left.where(F.get("plan", F.lit(step)) == name)
+            got = keep(decide(own).select(key, "answer", "confidence", "refused", F.lit(name).alias("backend"), F.lit(-step).alias("_place")), f"{name}-{step}")
+            answers = got if answers is None else answers.unionByName(got)
+            done = got.where(~F.col("refused") & (F.col("confidence") >= least)).select(key)
+            settled = done if settled is None else settled.unionByName(done)
+        left = left.join(settled, key, "left_anti")
+    good = ~F.col("refused") & (F.col("confidence") >= least)
+    best = answers.groupBy(key).agg(F.max(F.struct(good.alias("good"), (~F.col("refused")).alias("said"), "confidence", "_place", "answer", "backend")).alias("b"), F.count("*").alias("asked"))
+    return questions.select(key).join(best, key, "left").select(
+        key, F.when(F.col("b.said"), F.col("b.answer")).alias("answer"), F.col("b.confidence").alias("confidence"), F.col("b.backend").alias("backend"), (-F.col("b._place")).alias("place"),
+        F.coalesce("asked", F.lit(0)).alias("asked"), (~F.coalesce(F.col("b.good"), F.lit(False))).alias("needs_human"),
+    )

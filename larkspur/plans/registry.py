@@ -31,5 +31,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _family in ("ledger_queries", "relational_queries", "retrieval_queries", "finance_queries", "text_queries", "policy_queries", "routing_queries", "stream_queries", "upkeep_queries", "assistant_queries"):
+for _family in ("ledger_queries", "relational_queries", "retrieval_queries", "finance_queries", "text_queries", "policy_queries", "routing_queries", "stream_queries", "upkeep_queries", "assistant_queries", "merge_queries"):
     importlib.import_module(f"larkspur.plans.{_family}")
