@@ -4,8 +4,9 @@ A page is read once into blocks of text, each under the path of block elements f
 are part of their block). Per path, the text length outside links and the punctuation are summed and divided by the
 path's blocks; both ratios are laid along the page in block order, smoothed, fused by their product, and paths whose
 mean reaches the threshold are content paths. The content node is the deepest element that holds most of the text on
-content paths, or the article or main element around it. It is taken whole, but for paths under the threshold that
-are also named like something else (a menu, an advert) and for what is marked as such outright.
+content paths. It is taken whole, with the article or main element around it, but for paths under the threshold that
+are also named like something else (a menu, an advert) or, beside the content node, are links for the most part, and for
+what is marked as such outright.
 
 Navigation, headers, footers, asides, forms, scripts, styles and hidden elements are no text by their elements or
 roles. A token of a class or id that is such a name as a whole ("ad", "cookie-notice") marks an element unless that is a
@@ -61,10 +62,12 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
 
 ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>]){ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<text>noscript|textarea|iframe|title)(?=[\s/>]){ATTRIBUTES}>.*?</(?P=text)\s*>"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>]){ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>{ATTRIBUTES})(?:>|\Z)|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements whose content is no markup, if they are closed, and their ends.
+PLAIN_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("noscript", "textarea", "iframe", "title")}
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 #: Weights of a block's neighbours in the smoothing.
 KERNEL = np.array([0.06, 0.24, 0.40, 0.24, 0.06])
@@ -77,13 +80,56 @@ ARTICLE, HINT = 4.0, 0.25
 
 
 class Block(NamedTuple):
-    path: tuple[str, ...]
-    nodes: tuple[int, ...]  # the elements around it, from the root
+    path: int
+    node: int  # the innermost element around it
     text: str
     links: int  # characters in links
     hinted: bool  # an element around it has a name that hints at something else than content
 
 
+class Page:
+    """The blocks of a page, its elements and its tag paths. Elements and paths are numbered as they come, 0 being the
+    page, and know what is around them by number, so a page of any depth takes as much room as it has elements."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parent, self.depth, self.path_of = [0], [0], [0]
+        self.names, self.in_article = [""], [False]
+        self._paths: dict[tuple[int, str], int] = {}
+
+    def open(self, parent: int, name: str) -> int:
+        """A new element's number."""
+        around = self.path_of[parent]
+        path = self._paths.setdefault((around, name), len(self.names))
+        if path == len(self.names):
+            self.names.append(name)
+            self.in_article.append(self.in_article[around] or name.split(".")[0] in ("article", "main"))
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.path_of.append(path)
+        return len(self.parent) - 1
+
+    def name(self, node: int) -> str:
+        return self.names[self.path_of[node]].split(".")[0]
+
+    def weight(self, b: Block) -> float:
+        return (ARTICLE if self.in_article[b.path] else 1.0) * (HINT if b.hinted else 1.0)
+
+    def gathered(self, own: list[float]) -> list[float]:
+        """Sums over everything in an element, of what elements have themselves; an element comes after what is around it."""
+        out = list(own)
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parent[n]] += out[n]
+        return out
+
+    def inside(self, node: int) -> list[bool]:
+        """Which elements are the given one or in it."""
+        out = [not node] * len(self.parent)
+        for n in range(1, len(out)):
+            out[n] = n == node or out[self.parent[n]]
+        return out
+
+
 def _judged(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """The element's name in a path, whether it is no content, and whether its class or id hints at that."""
     if not attributes.strip(" /"):
@@ -98,12 +144,14 @@ def _judged(tag: str, attributes: str) -> tuple[str, bool, bool]:
     return f"{tag}.{label}" if label else tag, bool(tag in NOT_CONTENT or found.get("role", "").lower() in ROLES or hidden or outright), hinted
 
 
-def blocks(page: str) -> list[Block]:
-    """Every block that isn't marked, in page order."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, name in the path, number, no content and hinted (itself or around it)
+def read(page: str) -> Page:
+    """A page with every block that isn't marked, in page order."""
+    out = Page()
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, number, no content and hinted (itself or around it)
+    still_open: dict[str, int] = defaultdict(int)
+    never_closed: set[str] = set()  # elements of plain text of which no end follows
     text: list[str] = []
-    links, in_link, nodes, at = 0, False, 0, 0
+    links, in_link, at = 0, False, 0
     unseen: list[str] = []  # an inline element that isn't shown, and those of its kind inside it
 
     def say(piece: str) -> None:
@@ -115,12 +163,18 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         if text:
             words = entities.unescape("".join(text)).split()
-            if words and not (stack and stack[-1][3]):
-                out.append(Block(tuple(s[1] for s in stack), tuple(s[2] for s in stack), " ".join(words), links, bool(stack and stack[-1][4])))
+            if words and not (stack and stack[-1][2]):
+                node = stack[-1][1] if stack else 0
+                out.blocks.append(Block(out.path_of[node], node, " ".join(words), links, bool(stack and stack[-1][3])))
             text.clear()
         links = 0
 
-    for m in TOKEN.finditer(page):
+    def close(count: int) -> None:
+        for x in stack[count:]:
+            still_open[x[0]] -= 1
+        del stack[count:]
+
+    while m := TOKEN.search(page, at):
         if m.start() > at and not unseen:
             say(page[at : m.start()])
         at = m.end()
@@ -128,12 +182,17 @@ def blocks(page: str) -> list[Block]:
         if not tag or tag in VOID:
             continue
         ends, empty = bool(m["end"]), m["attr"].endswith("/")
+        if tag in PLAIN_ENDS and not ends and tag not in never_closed:
+            if end := PLAIN_ENDS[tag].search(page, at):
+                at = end.end()
+                continue
+            never_closed.add(tag)
         if unseen and tag == unseen[0]:
             if ends:
                 unseen.pop()
             elif not empty:
                 unseen.append(tag)
-        elif unseen and unseen[0] in UNSEEN and not (ends and any(s[0] == tag for s in stack)):
+        elif unseen and unseen[0] in UNSEEN and not (ends and still_open[tag]):
             continue  # inside it only its end counts, or the end of what is around it
         elif tag == "br":
             text.append(" ")
@@ -152,84 +211,85 @@ def blocks(page: str) -> list[Block]:
             in_link = False
             flush()
             if ends:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if still_open[tag]:
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
                 continue
             while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
+                close(len(stack) - 1)
             if tag != "hr":
                 name, marked, hinted = _judged(tag, m["attr"])
-                nodes += 1
-                stack.append((tag, name, nodes, marked or bool(stack and stack[-1][3]), hinted or bool(stack and stack[-1][4])))
+                _, around, around_marked, around_hinted = stack[-1] if stack else ("", 0, False, False)
+                stack.append((tag, out.open(around, name), marked or around_marked, hinted or around_hinted))
+                still_open[tag] += 1
     if at < len(page) and not unseen:
         say(page[at:])
     flush()
     return out
 
 
-def _weight(b: Block) -> float:
-    return (ARTICLE if any(name.split(".")[0] in ("article", "main") for name in b.path) else 1.0) * (HINT if b.hinted else 1.0)
-
-
-def path_scores(found: list[Block]) -> tuple[dict[tuple[str, ...], float], float]:
+def path_scores(page: Page) -> tuple[dict[int, float], float]:
     """The mean of the smoothed and fused ratios of each path, and the deviation of the fused ratios along the page."""
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for b in found:
+    for b in page.blocks:
         length[b.path] += max(0, len(b.text) - b.links)
         marks[b.path] += len(PUNCTUATION.findall(b.text))
         count[b.path] += 1
-    along = np.array([(length[b.path] / count[b.path], (1 + marks[b.path]) / count[b.path]) for b in found])
+    along = np.array([(length[b.path] / count[b.path], (1 + marks[b.path]) / count[b.path]) for b in page.blocks])
     half = len(KERNEL) // 2
     padded = np.pad(along, ((half, half), (0, 0)), mode="edge")
     smooth = np.stack([np.convolve(padded[:, k], KERNEL, mode="valid") for k in (0, 1)], axis=1)
-    fused = smooth.prod(axis=1) * np.array([_weight(b) for b in found])
+    fused = smooth.prod(axis=1) * np.array([page.weight(b) for b in page.blocks])
     by_path = defaultdict(list)
-    for b, score in zip(found, fused, strict=True):
+    for b, score in zip(page.blocks, fused, strict=True):
         by_path[b.path].append(score)
     return {p: float(np.mean(s)) for p, s in by_path.items()}, float(fused.std())
 
 
-def content_paths(found: list[Block], threshold: float = THRESHOLD) -> set[tuple[str, ...]]:
+def content_paths(page: Page, threshold: float = THRESHOLD) -> set[int]:
     """Paths whose score reaches the threshold; one at least if there is a block."""
-    scores, deviation = path_scores(found)
+    scores, deviation = path_scores(page)
     most = max(scores.values())
     least = min(most, max(threshold * deviation, LEAST_PART / THRESHOLD * threshold * most))
     return {p for p, s in scores.items() if s >= least}
 
 
-def content_node(found: list[Block], paths: set[tuple[str, ...]]) -> int:
-    """The number of the content node, the deepest that holds most of the text on content paths; 0 is the page."""
-    held: dict[int, float] = defaultdict(float)
-    depth: dict[int, int] = {0: 0}
-    around: dict[int, tuple[tuple[str, ...], tuple[int, ...]]] = {}
-    for b in found:
-        weight = _weight(b)
-        for i, node in enumerate((0, *b.nodes)):
-            depth[node] = i
-            around[node] = (b.path[:i], b.nodes[:i])
-            if b.path in paths:
-                held[node] += len(b.text) * weight
-    fit = [n for n, h in held.items() if h >= MOST * held[0]]
-    node = max(fit, key=lambda n: (depth[n], -n))
-    for name, outer in zip(*around[node], strict=True):
-        if name.split(".")[0] in ("article", "main"):  # the outermost article holds the innermost's headings too
-            return outer
-    outer = around[node][1]
-    if node and all(b.nodes[-1] == node for b in found if node in b.nodes):  # the node is a block itself: what is around it
-        return outer[-1] if outer else 0
-    return node
-
-
-def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
+def content_node(page: Page, paths: set[int]) -> tuple[int, int]:
+    """The number of the content node, the deepest that holds most of the text on content paths, and of what is taken
+    with it: the outermost article or main element around it, or what is around a node that is a block itself."""
+    own, count = [0.0] * len(page.parent), [0] * len(page.parent)
+    for b in page.blocks:
+        count[b.node] += 1
+        if b.path in paths:
+            own[b.node] += len(b.text) * page.weight(b)
+    held, blocks_in = page.gathered(own), page.gathered(count)
+    node = max((n for n, h in enumerate(held) if h >= MOST * held[0] and blocks_in[n]), key=lambda n: (page.depth[n], -n))
+    taken, n = 0, page.parent[node]
+    while n:
+        if page.name(n) in ("article", "main"):
+            taken = n  # the outermost article holds the innermost's headings too
+        n = page.parent[n]
+    if taken:
+        return node, taken
+    return node, page.parent[node] if count[node] == blocks_in[node] else node
+
+
+def main_text(html: str | None, threshold: float = THRESHOLD) -> str:
     """The main text, blocks joined by newlines; empty if there is none."""
-    found = blocks(page or "")
-    if not found:
+    page = read(html or "")
+    if not page.blocks:
         return ""
-    paths = content_paths(found, threshold)
-    node = content_node(found, paths)
-    return "\n".join(b.text for b in found if (not node or node in b.nodes) and (b.path in paths or not b.hinted))
+    paths = content_paths(page, threshold)
+    node, taken = content_node(page, paths)
+    core, whole = page.inside(node), page.inside(taken)
+
+    def kept(b: Block) -> bool:
+        if b.path in paths:
+            return True
+        # Beside the content node, what isn't on a content path and is links for the most part is a list of other pages.
+        beside = not core[b.node] and 2 * b.links > len(b.text) and page.name(b.node) != "h1"
+        return not b.hinted and not beside
+
+    return "\n".join(b.text for b in page.blocks if whole[b.node] and kept(b))
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

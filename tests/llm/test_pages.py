@@ -153,3 +153,19 @@ def test_extracted(spark):
     assert html_text.extracted(pages.where("false")).collect() == []
     long = spark.createDataFrame([(1, "u", "<article>" + "<p>many words, here.</p>" * 100_000)], SCHEMA)
     assert html_text.extracted(long).first().text.count("\n") == 99_999
+
+
+def test_deep_and_unclosed_pages_stay_linear():
+    import time
+
+    for page in ("<div>x" * 50_000, "<iframe>x" * 50_000, "<div>x" * 30_000 + "</p>" * 30_000, "<title>x " * 50_000, "<ul><li>a" * 20_000, "<p>x</section>" * 50_000):
+        began = time.process_time()
+        assert len(html_text.main_text(page)) > 10_000
+        assert time.process_time() - began < 10  # under a second on a quick, idle machine
+
+
+def test_links_beside_the_article_leave():
+    text = "".join(f"<p>Sentence {i} of the text, which is long enough, says what there is to say.</p>" for i in range(9))
+    more = "<div>" + "".join(f"<p><a href='/{i}'>Next story {i}</a></p>" for i in range(5)) + "</div>"
+    found = html_text.main_text(f"<body><main><h1><a href='/'>Title</a></h1><div class='text'>{text}</div>{more}</main></body>")
+    assert found.startswith("Title\nSentence 0") and found.count("\n") == 9 and "Next story" not in found
