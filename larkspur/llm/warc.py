@@ -71,17 +71,21 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block
 
 
-def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, unique: int, segment_bytes: int) -> Iterator[bytes]:
+def _uri(url: str | None) -> str | None:
+    return None if url is None else quote(url, safe="%/:=&?~#+!$,;'@()*[]")
+
+
+def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, unique: int, segment_bytes: int) -> Iterator[bytes]:
     """A page's record, or its first segment and the continuations."""
     name = f"<urn:larkspur:record:{unique}>"
     digest = "sha1:" + base32_sha1(payload)
     own = [
         ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", name), ("WARC-Date", "2024-01-01T00:00:00Z"),
-        ("WARC-Target-URI", None if url is None else quote(url, safe="%/:=&?~#+!$,;'@()*[]")), ("WARC-Payload-Digest", digest),
+        ("WARC-Target-URI", _uri(url)), ("WARC-Payload-Digest", digest),
         ("Content-Type", "application/http; msgtype=response"), ("X-Page-ID", page_id),
     ]
     if refers_to is not None:  # the block is the header of the response that isn't stored again
-        own += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:larkspur:page:{refers_to}>")]
+        own += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", _uri(refers_url)), ("WARC-Refers-To-Date", "2024-01-01T00:00:00Z"), ("X-Refers-To-Page-ID", refers_to)]
         yield _record(own, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload))
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -102,16 +106,16 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int =
     """Writes an archive of pages to path."""
     rows = pages.select(pages[key].cast("long").alias("key"), pages[url].cast("string").alias("url"), F.coalesce(pages[html].cast("binary"), F.lit(b"")).alias("payload"))
     same = F.sha2("payload", 256)
-    copies = rows.where(F.octet_length("payload") >= min_bytes).select("key", same.alias("same")).groupBy("same").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
+    copies = rows.where(F.octet_length("payload") >= min_bytes).select("key", "url", same.alias("same")).groupBy("same").agg(F.min("key").alias("first"), F.min(F.struct(F.col("key").isNull(), "key", "url"))["url"].alias("first_url"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = F.col("first").isNotNull() & (F.col("key").isNull() | (F.col("key") > F.col("first")))
     long_enough = F.when(F.octet_length("payload") >= min_bytes, same)
-    told = rows.withColumn("same", long_enough).join(copies, "same", "left").select("key", "url", "payload", F.when(revisits, F.col("first")).alias("first"))
+    told = rows.withColumn("same", long_enough).join(copies, "same", "left").select("key", "url", "payload", F.when(revisits, F.col("first")).alias("first"), F.when(revisits, F.col("first_url")).alias("first_url"))
 
     def made(batches):
         unique = TaskContext.get().partitionId() << 33
         for batch in batches:
             out, size = [], 0
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "payload", "first")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "payload", "first", "first_url")), strict=True):
                 for record in records_of(*row, unique, segment_bytes):
                     out.append(record)
                     size += len(record)
@@ -184,7 +188,7 @@ def parsed(files: DataFrame) -> DataFrame:
                     segment = h.get("warc-segment-number")
                     origin = h.get("warc-segment-origin-id") or (h["warc-record-id"] if segment else None)
                     out.append((
-                        h["warc-record-id"], number(h.get("x-page-id")), h["warc-type"], number(h.get("warc-refers-to")), h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+                        h["warc-record-id"], number(h.get("x-page-id")), h["warc-type"], number(h.get("x-refers-to-page-id")), h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
                         origin, segment and int(segment), number(h.get("warc-segment-total-length")), block,
                     ))
                     size += len(block)

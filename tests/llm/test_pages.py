@@ -169,3 +169,13 @@ def test_links_beside_the_article_leave():
     more = "<div>" + "".join(f"<p><a href='/{i}'>Next story {i}</a></p>" for i in range(5)) + "</div>"
     found = html_text.main_text(f"<body><main><h1><a href='/'>Title</a></h1><div class='text'>{text}</div>{more}</main></body>")
     assert found.startswith("Title\nSentence 0") and found.count("\n") == 9 and "Next story" not in found
+
+
+def test_revisits_refer_to_a_record_of_the_archive(spark, tmp_path):
+    rows = [(3, "http://b/ x", "<p>same"), (1, "http://a/", "<p>same"), (2, None, "<p>same"), (4, "http://d/", "<p>other")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w")
+    found = [h for p in (tmp_path / "w").glob("part-*") for h, _ in warc.records_in(p.read_bytes())]
+    responses = {h["x-page-id"]: h["warc-target-uri"] for h in found if h["warc-type"] == "response"}
+    revisits = [h for h in found if h["warc-type"] == "revisit"]
+    assert set(responses) == {"1", "4"} and len(revisits) == 2
+    assert all(responses[h["x-refers-to-page-id"]] == h["warc-refers-to-target-uri"] == "http://a/" and "warc-refers-to" not in h for h in revisits)
