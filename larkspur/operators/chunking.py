@@ -1,101 +1,13 @@
-"""Chunks of documents, filling of budgets, and summaries by map and reduce."""
+"""Filling of budgets, and summaries by map and reduce."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from larkspur.operators.tables import held
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-MAX_TOKENS, OVERLAP, LEAST = 500, 50, 100
-HEADING = re.compile(r"(#{1,6})\s+(.*?)\s*#*$")
-
-
-def tokens(text: str) -> int:
-    return -(-len(text) // 4)
-
-
-def sections(text: str) -> list[tuple[list[str], str]]:
-    """Headings from the root and the text below them, in order; headings inside fences are text."""
-    out: list[tuple[list[str], list[str]]] = [([], [])]
-    stack: list[tuple[int, str]] = []
-    fence = ""
-    for line in text.split("\n"):
-        mark = re.match(r"\s{0,3}(```+|~~~+)", line)
-        if mark and (not fence or mark[1].startswith(fence)):
-            fence = "" if fence else mark[1]
-        found = None if fence or mark else HEADING.match(line)
-        if found:
-            stack = [s for s in stack if s[0] < len(found[1])] + [(len(found[1]), found[2])]
-            out.append(([t for _, t in stack], []))
-        else:
-            out[-1][1].append(line)
-    return [(path, body) for path, lines in out if (body := "\n".join(lines).strip("\n")) or path]
-
-
-def parts(text: str, limit: int) -> list[str]:
-    """A section's paragraphs and fences; those over the limit cut at lines, sentences and words."""
-    out: list[str] = []
-    for block in re.findall(r"(?:^|\n)(?:```.*?(?:\n```|\Z))|(?:(?!\n\s*\n|\n```).)+", text, re.S):
-        block = block.strip("\n")
-        if not block.strip():
-            continue
-        if tokens(block) <= limit:
-            out.append(block)
-            continue
-        fenced = block.startswith("```")
-        head = block.split("\n", 1)[0] if fenced else ""
-        pieces = block.split("\n")[1:-1] if fenced else re.split(r"(?<=[.!?])\s+", block)
-        small = [w for p in pieces for w in ([p] if tokens(p) <= limit else re.findall(rf"\S.{{0,{limit * 4 - 2}}}(?!\S)|\S{{1,{limit * 4}}}", p, re.S))]
-        room = limit - (tokens(head) + 3 if fenced else 0)
-        for group in packed(small, room, "\n" if fenced else " "):
-            out.append(f"{head}\n{group}\n```" if fenced else group)
-    return out
-
-
-def packed(texts: list[str], limit: int, separator: str) -> list[str]:
-    """Neighbours put together as long as they stay within the limit."""
-    out: list[str] = []
-    for t in texts:
-        if out and tokens(out[-1] + separator + t) <= limit:
-            out[-1] += separator + t
-        else:
-            out.append(t)
-    return out
-
-
-def chunks(text: str | None, limit: int = MAX_TOKENS, overlap: int = OVERLAP, least: int = LEAST) -> list[tuple[str, str]]:
-    """Heading path and text of a document's chunks: small neighbours merged, the end of one repeated in the next."""
-    out: list[list] = []
-    for path, body in sections(text or ""):
-        for i, chunk in enumerate(packed(parts(body, limit), limit, "\n\n")):
-            if out and tokens(out[-1][1]) < least and tokens(out[-1][1]) + tokens(chunk) < limit:
-                same = 0
-                while same < min(len(path), len(out[-1][0])) and path[same] == out[-1][0][same]:
-                    same += 1
-                out[-1] = [path[:same], out[-1][1] + "\n\n" + chunk]
-                continue
-            tail = " ".join(out[-1][1].split()[-overlap // 2 :]) if i and overlap and not out[-1][1].endswith("```") else ""
-            if tail and tokens(tail) <= overlap and tokens(tail + "\n\n" + chunk) <= limit:
-                chunk = tail + "\n\n" + chunk
-            out.append([path, chunk])
-    return [(" > ".join(p), c) for p, c in out]
-
-
-def chunked(docs: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
-    """id, chunk_index, heading, content, n_tokens: the chunks of documents (id, text), in Arrow batches."""
-
-    @F.pandas_udf("array<struct<heading:string,content:string>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"heading": h, "content": c} for h, c in chunks(t, limit)])
-
-    rows = docs.select("id", F.posexplode(cut("text")).alias("chunk_index", "c"))
-    return rows.select("id", "chunk_index", "c.heading", "c.content", F.ceil(F.length("c.content") / 4).cast("int").alias("n_tokens"))
+from larkspur.operators.tables import held
 
 
 def filled(sizes: Column, budget: int) -> Column:
@@ -181,13 +93,25 @@ def fill_budget(rows: DataFrame, key: str, order: list[str], size: str, budget:
     return _taken(begun(starts, "left"), key, order).select(key, *others).unionByName(sized.where(free).select(key, *others))
 
 
+def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with _i, their place in their key from 0. Rows are dealt into ranges of key and order and written; places are
+    counted within a range and moved on by the sizes of the key's ranges before, so a key of any size is many tasks' work.
+    Rows that tie are in one range, in any order."""
+    ranged = held(rows.repartitionByRange(key, order).withColumn("_p", F.spark_partition_id()), "ranged")
+    own = ranged.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_p").orderBy(order)) - 1)
+    before = Window.partitionBy(key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(key, "_p").agg(F.count("*").alias("_c")).select(F.col(key).alias("_k"), F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    both = own.join(sizes, own[key].eqNullSafe(sizes["_k"]) & (own["_p"] == sizes["_q"]))
+    return both.select(*[own[c] for c in rows.columns], (F.col("_before") + F.col("_n")).alias("_i"))
+
+
 def map_reduce(rows: DataFrame, key: str, order: str, text: str, reduce_texts, group: int = 8) -> DataFrame:
     """One text per key: neighbours in groups of `group` are reduced, level by level, until one is left.
 
     reduce_texts maps a Column of array<string> to a Column of string, a stand-in for a model. A level shuffles by key
     and group, so no key's texts meet at once; the levels are as many as the largest key needs.
     """
-    level = rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).alias("_i"), F.col(text).alias("_t"))
+    level = numbered(rows.select(key, order, F.col(text).alias("_t")), key, order).select(key, "_i", "_t")
     most = rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while most > 1:
         gathered = level.groupBy(key, F.floor(F.col("_i") / group).alias("_g")).agg(F.sort_array(F.collect_list(F.struct("_i", "_t"))).alias("_l"))

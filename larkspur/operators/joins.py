@@ -6,14 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap_join(left: DataFrame, right: DataFrame, bucket_seconds: float, keys: list[str] | None = None) -> DataFrame:
-    """Pairs of rows whose [start, end) intervals overlap, with the seconds they share.
-
-    left has id, start, end; right has label, start, end; keys are equal in both. Intervals are dealt into time buckets
-    and joined by bucket, so the join is an equality that shuffles; a pair is told once, in the bucket in which its
-    overlap begins.
-    """
-    keys = keys or []
+def _overlaps(left: DataFrame, right: DataFrame, bucket_seconds: float, keys: list[str]) -> DataFrame:
+    """keys, id, label, seconds and r_start of the pairs of `overlap_join`."""
 
     def dealt(df: DataFrame, names: list[str], side: str) -> DataFrame:
         first, last = (F.floor(F.col(c) / bucket_seconds) for c in ("start", "end"))
@@ -23,15 +17,26 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket_seconds: float, keys:
     both = dealt(left, ["id"], "l").join(dealt(right, ["label"], "r"), [*keys, "_bucket"])
     begins = F.greatest("l_start", "r_start")
     shared = F.least("l_end", "r_end") - begins
-    return both.where((shared > 0) & (F.floor(begins / bucket_seconds) == F.col("_bucket"))).select(*keys, "id", "label", shared.alias("seconds"))
+    return both.where((shared > 0) & (F.floor(begins / bucket_seconds) == F.col("_bucket"))).select(*keys, "id", "label", shared.alias("seconds"), "r_start")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, bucket_seconds: float, keys: list[str] | None = None) -> DataFrame:
+    """Pairs of rows whose [start, end) intervals overlap, with the seconds they share.
+
+    left has id, start, end; right has label, start, end; keys are equal in both. Intervals are dealt into time buckets
+    and joined by bucket, so the join is an equality that shuffles; a pair is told once, in the bucket in which its
+    overlap begins.
+    """
+    return _overlaps(left, right, bucket_seconds, keys or []).drop("r_start")
 
 
 def best_overlap(left: DataFrame, right: DataFrame, bucket_seconds: float = 60.0, keys: list[str] | None = None) -> DataFrame:
-    """Each left interval with the label that it overlaps most in total; ties go to the smaller label; null without one."""
+    """Each left interval with the label that it overlaps most in total; ties go to the label whose first overlapping
+    interval starts first, then to the smaller label; null without one."""
     keys = keys or []
-    total = overlap_join(left, right, bucket_seconds, keys).groupBy(*keys, "id", "label").agg(F.round(F.sum("seconds"), 6).alias("seconds"))
-    order = Window.partitionBy(*keys, "id").orderBy(F.col("seconds").desc(), "label")
-    best = total.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    total = _overlaps(left, right, bucket_seconds, keys).groupBy(*keys, "id", "label").agg(F.round(F.sum("seconds"), 6).alias("seconds"), F.min("r_start").alias("_first"))
+    order = Window.partitionBy(*keys, "id").orderBy(F.col("seconds").desc(), "_first", "label")
+    best = total.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_first")
     return left.select(*keys, "id").join(best, [*keys, "id"], "left")
 
 
@@ -62,8 +67,11 @@ def insert_if_absent(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """target with rows put over it by keys; columns in keep stay as they were where the new value is null."""
-    new = rows.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in rows.columns if c not in keys], F.lit(True).alias("_new"))
+    """target with rows put over it by keys; columns in keep stay as they were where the new value is null. Of rows with
+    equal keys the greatest counts, in the order of their columns, so a key of target is never told twice."""
+    others = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row")) if others else rows.select(*keys).distinct()
+    new = one.select(*keys, *[F.col("_row")[c].alias(f"_new_{c}") for c in others], F.lit(True).alias("_new"))
     both = target.withColumn("_old", F.lit(True)).join(new, keys, "full_outer")
 
     def value(c: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import texts
-from larkspur.operators import chunking
+from larkspur.operators import chunking, passages
 from larkspur.plans.registry import query, table
 
 
@@ -66,7 +66,7 @@ def srt_times(spark, sf_dir):
 
 @query("chunk_docs")
 def chunk_docs(spark, sf_dir):
-    return chunking.chunked(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "chunk_index", "heading", "n_tokens", F.sha2("content", 256).alias("content_sha256"))
+    return passages.chunked(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", "chunk_index", "heading", "n_tokens", F.sha2("content", 256).alias("content_sha256"))
 
 
 FILL = """

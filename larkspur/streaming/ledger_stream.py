@@ -18,10 +18,10 @@ def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -
 
 def once(rows: DataFrame, key: str, ts: str | None = None, horizon: str = "1 day") -> DataFrame:
     """Rows whose key wasn't seen; without ts for ever, else within the watermark. Rows without a key all pass."""
-    unique = F.coalesce(F.nullif(F.col(key), F.lit("")), F.uuid())
-    marked = rows.withColumn("_key", unique)
-    seen = marked.dropDuplicates(["_key"]) if ts is None else marked.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(["_key"])
-    return seen.drop("_key")
+    has_key = F.coalesce(F.col(key).cast("string") != "", F.lit(False))
+    keyed = rows.where(has_key) if ts is None else rows.where(has_key).withWatermark(ts, horizon)
+    seen = keyed.dropDuplicates([key]) if ts is None else keyed.dropDuplicatesWithinWatermark([key])
+    return seen.unionByName(rows.where(~has_key))  # these need no state
 
 
 def session_totals(rows: DataFrame, session: str, cost: str) -> DataFrame:

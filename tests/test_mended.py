@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import decisions, texts
+from larkspur.operators import chunking, joins
 from larkspur.sources import delimited
 
 
@@ -57,3 +58,21 @@ def test_test_commands_and_exit_codes(spark):
     }
     found = spark.createDataFrame([(o,) for o in outputs], "o string").select(texts.exit_code(F.col("o"))).collect()
     assert [r[0] for r in found] == list(outputs.values())
+
+
+def test_ties_of_overlaps_go_to_the_first_turn(spark):
+    left = spark.createDataFrame([(1, 0.0, 10.0), (2, 20.0, 21.0)], "id long, start double, end double")
+    right = spark.createDataFrame([("zoe", 0.0, 2.0), ("adam", 2.0, 6.0), ("zoe", 6.0, 8.0)], "label string, start double, end double")
+    assert {r.id: (r.label, r.seconds) for r in joins.best_overlap(left, right, 3.0).collect()} == {1: ("zoe", 4.0), 2: (None, None)}
+
+
+def test_upsert_of_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a")], "k long, name string")
+    new = spark.createDataFrame([(1, "b"), (1, "c"), (2, None), (2, "d")], "k long, name string")
+    assert sorted(map(tuple, joins.upsert(old, new, ["k"]).collect())) == [(1, "c", "updated"), (2, "d", "created")]
+
+
+def test_places_in_a_hot_key(spark):
+    rows = [("hot", i) for i in range(3000)] + [(None, i) for i in range(50)] + [(f"k{i}", i) for i in range(40)]
+    found = chunking.numbered(spark.createDataFrame(rows, "k string, o int").repartition(7), "k", "o")
+    assert all(r["_i"] == (0 if r.k and r.k != "hot" else r.o) for r in found.collect()) and found.count() == len(rows)

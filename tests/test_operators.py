@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import decisions, numbers, texts
-from larkspur.operators import chunking, finance, joins, retrieval
+from larkspur.operators import chunking, finance, joins, passages, retrieval
 from larkspur.plans import ledger_reports
 from larkspur.plans.registry import QUERIES
 from larkspur.sources import delimited, notes, transcripts
@@ -104,12 +104,12 @@ def test_months(spark):
 
 def test_chunks():
     text = "# A\n\n" + "\n\n".join(f"Paragraph {i} " + "word " * 60 for i in range(30)) + "\n\n## A1\n\n```py\n# no heading\n" + "x = 1\n" * 900 + "```\n\n# B\n\nend"
-    found = chunking.chunks(text)
-    assert all(chunking.tokens(c) <= 500 for _, c in found)
+    found = [(p["heading"], p["content"]) for p in passages.passages(text)]
+    assert all(passages.tokens(c) <= 500 for _, c in found)
     assert {h for h, _ in found} >= {"A", "A > A1"}
     assert sum(c.count("x = 1") for _, c in found) >= 900 and all(c.count("```") % 2 == 0 for _, c in found if "x = 1" in c)
     assert all(f"Paragraph {i} " in " ".join(c for _, c in found) for i in range(30))
-    assert chunking.chunks(None) == [] and chunking.chunks("") == []
+    assert passages.passages(None) == [] and passages.passages("") == []
 
 
 def test_fill_and_reduce(spark):
