@@ -107,10 +107,12 @@ def text_search(docs: DataFrame, all_of: list[str], none_of: list[str] | None =
     return found.where(fits).select("id", F.size("t").cast("long").alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def fused(lists: DataFrame, k: int = 60) -> DataFrame:
-    """id, score: reciprocal-rank fusion of (list, place, id), the sum of 1 / (k + place); ties by the first list, then place."""
+def fused(lists: DataFrame, k: int = 60, by: list[str] | None = None) -> DataFrame:
+    """id, score: reciprocal-rank fusion of (list, place, id), the sum of 1 / (k + place); ties by the first list, then
+    place. by: columns that are fused apart, such as a query's."""
+    by = by or []
     score = F.round(F.sum(1.0 / (k + F.col("place"))), 6)
-    return lists.groupBy("id").agg(score.alias("score"), F.min(F.struct("list", "place")).alias("first")).orderBy(F.desc("score"), "first").select("id", "score")
+    return lists.groupBy(*by, "id").agg(score.alias("score"), F.min(F.struct("list", "place")).alias("first")).orderBy(*by, F.desc("score"), "first").select(*by, "id", "score")
 
 
 def live(memories: DataFrame, now: Column) -> DataFrame:

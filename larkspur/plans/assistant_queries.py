@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import numbers, texts
-from larkspur.operators import bench, finance, knowledge, search
+from larkspur.operators import answers, bench, finance, knowledge, search
 from larkspur.plans.registry import query, table
 
 BENCH = """WITH e AS (SELECT *, CAST(props ->> '$.k' AS INT) AS k FROM events),
@@ -210,3 +210,18 @@ def scalar_checks(spark, sf_dir):
     i = F.col("page_id")
     part = F.coalesce(F.try_element_at(F.split("url", "/"), F.lit(4)), F.lit(""))
     return table(spark, sf_dir, "pages").select("page_id", texts.is_uri(F.col("url")).alias("is_uri"), texts.is_slug(part).alias("is_slug"), numbers.grown(F.lit(1000.0), F.lit(0.1), i, F.lit(0.15)).alias("grown"))
+
+
+ANSWER_SCHEMA = {"type": "object", "required": ["k", "who"], "properties": {"k": {"type": "integer", "minimum": 10, "maximum": 80}}}
+
+
+@query("schema_checks", """
+WITH e AS (SELECT event_id, CAST(props ->> '$.k' AS INT) AS k, event_id % 3 AS r FROM events),
+f AS (SELECT *, r < 2 AS whole, CASE WHEN r < 2 THEN [] ELSE ['<root>: ''who'' is a required property'] END || CASE WHEN k < 10 THEN ['k: ' || k || ' is less than the minimum of 10'] WHEN k > 80 THEN ['k: ' || k || ' is greater than the maximum of 80'] ELSE [] END AS faults FROM e)
+SELECT event_id, r > 0 AND len(faults) = 0 AS valid, CASE WHEN r > 0 AND len(faults) = 0 THEN '{"k": ' || k || ', "who": "u"}' ELSE '' END AS value,
+  CASE WHEN r = 0 THEN 'no JSON value found in the answer' ELSE array_to_string(faults, '; ') END AS errors FROM f""")
+def schema_checks(spark, sf_dir):
+    k, r = F.get_json_object("props", "$.k"), F.col("event_id") % 3
+    text = F.when(r == 0, F.concat(F.lit("k is "), k)).when(r == 1, F.concat(F.lit('So [it] is {"k": '), k, F.lit(', "who": "u"}, I think {'))).otherwise(F.concat(F.lit('```json\n{"k": '), k, F.lit("}\n```")))
+    found = answers.schema_checks(table(spark, sf_dir, "events").select("event_id", text.alias("text")), ANSWER_SCHEMA, "event_id")
+    return found.select("event_id", "valid", F.coalesce("value", F.lit("")).alias("value"), F.array_join("errors", "; ").alias("errors"))

@@ -55,15 +55,18 @@ def text_search(spark, sf_dir):
     return retrieval.text_search(docs, ["the", "that"], ["moron"], ["shin"], 20)
 
 
-@query("rrf_hybrid", f"""WITH {VECTOR}, {TEXT}, l AS (SELECT 0 AS list, place, id FROM vk WHERE query = 0
-  UNION ALL SELECT 1, row_number() OVER (ORDER BY score DESC, id), id FROM (SELECT * FROM tk ORDER BY score DESC, id LIMIT 20))
-SELECT id, round(sum(1.0::DOUBLE / (60 + place)), 6) AS score FROM l GROUP BY id""")
+@query("rrf_hybrid", f"""WITH {VECTOR}, {TEXT}, x AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS place, id FROM (SELECT * FROM tk ORDER BY score DESC, id LIMIT 20)),
+l AS (SELECT query, place, id FROM vk UNION ALL SELECT query, x.place, x.id FROM (SELECT DISTINCT query FROM vk), x)
+SELECT query, id, round(sum(1.0::DOUBLE / (60 + place)), 6) AS score FROM l GROUP BY query, id""")
 def rrf_hybrid(spark, sf_dir):
-    vector = retrieval.nearest(_vectors(spark, sf_dir), _queries(spark, sf_dir).where("id = 0"), 20).select(F.lit(0).alias("list"), "place", "id")
+    """Every query vector's list fused with the list of one text query."""
+    vector = retrieval.nearest(_vectors(spark, sf_dir), _queries(spark, sf_dir), 20).select("query", F.lit(0).alias("list"), "place", "id")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     found = retrieval.text_search(docs, ["the", "that"], ["moron"], ["shin"], 20)
     place = F.row_number().over(retrieval.Window.orderBy(F.desc("score"), "id"))  # 20 rows
-    return retrieval.fused(vector.unionByName(found.select(F.lit(1).alias("list"), place.alias("place"), "id")))
+    text = found.select(F.lit(1).alias("list"), place.alias("place"), "id")
+    own = _queries(spark, sf_dir).select(F.col("id").alias("query"), F.lit(1).alias("list")).join(F.broadcast(text), "list")  # 20 rows
+    return retrieval.fused(vector.unionByName(own.select("query", "list", "place", "id")), by=["query"])
 
 
 @query("term_counts", f"SELECT term, count(*) AS docs, sum(n)::BIGINT AS n FROM (SELECT doc_id, unnest({TERMS}) AS term, 1 AS n FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) > 50".replace("count(*) AS docs", "count(DISTINCT doc_id) AS docs"))

@@ -156,10 +156,10 @@ def since(rows: DataFrame, column: str, start: datetime | None, key: str) -> Dat
 
 
 def event_stream(lines: DataFrame, terminal: tuple[str, ...] = ("run.completed", "run.failed", "run.cancelled")) -> DataFrame:
-    """run, tools, status of server-sent events: `data:` lines (run, n, line) of JSON with a type, up to the first
+    """run, tools, status of server-sent events: `data:` lines (run, n, line) of JSON that names its event (or type), up to the first
     terminal one; tools counts tool.started, status is the terminal type or null."""
     body = F.regexp_extract("line", r"^data:\s?(.*)$", 1)
-    rows = lines.where(F.startswith("line", F.lit("data:"))).select("run", "n", F.get_json_object(body, "$.type").alias("type"))
+    rows = lines.where(F.startswith("line", F.lit("data:"))).select("run", "n", F.coalesce(F.get_json_object(body, "$.event"), F.get_json_object(body, "$.type")).alias("type"))
     ends = rows.where(F.col("type").isin(*terminal)).groupBy("run").agg(F.min(F.struct("n", "type")).alias("end"))
     own = rows.join(ends, "run", "left").where(F.col("end.n").isNull() | (F.col("n") <= F.col("end.n")))
     return own.groupBy("run").agg(F.count_if(F.col("type") == "tool.started").alias("tools"), F.max("end.type").alias("status"))

@@ -168,3 +168,59 @@ def cached(requests: DataFrame, ts: str, ttl: int, late: str = "10 minutes") ->
     stream. Requests of a batch are read in order of time; an answer's state goes when its time is over."""
     rows = requests.withWatermark(ts, late).selectExpr("id", "key", f"CAST(unix_timestamp({ts}) AS LONG) AS at", "needs_human", "failed", ts).where("key IS NOT NULL")
     return rows.groupBy("key").transformWithStateInPandas(Answers(ttl), "id long, key string, cached boolean", "Append", "EventTime")
+
+
+RUN = "run string, tools long, status string, ended boolean"
+
+
+class Runs(StatefulProcessor):
+    """The lines of a run of server-sent events: tool starts up to the first terminal event, in the order of their
+    numbers, in whatever order they come. A run leaves the state when it was silent for a while."""
+
+    def __init__(self, terminal: tuple[str, ...], idle: int):
+        self.terminal, self.idle = terminal, idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.tools = handle.getMapState("tools", "n long", "seen boolean")
+        self.end = handle.getValueState("end", "n long, type string, at long")
+
+    def _row(self, key: tuple, end: tuple, ended: bool) -> pd.DataFrame:
+        count = sum(1 for k in self.tools.keys() if end[0] is None or k[0] < end[0])  # noqa: SIM118
+        return pd.DataFrame({"run": [key[0]], "tools": [count], "status": pd.Series([end[1]], dtype="object"), "ended": [ended]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, kind, last = self.end.get() if self.end.exists() else (None, None, 0)
+        for batch in rows:
+            for at, place, name in zip(batch["at"], batch["n"], batch["type"], strict=True):
+                last = max(last, int(at))
+                if name in self.terminal and (n is None or place < n):
+                    n, kind = int(place), name
+                elif name == "tool.started" and (n is None or place < n):
+                    self.tools.updateValue((int(place),), (True,))
+        for k in [k[0] for k in self.tools.keys()]:  # noqa: SIM118
+            if n is not None and k > n:
+                self.tools.removeKey((k,))
+        self.end.update((n, kind, last))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+        self.handle.registerTimer((last + self.idle) * 1000)
+        yield self._row(key, (n, kind), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        row = self._row(key, self.end.get()[:2] if self.end.exists() else (None, None), True)
+        self.tools.clear()
+        self.end.clear()
+        yield row
+
+    def close(self) -> None:
+        pass
+
+
+def run_events(lines: DataFrame, ts: str, terminal: tuple[str, ...] = ("run.completed", "run.failed", "run.cancelled"), idle: int = 3_600, late: str = "10 minutes") -> DataFrame:
+    """`files.event_stream` as a stream: lines (run, n, line, and a time ts) become run, tools, status and ended, after
+    each batch that told of the run and once more when it leaves the state. Lines that are no data are left out."""
+    body = "regexp_extract(line, '^data:\\\\s?(.*)$', 1)"
+    kind = f"coalesce(get_json_object({body}, '$.event'), get_json_object({body}, '$.type'))"
+    rows = lines.withWatermark(ts, late).where("line LIKE 'data:%'").selectExpr("CAST(run AS STRING) AS run", "CAST(n AS LONG) AS n", f"{kind} AS type", f"CAST(unix_timestamp({ts}) AS LONG) AS at", ts)
+    return rows.groupBy("run").transformWithStateInPandas(Runs(terminal, idle), RUN, "Update", "EventTime")
