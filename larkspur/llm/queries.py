@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import bpe, chat, clustering, decontaminate, fingerprints, html_text, periodic, quality, recompression, simhash, suffix_array, token_files, warc
@@ -12,8 +11,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers  # the other queries do without
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.digests(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +31,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.digests(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,26 @@ def test_stages(spark, sf):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect()), key=str) == expected
 
 
+def test_run_on_hard_cases(spark, tmp_path):
+    """Nulls, ties, repeated rows, empty, blank and long texts and clashing columns, through all stages."""
+    prose = lambda n, tag: " ".join(f"{tag}{i} and{'.' * (i % 8 == 7)}" for i in range(n)) + "."
+    passage = " ".join(f"test{i}" for i in range(12))
+    rows = [*documents(), (2000, prose(90, "a"), "en", "s", 1), (2000, prose(90, "b"), "en", "s", 1), (2001, prose(90, "a"), None, None, None), (2001, prose(90, "a"), None, None, None),
+            (None, prose(90, "c"), "en", "s", 1), (None, prose(90, "d"), "en", "s", 1), (2002, prose(90, "e") + " " + passage + ".", "en", "s", 1), (2003, prose(60_000, "f"), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "fp").withColumnRenamed("source", "_lk_text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("i", passage), (None, None)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = sorted((-1 if r.doc_id is None else r.doc_id) for r in found)
+    assert [i for i in ids if i >= 2000 or i < 0] == [-1, -1, 2000, 2000, 2003]  # 2001 copies a 2000, 2002 holds a test item
+    assert all(judged(t)[-1] is False for _, t, *_ in documents() if not words(t))
+    assert next(r.n_tokens for r in found if r.doc_id == 2003) > 60_000
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    empty = corpus_pipeline.run(spark, f"{tmp_path}/empty")
+    assert empty.count() == 0 and empty.columns == corpus_pipeline.run(spark, str(tmp_path)).columns
+
+
 def test_tokenizer_is_the_librarys():
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     assert Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).get_vocab_size() == 49_408
