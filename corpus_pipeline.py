@@ -8,11 +8,16 @@ shared folder and read again as the next one's input, so no lineage outlives a s
 3. repeated_passages: bytes of passages that a smaller id has too leave, in whole characters.
 4. decontamination: documents with a window of a benchmark item go.
 5. encoding: doc_id, n_tokens and digests of the ids and of the decoded text.
+
+Defined cases: null, empty and blank texts fail the first stage; rows with a null id are documents like any other, and
+stay as the one of their component only where it has no row with an id; of rows with equal ids and texts, or of a
+component's rows with the same smallest id, one stays, chosen by hashes; an empty table gives an empty result with the
+columns of encoding; other columns pass through all stages but the last, whatever their names, and n_chars is counted
+anew by stages that change texts. Texts of any length are worked on whole, each in one task.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import bpe, decontaminate, quality, simhash, suffix_array
@@ -39,6 +44,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this stage needs it
+
     return bpe.digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
