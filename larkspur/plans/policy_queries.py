@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import decisions
+from larkspur.sources import policies
 from larkspur.plans.registry import query, table
 
 
@@ -89,3 +90,29 @@ def tool_categories(spark, sf_dir):
 def row_problems(spark, sf_dir):
     found = decisions.problems([(F.col("value") > 10, "small"), (F.col("event_type") != "error", "error")])
     return table(spark, sf_dir, "events").select("event_id", F.array_join(found, ",").alias("problems"))
+
+
+@query("policy_faults", """
+WITH p AS (SELECT p_brand AS policy, p_type AS model, p_size, p_partkey FROM part),
+m AS (SELECT policy, model, max(p_size % 7) + 1 AS tier FROM p WHERE p_partkey % 20 = 0 GROUP BY 1, 2),
+s AS (SELECT policy, p_size % 5 AS c, max(model) AS model FROM p WHERE p_partkey % 3 = 0 GROUP BY 1, 2),
+x AS (SELECT policy, v AS complexity, i - 1 AS c FROM (SELECT DISTINCT policy FROM p), (SELECT unnest(['trivial', 'simple', 'medium', 'hard', 'critical']) AS v, generate_subscripts(['trivial', 'simple', 'medium', 'hard', 'critical'], 1) AS i)),
+d AS (SELECT policy, max(model) AS model FROM p GROUP BY 1)
+SELECT policy, 'default_model' AS place, 'unknown model ' || model AS fault FROM d WHERE NOT EXISTS (FROM m WHERE m.policy = d.policy AND m.model = d.model)
+UNION ALL SELECT policy, 'task_types.code.' || complexity, 'missing' FROM x WHERE NOT EXISTS (FROM s WHERE s.policy = x.policy AND s.c = x.c)
+UNION ALL SELECT s.policy, 'task_types.code.' || complexity, 'unknown model ' || s.model FROM s JOIN x ON x.policy = s.policy AND x.c = s.c WHERE NOT EXISTS (FROM m WHERE m.policy = s.policy AND m.model = s.model)
+UNION ALL SELECT policy, 'ladder', 'empty' FROM d
+UNION ALL SELECT policy, 'domain_agent.work', 'missing' FROM d WHERE length(model) % 2 = 0""")
+def policy_faults(spark, sf_dir):
+    """Policies made of the parts of each brand: its types are models, some of which are left out."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("policy"), F.col("p_type").alias("model"), "p_size", "p_partkey")
+    named = F.element_at(F.array(*map(F.lit, policies.COMPLEXITIES)), (F.col("p_size") % 5 + 1).cast("int"))
+    models = p.where("p_partkey % 20 = 0").groupBy("policy", "model").agg((F.max(F.col("p_size") % 7) + 1).alias("tier"))
+    models = models.groupBy("policy").agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct("tier")))).alias("models"))
+    starts = p.where("p_partkey % 3 = 0").groupBy("policy", named.alias("c")).agg(F.max("model").alias("model"))
+    starts = starts.groupBy("policy").agg(F.map_from_entries(F.collect_list(F.struct("c", "model"))).alias("starts"))
+    whole = p.groupBy("policy").agg(F.max("model").alias("default_model")).join(models, "policy", "left").join(starts, "policy", "left")
+    code = F.create_map(F.lit("code"), F.struct(F.lit("none").alias("validator"), F.col("starts").alias("tier_by_complexity")))
+    agents = F.when(F.length("default_model") % 2 == 1, F.create_map(F.lit("work"), F.lit("w"))).alias("domain_agent")
+    body = F.to_json(F.struct("default_model", "models", code.alias("task_types"), agents))
+    return policies.faults(whole.select("policy", body.alias("body")), ["work"])
