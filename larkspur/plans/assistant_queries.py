@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import numbers, texts
-from larkspur.operators import answers, bench, finance, knowledge, search
+from larkspur.operators import answers, bench, contexts, finance, knowledge, search
 from larkspur.plans.registry import query, table
 
 BENCH = """WITH e AS (SELECT *, CAST(props ->> '$.k' AS INT) AS k FROM events),
@@ -225,3 +225,24 @@ def schema_checks(spark, sf_dir):
     text = F.when(r == 0, F.concat(F.lit("k is "), k)).when(r == 1, F.concat(F.lit('So [it] is {"k": '), k, F.lit(', "who": "u"}, I think {'))).otherwise(F.concat(F.lit('```json\n{"k": '), k, F.lit("}\n```")))
     found = answers.schema_checks(table(spark, sf_dir, "events").select("event_id", text.alias("text")), ANSWER_SCHEMA, "event_id")
     return found.select("event_id", "valid", F.coalesce("value", F.lit("")).alias("value"), F.array_join("errors", "; ").alias("errors"))
+
+
+@query("contexts")
+def compiled_contexts(spark, sf_dir):
+    """A context for every vector whose id is divisible by 50, of all vectors as memories and the documents of its id's
+    neighbourhood as hits."""
+    i = F.col("vec_id")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    scope = pick(["global", "domain", "project"], i)
+    rows = table(spark, sf_dir, "embeddings").select(
+        i.alias("id"), pick(["a", "b", "shared"], F.col("label")).alias("tenant"), scope.alias("scope"), F.when(scope == "domain", pick(["x", "y"], F.col("label"))).alias("domain"),
+        F.when(scope == "project", pick(["p", "q"], F.col("label"))).alias("project"), pick([*contexts.STANDING, *contexts.DECISIONS, "fact"], F.floor(i / 3)).alias("kind"),
+        F.concat(F.lit("memory "), i.cast("string")).alias("content"), ((i % 11) / 10).alias("importance"), i.alias("created_at"), F.col("embedding").alias("vector"),
+    )
+    asked = rows.where("id % 50 = 0")
+    requests = asked.select(
+        F.col("id").alias("request"), F.array(F.col("tenant"), F.lit("shared")).alias("tenants"), F.lit("x").alias("domain"), F.lit("p").alias("project"), F.col("content").alias("task"), F.lit(None).cast("string").alias("project_text"), "vector", F.lit(300).alias("budget")
+    )
+    docs = table(spark, sf_dir, "documents").select((F.floor(F.col("doc_id") / 50) * 50).alias("request"), F.col("doc_id").alias("id"), F.col("text").alias("content"), texts.snippet(F.col("text")).alias("snippet"), (F.col("doc_id") % 50).cast("double").alias("score"))
+    found = contexts.compiled(rows, requests, docs.join(requests.select("request"), "request", "left_semi"))
+    return found.select("request", "used", "dropped", F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["bucket"], x["id"], x["cost"])), " ").alias("items"))
