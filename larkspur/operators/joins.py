@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.numbers import MARKED, PLAIN
+
 
 def _overlaps(left: DataFrame, right: DataFrame, bucket_seconds: float, keys: list[str]) -> DataFrame:
     """keys, id, label, seconds and r_start of the pairs of `overlap_join`."""
@@ -53,6 +57,23 @@ def categorize(rows: DataFrame, rules: list[tuple[str, str]], text: Column) -> D
     return rows.select("*", best["category"].alias("category"), best["rule"].alias("rule"))
 
 
+def rule_pattern(raw: str) -> str:
+    """The pattern of a rule as people write it, for folded text: "re:" and a pattern, or words that stand alone, so that
+    "uber" isn't found in "uberlandia"."""
+    if raw.startswith("re:"):
+        return raw[3:].strip()
+    folded = raw.lower().translate(str.maketrans(MARKED, PLAIN)).strip()
+    return f"(?<![a-z0-9]){re.escape(folded)}(?![a-z0-9])"
+
+
+def categorize_typed(rows: DataFrame, rules: list[tuple[str, str]], text: Column) -> DataFrame:
+    """rows with category and rule (as written) by rules of `rule_pattern`, over the text in lower case without marks."""
+    patterns = {rule_pattern(raw): raw for _, raw in reversed(rules)}
+    found = categorize(rows, [(c, rule_pattern(raw)) for c, raw in rules], F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN))
+    names = F.create_map(*[F.lit(x) for pair in patterns.items() for x in pair])
+    return found.withColumn("rule", F.try_element_at(names, "rule"))
+
+
 def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows of left without a row of right that is equal in `on`; each row of right answers for any number of them."""
     return left.join(right.select(*on).distinct(), on, "left_anti")

@@ -18,6 +18,11 @@ def store_stats(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def last_ingests(events: DataFrame, source: str = "kb", kind: str = "kb.ingest") -> DataFrame:
+    """tenant and the time of its last ingest, of events (tenant, source, type, occurred_at)."""
+    return events.where((F.col("source") == source) & (F.col("type") == kind)).groupBy("tenant").agg(F.max("occurred_at").alias("last_ingest"))
+
+
 def ingest_actions(incoming: DataFrame, store: DataFrame, can_prune: bool = True) -> DataFrame:
     """uri, action: what an ingest does with each file and with stored documents that are gone.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import merges, routing
+from larkspur.operators import joins, knowledge, merges, routing
 from larkspur.plans.registry import query, table
 
 APPROVALS = """WITH e AS (SELECT event_id, user_id % 40 AS s, CASE event_id % 3 WHEN 0 THEN 'tier' WHEN 1 THEN 'tool' ELSE 'cost' END AS kind, CASE WHEN event_id % 4 > 0 THEN 'm' || event_id % 5 END AS model, floor(epoch(ts))::BIGINT AS t FROM events),
@@ -96,3 +96,33 @@ def planned_cascade(spark, sf_dir):
     backends = {"rule": says(F.col("v")), "model": says(1 - F.col("v")), "vision": says(F.lit(0.3).cast("double"))}
     told = routing.planned_cascade(questions, backends, 0.6).select("question", "backend", "asked", "needs_human")
     return told.join(questions.select("question", F.array_join("plan", ",").alias("plan")), "question")
+
+
+@query("last_ingests", """
+SELECT 't' || user_id % 4 AS tenant, max(floor(epoch(ts))::BIGINT) AS last_ingest FROM events WHERE event_id % 3 > 0 AND event_type = 'signup' GROUP BY 1""")
+def last_ingests(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("t"), (F.col("user_id") % 4).cast("string")).alias("tenant"), F.when(F.col("event_id") % 3 > 0, "kb").otherwise("web").alias("source"),
+        F.when(F.col("event_type") == "signup", "kb.ingest").otherwise(F.col("event_type")).alias("type"), F.unix_timestamp("ts").alias("occurred_at"),
+    )
+    return knowledge.last_ingests(rows)
+
+
+@query("memories_listed", """
+SELECT vec_id AS id, (vec_id % 11) / 10 AS importance, label AS created_at FROM embeddings ORDER BY importance DESC, created_at DESC, id LIMIT 100""")
+def memories_listed(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), ((F.col("vec_id") % 11) / 10).alias("importance"), F.col("label").alias("created_at"))
+    return merges.memories_listed(rows)
+
+
+TYPED_RULES = [("article", "The"), ("pair", "of the"), ("and", "and"), ("odd", "re: sh[aeiou]{2,}n"), ("french", "\u00e0 l\u00e0")]
+
+
+@query("typed_categories", """
+WITH d AS (SELECT doc_id, translate(lower(coalesce(text, '')), '\u00e1\u00e0\u00e2\u00e3\u00e4\u00e5\u00e9\u00e8\u00ea\u00eb\u00ed\u00ec\u00ee\u00ef\u00f3\u00f2\u00f4\u00f5\u00f6\u00fa\u00f9\u00fb\u00fc\u00fd\u00ff\u00e7\u00f1', 'aaaaaaeeeeiiiiooooouuuuyycn') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract(t, 'sh[aeiou]{2,}n') AS odd, regexp_matches(t, '(^|[^a-z0-9])of the($|[^a-z0-9])') AS pair, regexp_matches(t, '(^|[^a-z0-9])the($|[^a-z0-9])') AS article,
+  regexp_matches(t, '(^|[^a-z0-9])and($|[^a-z0-9])') AS y, regexp_matches(t, '(^|[^a-z0-9])a la($|[^a-z0-9])') AS french FROM d)
+SELECT doc_id, CASE WHEN pair AND length(odd) <= 6 THEN 'pair' WHEN odd <> '' THEN 'odd' WHEN french THEN 'french' WHEN article THEN 'article' WHEN y THEN 'and' END AS category FROM m""")
+def typed_categories(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return joins.categorize_typed(docs, TYPED_RULES, F.col("text")).select("doc_id", "category")

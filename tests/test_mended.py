@@ -76,3 +76,10 @@ def test_places_in_a_hot_key(spark):
     rows = [("hot", i) for i in range(3000)] + [(None, i) for i in range(50)] + [(f"k{i}", i) for i in range(40)]
     found = chunking.numbered(spark.createDataFrame(rows, "k string, o int").repartition(7), "k", "o")
     assert all(r["_i"] == (0 if r.k and r.k != "hot" else r.o) for r in found.collect()) and found.count() == len(rows)
+
+
+def test_typed_rules_stand_alone(spark):
+    rows = spark.createDataFrame([("UBER *trip",), ("Uberlandia",), ("p\u00e3o de a\u00e7\u00facar 12",), ("paodeacucar",), ("a-b",), (None,), ("taxi 99",)], "text string")
+    rules = [("ride", "uber"), ("food", "P\u00e3o de A\u00e7\u00facar"), ("dash", "a-b"), ("cab", r"re: taxi \d+")]
+    found = joins.categorize_typed(rows, rules, F.col("text")).collect()
+    assert [r.category for r in found] == ["ride", None, "food", None, "dash", None, "cab"] and found[2].rule == "P\u00e3o de A\u00e7\u00facar"
