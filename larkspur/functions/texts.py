@@ -68,17 +68,17 @@ def answer_numbers(text: Column) -> Column:
     return F.regexp_replace(out, r"(?<=[0-9]),(?=[0-9]{1,2}\b)", ".")
 
 
-# The commands that run tests, and how an output names its exit code.
+# The common commands that run tests, and how an output names its exit code.
 TEST_COMMANDS = [
     "go test", "pytest", "uv run pytest", "npm (run )?test", "pnpm (run )?test", "yarn test", "cargo test", "make (test|check)",
-    "vitest", "jest", "aios-check", "aios-task-check", "python3? -m (pytest|unittest)",
+    "vitest", "jest", "python3? -m (pytest|unittest)",
 ]
 EXIT_CODE = r"(?i)(?:exit[_ ]code|exit status|Exit code)[\"':= ]+(-?\d+)"
 
 
-def is_test_command(command: Column) -> Column:
-    """Does a shell command run a project's tests?"""
-    return F.coalesce(command, F.lit("")).rlike(rf"\b({'|'.join(TEST_COMMANDS)})\b")
+def is_test_command(command: Column, own: tuple[str, ...] = ()) -> Column:
+    """Does a shell command run a project's tests? own: patterns of a platform's own checkers, which count as well."""
+    return F.coalesce(command, F.lit("")).rlike(rf"\b({'|'.join([*TEST_COMMANDS, *own])})\b")
 
 
 def exit_code(output: Column) -> Column:

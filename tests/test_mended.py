@@ -52,6 +52,8 @@ def test_test_commands_and_exit_codes(spark):
     commands = ["npx jest --ci", "vitest run", "pnpm run test", "uv run pytest -x", "python -m unittest", "cd a && make check", "echo contest", "testing", None]
     found = spark.createDataFrame([(c,) for c in commands], "c string").select(texts.is_test_command(F.col("c"))).collect()
     assert [r[0] for r in found] == [True] * 6 + [False] * 3
+    own = spark.createDataFrame([("our-check --json x",), ("ourcheck",)], "c string").select(texts.is_test_command(F.col("c"), ("our-check",))).collect()
+    assert [r[0] for r in own] == [True, False]
     outputs = {
         "exit code 1 ... exit code: 2": 1, 'said "exit_code": 7': 7, "Exit status -3": -3, "all good": 0, json.dumps({"exit_code": 3, "output": "exit code 9"}): 3, json.dumps({"returncode": 4}): 4,
         json.dumps({"exit_code": None, "returncode": 4}): 0, json.dumps({"output": "exit code 9"}): 0, json.dumps({"exit_code": "5"}): 5, json.dumps({"exit_code": "bad", "x": "exit code 8"}): 8, json.dumps([1]): 0, None: 0, "": 0,
