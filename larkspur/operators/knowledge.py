@@ -71,7 +71,7 @@ def compiled(memories: DataFrame, hits: DataFrame, budget: int, task: str = "",
     cost = lambda text: F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4.0).cast("int") + overhead
     bucket = (
         F.when(F.col("kind").isin("rule", "constraint"), 0).when((F.col("scope") == "global") & F.col("kind").isin("preference", "working_style", "communication"), 1)
-        .when(F.col("kind").isin("decision"), 2).otherwise(3)
+        .when(F.col("kind").isin("decision", "architecture"), 2).otherwise(3)
     )
     item = "struct<bucket:int,order:double,id:bigint,content:string,other:string>"
     mine = memories.select(F.struct(bucket.alias("bucket"), (-rank(F.col("similarity"), F.col("importance"))).alias("order"), F.col("id").cast("long").alias("id"), "content", F.col("content").alias("other")).cast(item).alias("x"))
