@@ -34,12 +34,12 @@ def overlap_join(left: DataFrame, right: DataFrame, bucket_seconds: float, keys:
     return _overlaps(left, right, bucket_seconds, keys or []).drop("r_start")
 
 
-def best_overlap(left: DataFrame, right: DataFrame, bucket_seconds: float = 60.0, keys: list[str] | None = None) -> DataFrame:
+def best_overlap(left: DataFrame, right: DataFrame, bucket_seconds: float = 60.0, keys: list[str] | None = None, earliest: bool = True) -> DataFrame:
     """Each left interval with the label that it overlaps most in total; ties go to the label whose first overlapping
-    interval starts first, then to the smaller label; null without one."""
+    interval starts first (where earliest), then to the smaller label; null without one."""
     keys = keys or []
     total = _overlaps(left, right, bucket_seconds, keys).groupBy(*keys, "id", "label").agg(F.round(F.sum("seconds"), 6).alias("seconds"), F.min("r_start").alias("_first"))
-    order = Window.partitionBy(*keys, "id").orderBy(F.col("seconds").desc(), "_first", "label")
+    order = Window.partitionBy(*keys, "id").orderBy(F.desc("seconds"), *(["_first"] if earliest else []), "label")
     best = total.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_first")
     return left.select(*keys, "id").join(best, [*keys, "id"], "left")
 

@@ -70,7 +70,7 @@ def overlap_join(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     segments = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("id"), F.col("at").alias("start"), (F.col("at") + F.col("value")).alias("end"))
     turns = events.where("event_type <> 'view'").select("user_id", F.col("event_type").alias("label"), (F.col("at") - 60).alias("start"), (F.col("at") + 3600).alias("end"))
-    return joins.best_overlap(segments, turns, 600.0, ["user_id"]).withColumn("seconds", F.round("seconds", 3))
+    return joins.best_overlap(segments, turns, 600.0, ["user_id"], earliest=False).withColumn("seconds", F.round("seconds", 3))
 
 
 RULES = [("transport", "the"), ("food", "tion[a-z]*"), ("home", "er[a-z]+"), ("other", "[a-z]+ing")]

@@ -1,12 +1,15 @@
 """Cases that went wrong once: packed files, null permissions, exit codes."""
 
 import json
+from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import decisions, texts
 from larkspur.operators import chunking, joins
+from larkspur.plans.registry import QUERIES, SQL
 from larkspur.sources import delimited
 
 
@@ -68,6 +71,17 @@ def test_ties_of_overlaps_go_to_the_first_turn(spark):
     assert {r.id: (r.label, r.seconds) for r in joins.best_overlap(left, right, 3.0).collect()} == {1: ("zoe", 4.0), 2: (None, None)}
 
 
+def test_ties_of_overlaps_as_in_sql(spark, tmp_path):
+    at = lambda s: datetime(2024, 1, 1, 12) + timedelta(seconds=s)
+    rows = [(1, at(0), 1, "view", 10.0), (2, at(-20), 1, "signup", 0.0), (3, at(-10), 1, "error", 0.0), (4, at(9000), 1, "view", 5.0), (5, at(0), None, "view", 5.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        expected = duck.execute(f"SELECT id, label, seconds FROM ({SQL['overlap_join']}) ORDER BY id").fetchall()
+    found = [tuple(r) for r in QUERIES["overlap_join"](spark, str(tmp_path)).select("id", "label", "seconds").orderBy("id").collect()]
+    assert found == expected == [(1, "error", 10.0), (4, None, None), (5, None, None)]
+
+
 def test_upsert_of_repeated_keys(spark):
     old = spark.createDataFrame([(1, "a")], "k long, name string")
     new = spark.createDataFrame([(1, "b"), (1, "c"), (2, None), (2, "d")], "k long, name string")
