@@ -75,8 +75,13 @@ def categorize_typed(rows: DataFrame, rules: list[tuple[str, str]], text: Column
 
 
 def unmatched(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of left without a row of right that is equal in `on`; each row of right answers for any number of them."""
-    return left.join(right.select(*on).distinct(), on, "left_anti")
+    """Rows of left without a row of right that is equal in `on`; each row of right answers for any number of them.
+
+    Keys are dealt into as many parts as the session's shuffles have, which aren't put together again, so what is held
+    and sorted at a time, here and where the rest is counted by `on`, falls with that number. Equal keys of right meet
+    only there: no task holds a whole file's keys."""
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.join(right.select(*on).repartition(parts, *on).distinct(), on, "left_anti")
 
 
 def insert_if_absent(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:

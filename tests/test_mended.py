@@ -82,6 +82,19 @@ def test_ties_of_overlaps_as_in_sql(spark, tmp_path):
     assert found == expected == [(1, "error", 10.0), (4, None, None), (5, None, None)]
 
 
+def test_parts_of_unmatched_stay_small(spark):
+    left = spark.createDataFrame([(i % 50, i % 3) for i in range(300)] + [(None, 1)], "a long, b long")
+    right = spark.createDataFrame([(i % 40, 1) for i in range(200)] + [(None, 1)], "a long, b long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = joins.unmatched(left, right, ["a", "b"])
+        assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        keys = {(i % 40, 1) for i in range(200)}
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(str(k) for k in [(i % 50, i % 3) for i in range(300)] + [(None, 1)] if k not in keys)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_upsert_of_repeated_keys(spark):
     old = spark.createDataFrame([(1, "a")], "k long, name string")
     new = spark.createDataFrame([(1, "b"), (1, "c"), (2, None), (2, "d")], "k long, name string")
