@@ -23,6 +23,8 @@ ENDINGS = [
     (r"\b([a-z]{2,}?)ns\b", "m"), (r"\b([a-z]{2,}?[rzl])es\b", ""), (r"\b([a-z]{2,}?[a-rt-z])s\b", ""), (r"\b([a-z]{3,}?)a?mente\b", ""),
     (r"\b([a-z]{4,}?)(?:ando|endo|indo|ado|ido|ada|ida|aram|eram|iram|avam|ava|iam|ia|ou|eu|iu|ar|er|ir|am|em)\b", ""), (r"\b([a-z]{3,}?)[aeo]\b", ""),
 ]
+#: The endings that each of these takes away, one list for each.
+SHED = [w.split() for w in ("oes", "aes aos", "ais", "eis", "ois", "is", "ns", "es", "s", "mente amente", "ando endo indo ado ido ada ida aram eram iram avam ava iam ia ou eu iu ar er ir am em", "a e o")]
 #: Letters at a word's start that no ending touches.
 FIRM = 2
 
@@ -34,6 +36,15 @@ def stem_of(word: str) -> str:
     return word
 
 
+def inflected(stem: str) -> list[str]:
+    """Every folded word that has this stem: the endings are put back from the last to the first."""
+    found = {stem}
+    for (pattern, ending), shed in reversed(list(zip(ENDINGS, SHED, strict=True))):
+        longer = {w[: len(w) - len(ending)] + e for w in found if w.endswith(ending) for e in shed}
+        found = {w for w in found | longer if re.sub(pattern, r"\1" + ending, w) in found}
+    return sorted(found)
+
+
 def stemmed(words: Column) -> Column:
     """A folded text with each word's stem in its place."""
     out = F.replace(words, F.lit("ß"), F.lit("ss"))
@@ -65,27 +76,60 @@ def folded(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, "[^a-z0-9ß]+", " ")), F.lit(" "))
 
 
-def matches(words: Column, alternatives: list[list[tuple[str, bool]]]) -> Column:
-    """Does a folded text satisfy one of the alternatives? A query without words finds nothing."""
-    one = lambda w, wanted: F.contains(words, F.lit(f" {w} ")) if wanted else ~F.contains(words, F.lit(f" {w} "))
+def lowered(text: Column) -> Column:
+    """A text in lower case, null as empty: what `matches` and `occurrences` read. A folded text does as well."""
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+LETTERS = f"a-z0-9ß{MARKED}"
+BETWEEN = f"[^{LETTERS}]+"
+
+
+def _letter(c: str) -> str:
+    return f"[{c}{''.join(m for m, p in zip(MARKED, PLAIN, strict=True) if p == c)}]" if c in PLAIN else c
+
+
+def _pattern(phrase: str) -> str:
+    """A folded word or phrase as it may stand in lower case, with marks. Its first letter is tried first."""
+    first, *words = _letter(phrase[0]), *("".join(map(_letter, w)) for w in phrase.split())
+    words[0] = words[0].removeprefix(first)
+    return f"{first}(?<![{LETTERS}]{first}){BETWEEN.join(words)}(?![{LETTERS}])"
+
+
+def _begins(letters: str) -> str:
+    """The first letters of a word whose ß count as ss."""
+    return f"(?<![{LETTERS}])" + ("(?:ss|ß)" if letters == "ss" else "".join("[sß]" if c == "s" else _letter(c) for c in letters))
+
+
+def bound(value: Column, use) -> Column:
+    """use of a value that is computed once, however often it is named: a one-element array binds it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def matches(text: Column, alternatives: list[list[tuple[str, bool]]]) -> Column:
+    """Does a text in lower case satisfy one of the alternatives? A query without words finds nothing."""
+    one = lambda w, wanted: text.rlike(_pattern(w)) if wanted else ~text.rlike(_pattern(w))
     return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [one(*x) for x in own]) for own in alternatives], F.lit(False))
 
 
-def occurrences(words: Column, alternatives: list[list[tuple[str, bool]]]) -> Column:
-    """How often wanted words and phrases occur, a simple rank; those that follow each other share the space between."""
+def occurrences(text: Column, alternatives: list[list[tuple[str, bool]]]) -> Column:
+    """How often wanted words and phrases occur in a text in lower case, a simple rank; each counts from where the last
+    one of its kind ended."""
     wanted = list(dict.fromkeys(w for own in alternatives for w, yes in own if yes))
-    doubled = F.replace(words, F.lit(" "), F.lit("  "))
-    count = lambda w: F.size(F.split(doubled, " " + w.replace(" ", "  ") + " ")) - 1
-    return reduce(lambda a, b: a + b, [count(w) for w in wanted], F.lit(0)).cast("long")
+    return reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(_pattern(w))) for w in wanted], F.lit(0)).cast("long")
+
+
+def _first(docs: DataFrame, score: Column, k: int) -> DataFrame:
+    """id and score of the k best rows by a score that is null for others; as these come last and leave after the limit,
+    no filter repeats the score's work."""
+    return docs.select("id", score.alias("score")).orderBy(F.desc_nulls_last("score"), "id").limit(k).where("score IS NOT NULL")
 
 
 def websearch(docs: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """id and score of the k documents (id, text) that a query finds best, ties by id. Rows are judged where they stand;
-    only each task's best move."""
+    """id and score of the k documents (id, text) that a query finds best, ties by id. Rows are judged where they stand,
+    each text is put in lower case once and never rewritten; only each task's best move."""
     alternatives = parsed(query)
-    words = docs.select("id", folded(F.col("text")).alias("words"))
-    found = words.where(matches(F.col("words"), alternatives)).select("id", occurrences(F.col("words"), alternatives).alias("score"))
-    return found.orderBy(F.desc("score"), "id").limit(k)
+    return _first(docs, bound(lowered(F.col("text")), lambda t: F.when(matches(t, alternatives), occurrences(t, alternatives))), k)
 
 
 def cover_rank(words: Column, alternatives: list[list[tuple[str, bool]]]) -> Column:
@@ -95,6 +139,11 @@ def cover_rank(words: Column, alternatives: list[list[tuple[str, bool]]]) -> Col
     A cover is a stretch that has all wanted words and phrases of one alternative and holds no shorter one. Words that
     are asked for are walked in order with the place of the last occurrence of each item; the latest start of a stretch
     that is complete moves on exactly where a new minimal cover ends."""
+    return _covers(F.split(F.trim(words), " "), alternatives)
+
+
+def _covers(tokens: Column, alternatives: list[list[tuple[str, bool]]]) -> Column:
+    """`cover_rank` of a text's words."""
     items = [[x for x, yes in own if yes] for own in alternatives]
     items = [own for own in items if own]
     if not items:
@@ -102,7 +151,7 @@ def cover_rank(words: Column, alternatives: list[list[tuple[str, bool]]]) -> Col
     known = list(dict.fromkeys(x for own in items for x in own))
     asked = F.array(*[F.lit(w) for w in dict.fromkeys(w for x in known for w in x.split())])
     of = lambda x: [F.array_position(asked, F.lit(w)) for w in x.split()]
-    places = F.filter(F.transform(F.split(F.trim(words), " "), lambda w, i: F.struct(i.alias("at"), F.array_position(asked, w).alias("w"))), lambda x: x["w"] > 0)
+    places = F.filter(F.transform(tokens, lambda w, i: F.struct(i.alias("at"), F.array_position(asked, w).alias("w"))), lambda x: x["w"] > 0)
 
     def starts(hits: Column) -> Column:
         """For each place, where in the list the items start that end there; -1 for others."""

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,45 @@ def test_expression_and_word_agree(spark):
     words = "a de os mais anzois trens meses lapis assim dificilmente amou comeu partiu maria strasse straße ideia x2 oes".split()
     found = spark.createDataFrame([(" " + " ".join(words) + " ",)], "t string").select(search.stemmed(F.col("t"))).first()[0]
     assert found.split() == [search.stem_of(w.replace("ß", "ss")) for w in words]
+
+
+def test_listed_words_have_the_stem():
+    rng = random.Random(4)
+    ends = [e for own in search.SHED for e in own]
+    words = {rng.choice(["", "x", "ca", "mor", "papel", "re2", "luz"]) + rng.choice(["", "a", "il", "ss"]) + "".join(rng.choices(ends, k=rng.randrange(4))) for _ in range(6000)} - {""}
+    of = {s: search.inflected(s) for s in set(map(search.stem_of, words))}
+    assert all(w in of[search.stem_of(w)] for w in words)
+    assert all(search.stem_of(w) == s for s in rng.sample(sorted(of), 60) for w in of[s])
+
+
+def fold(text):
+    plain = (text or "").lower().translate(str.maketrans(search.MARKED, search.PLAIN))
+    return " " + re.sub("[^a-z0-9ß]+", " ", plain).strip() + " "
+
+
+@pytest.mark.parametrize("query", ["the that", '"of the" that -moron or shin', '"a a"', "straße or ção", "-the", "sso or ss"])
+def test_texts_as_typed(spark, query):
+    rng = random.Random(query)
+    words = ["of", "the", "The", "thé", "OF", "that", "thats", "moron", "shins", "Shin", "a", "Á", "straße", "strasse", "ção", "cao", "ß", "SSO", "ßo", "x2", "ofthe", "\u212aelvin", "\u0130", "\U0001f600"]
+    rows = [(i, "".join(rng.choice(words) + rng.choice([" ", "  ", ", ", "_", "\n", "\u00a0", "\u0301", "-"]) for _ in range(rng.randrange(30)))) for i in range(150)] + [(200, None), (201, ""), (202, "the"), (203, "that\x00the")]
+    docs, alternatives = spark.createDataFrame(rows, "id long, text string"), search.parsed(query)
+    for stemming in (False, True):
+        own = search.stems(alternatives) if stemming else alternatives
+        held = lambda t, own=own: any(all((f" {x} " in t) == yes for x, yes in a) for a in own)
+        texts = {i: " ".join(search.stem_of(w.replace("ß", "ss")) for w in fold(t).split()) if stemming else fold(t).strip() for i, t in rows}
+        firm = lambda t, a: all(f" {w[:search.FIRM]}" in fold(t).replace("ß", "ss") for x, yes in a if yes for w in x.replace("ß", "ss").split())
+        expected = [(i, brute(texts[i], own)) for i, t in rows if held(f" {texts[i]} ") and (not stemming or any(firm(t, a) for a in alternatives))]
+        assert [tuple(r) for r in search.ranked(docs, query, 300, stemming).collect()] == sorted(expected, key=lambda r: (-r[1], r[0]))
+    wanted = list(dict.fromkeys(x for a in alternatives for x, yes in a if yes))
+    count = lambda t: sum(t.replace(" ", "  ").count(f" {x.replace(' ', '  ')} ") for x in wanted)
+    expected = [(i, count(fold(t))) for i, t in rows if any(all((f" {x} " in fold(t)) == yes for x, yes in a) for a in alternatives)]
+    assert [tuple(r) for r in search.websearch(docs, query, 300).collect()] == sorted(expected, key=lambda r: (-r[1], r[0]))
+
+
+def lowers(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("lower(")  # noqa: SLF001
+
+
+def test_texts_are_lowered_once(spark):
+    docs = spark.createDataFrame([(1, "a b")], "id long, text string")
+    assert lowers(search.websearch(docs, '"a b" -c or d')) == 1
