@@ -185,17 +185,25 @@ def ranked(docs: DataFrame, query: str, k: int = 10, stemming: bool = False) ->
     """id and score (cover density) of the k documents (id, text) that a query finds best, ties by id; with stemming,
     words meet by their Portuguese stems.
 
-    Rows are judged where they stand and only each task's best move. Texts without the firm first letters of any wanted
-    alternative are left out before anything is stemmed."""
+    Rows are judged where they stand and only each task's best move. Texts are split into words once, and only those
+    that hold what the query wants: without stemming its words, with stemming the firm first letters of the words of one
+    alternative. No text is stemmed: the words that have a wanted stem are listed first, and looked up."""
     alternatives = parsed(query)
-    rows = docs.select("id", folded(F.col("text")).alias("words"))
-    if stemming:
-        firm = [[(f" {w[:FIRM]}", yes) for x, yes in own if yes for w in x.replace("ß", "ss").split()] for own in alternatives]
-        starts = lambda own: reduce(lambda a, b: a & b, [F.contains(F.replace("words", F.lit("ß"), F.lit("ss")), F.lit(w)) for w, _ in own], F.lit(True))
-        rows = rows.where(reduce(lambda a, b: a | b, [starts(own) for own in firm], F.lit(False))).withColumn("words", stemmed(F.col("words")))
-        alternatives = stems(alternatives)
-    found = rows.where(matches(F.col("words"), alternatives)).select("id", F.round(cover_rank(F.col("words"), alternatives), 6).alias("score"))
-    return found.orderBy(F.desc("score"), "id").limit(k)
+    plain = lambda w: F.when(F.octet_length(w) > F.length(w), F.replace(F.translate(w, MARKED, PLAIN), F.lit("ß"), F.lit("ss" if stemming else "ß"))).otherwise(w)
+    words = lambda t: F.transform(F.split(t, BETWEEN), plain)
+    if not stemming:
+        covers = lambda t: F.when(matches(t, alternatives), bound(words(t), lambda ws: F.round(_covers(ws, alternatives), 6)))
+        return _first(docs, bound(lowered(F.col("text")), covers), k)
+    firm = [list(dict.fromkeys(w[:FIRM] for x, yes in own if yes for w in x.replace("ß", "ss").split())) for own in alternatives]
+    starts = lambda t, own: reduce(lambda a, b: a & b, [t.rlike(_begins(w)) for w in own], F.lit(True))
+    some = lambda t: reduce(lambda a, b: a | b, [starts(t, own) for own in firm], F.lit(False))
+    alternatives = stems(alternatives)
+    known = list(dict.fromkeys(w for own in alternatives for x, _ in own for w in x.split()))
+    forms, other = {x: inflected(x) for x in known}, "0" * (max(map(len, known), default=0) + 1)
+    stem = lambda w: F.when(w.isin([f for own in forms.values() for f in own]), F.coalesce(*[F.when(w.isin(own), x) for x, own in forms.items()], F.lit(other))).otherwise(other)
+    held = lambda ws: matches(F.array_join(ws, " "), alternatives)
+    covers = lambda ws: F.when(held(ws), F.round(_covers(ws, alternatives), 6))
+    return _first(docs, bound(lowered(F.col("text")), lambda t: F.when(some(t), bound(F.transform(words(t), stem), covers))), k)
 
 
 def headline(text: Column, query: str, before: int = 5, size: int = 15, most: int = 2) -> Column:

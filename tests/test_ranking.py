@@ -107,3 +107,6 @@ def lowers(df):
 def test_texts_are_lowered_once(spark):
     docs = spark.createDataFrame([(1, "a b")], "id long, text string")
     assert lowers(search.websearch(docs, '"a b" -c or d')) == 1
+    for stemming in (False, True):
+        assert lowers(search.ranked(docs, '"a b" -c or d', stemming=stemming)) == 1
+        assert search.ranked(docs, "", stemming=stemming).count() == 0
