@@ -2,8 +2,8 @@
 
 Standing memories don't depend on a request's words, so the best of each tenant, kind and place are taken first and then
 joined to the requests. Similar ones are found by blocks of requests that are broadcast, a bounded number at a time; each
-batch of memories keeps the best for each request among those of its tenant (and domain, or project), so no request meets
-all memories of a hot tenant in one place. A request's items are then a bounded list, whose fold is one row's work.
+task keeps the best for each request among those of its tenant (and domain, or project), so no request meets all memories
+of a hot tenant in one place. A request's items are then a bounded list, whose fold is one row's work.
 
 memories: id, tenant, scope, domain, project, kind, content, importance, created_at, vector, and what `retrieval.live`
 reads. requests: request, tenants (array), domain, project, task, project_text, vector, budget. hits: request, id,
@@ -28,6 +28,8 @@ CONSTRAINTS, DECISIONS = ("rule", "constraint"), ("decision", "architecture")
 STANDING = ("preference", "working_style", "communication", "rule", "constraint")
 STANDING_EACH, WITHOUT_VECTOR, SIMILAR, SIMILAR_DOMAIN, SIMILAR_PROJECT, LEAST_SIMILARITY, DOCUMENTS = 10, 30, 20, 10, 15, 0.35, 8
 OVERHEAD = 4
+#: Requests that meet a batch of memories at a time.
+STRIP = 256
 
 
 def _best(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
@@ -58,8 +60,22 @@ def standing(memories: DataFrame, requests: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, everything)
 
 
-def similar(memories: DataFrame, requests: DataFrame, keys: list[str], most: int, least: float = LEAST_SIMILARITY, block: int = 256) -> DataFrame:
-    """request, id, similarity of the `most` nearest memories that agree with a request in keys, and are near enough."""
+def _leading(request: np.ndarray, ids: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first `most` of each request by falling score and id; equal ones once."""
+    order = np.lexsort((ids, -scores, request))
+    request, ids, scores = request[order], ids[order], scores[order]
+    new = np.ones(len(request), dtype=bool)
+    new[1:] = (request[1:] != request[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+    request, ids, scores = request[new], ids[new], scores[new]
+    kept = np.arange(len(request)) - np.searchsorted(request, request) < most
+    return request[kept], ids[kept], scores[kept]
+
+
+def similar(memories: DataFrame, requests: DataFrame, keys: list[str], most: int, least: float = LEAST_SIMILARITY, block: int = 8192) -> DataFrame:
+    """request, id, similarity of the `most` nearest memories that agree with a request in keys, and are near enough.
+
+    A block of requests is one pass over the memories. Each batch's memories of a key meet its requests, `STRIP` at a
+    time, as a product of matrices; a task hands on its best for each request once, after its last batch."""
     key = lambda df: F.to_json(F.struct(*[df[k] for k in keys]))
     whole = lambda df: reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, "vector"]])
     spark = memories.sparkSession
@@ -67,22 +83,34 @@ def similar(memories: DataFrame, requests: DataFrame, keys: list[str], most: int
     asked = asked.where(whole(asked)).select("request", "vector", key(asked).alias("key"))
     own, out = memories.where(whole(memories)).select(F.col("id").cast("long").alias("id"), "vector", key(memories).alias("key")), None
     for rows in query_blocks(asked, block):
-        shared = spark.sparkContext.broadcast(([(r.request, r.key) for r in rows], _unit(pa.array([list(r.vector) for r in rows], pa.list_(pa.float64())))))
+        wanted: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            wanted.setdefault(r.key, []).append(i)
+        shared = spark.sparkContext.broadcast((np.array([r.request for r in rows], dtype=np.int64), _unit(pa.array([list(r.vector) for r in rows], pa.list_(pa.float64()))), {k: np.array(v) for k, v in wanted.items()}))
 
         def best(batches, shared=shared):
-            names, wanted = shared.value
+            names, units_of, places = shared.value
+            # Requests by number, ids, similarities.
+            kept = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
             for batch in batches:
                 ids, units, of_key = batch.column("id").to_numpy(), _unit(batch.column("vector")), {}
-                if units.shape[1] != wanted.shape[1]:
+                if units.shape[1] != units_of.shape[1]:
                     continue
                 for i, k in enumerate(batch.column("key").to_pylist()):
-                    of_key.setdefault(k, []).append(i)
-                for (request, k), unit in zip(names, wanted, strict=True):
-                    at = np.array(of_key.get(k, []), dtype=np.int64)
-                    scores = np.round(units[at] @ unit, 4)
-                    at, scores = at[scores >= least], scores[scores >= least]
-                    top = np.lexsort((ids[at], -scores))[:most]
-                    yield pa.RecordBatch.from_arrays([pa.array([request] * len(top), pa.int64()), pa.array(ids[at[top]]), pa.array(scores[top])], names=["request", "id", "similarity"])
+                    if k in places:
+                        of_key.setdefault(k, []).append(i)
+                found = [kept]
+                for k, at in of_key.items():
+                    at = np.array(at)
+                    at = at[np.unique(ids[at], return_index=True)[1]]
+                    for first in range(0, len(places[k]), STRIP):
+                        asking = places[k][first : first + STRIP]
+                        scores = np.nan_to_num(np.round(units_of[asking] @ units[at].T, 4), nan=-np.inf)
+                        floor = np.partition(scores, -most, axis=1)[:, -most, None] if len(at) > most else -np.inf
+                        i, j = np.nonzero(scores >= np.maximum(floor, least))
+                        found.append(_leading(asking[i], ids[at[j]], scores[i, j], most))
+                kept = _leading(*map(np.concatenate, zip(*found, strict=True)), most)
+            yield pa.RecordBatch.from_arrays([pa.array(names[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], names=["request", "id", "similarity"])
 
         found = own.mapInArrow(best, "request long, id long, similarity double")
         out = found if out is None else out.unionByName(found)

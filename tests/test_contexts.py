@@ -79,3 +79,20 @@ def test_contexts(spark):
         assert found[request] == expected[request], request
     none = c.compiled(frames[0].limit(0), frames[1], frames[2].limit(0)).collect()
     assert len(none) == 7 and all(r["items"] == [] for r in none)
+
+
+def test_many_requests_are_one_pass(spark):
+    rng = random.Random(8)
+    vector = lambda: [rng.gauss(0.4, 1) for _ in range(6)]
+    memories = [(i, rng.choice("ab"), "global", None, None, "fact", "m", 0.5, i, vector()) for i in range(400)]
+    memories += [memories[7]] * 60 + [(400, "a", "global", None, None, "fact", "m", 0.5, 0, [0.0] * 6)]
+    requests = [(r, ["a", "b"] if r % 2 else ["a"], None, None, "t", None, vector(), 99) for r in range(600)]
+    found = c.similar(spark.createDataFrame(memories, MEMORY).coalesce(1), spark.createDataFrame(requests, REQUEST), ["tenant"], 12)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # noqa: SLF001
+    of = {}
+    for r in found.collect():
+        of.setdefault(r.request, []).append((r.id, r.similarity))
+    near = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 4)
+    for r, tenants, *_, asked, _ in requests:
+        scored = sorted(((m[0], near(asked, m[9])) for m in memories[:400] if m[1] in tenants), key=lambda x: (-x[1], x[0]))
+        assert sorted(of.get(r, []), key=lambda x: (-x[1], x[0])) == [x for x in scored[:12] if x[1] >= c.LEAST_SIMILARITY], r
